@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from ..workspace import materialize
-from . import consensus, mixture, packing, quantiles, splits, top_n
+from . import consensus, leakage, mixture, packing, pairs, quality, quantiles, splits, top_n
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +63,10 @@ def p5_shortfalls(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shortfalls(*_mixture(spark, d)).select(*mixture.CATEGORY, "need", "available")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, d, "bench_samples"), table(spark, d, "eval_results"), table(spark, d, "documents"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.split_documents(packing.pack(table(spark, d, "documents")))
 
@@ -71,7 +75,29 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack(table(spark, d, "documents")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    found = materialize(leakage.find_leaks(documents, table(spark, d, "heldout_items")), "leaks")
+    return leakage.remove_spans(documents, found).select("doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p1_reliability, p1_agreement, p2_daily_percentiles, p2_config_percentiles, p3_found, p3_splits, p4_found, p5_found, p5_draw, p5_shortfalls, p7_found, p7_containers)
+    for f in (
+        *(p1_found, p1_reliability, p1_agreement, p2_daily_percentiles, p2_config_percentiles, p3_found, p3_splits),
+        *(p4_found, p5_found, p5_draw, p5_shortfalls, p6_found, p7_found, p7_containers),
+        *(p8_found, p8_cleaned, p9_found, p9_statistics),
+    )
 }
