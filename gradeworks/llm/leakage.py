@@ -95,38 +95,56 @@ def near(a: str, b: str) -> bool:
     return row[-1] <= allowed
 
 
-def align(passage: list[str], stretch: list[str]) -> tuple[int, int, int]:
-    """Words of the passage that the best local alignment repeats, and where it lies in the stretch."""
-    rows, cols = len(passage), len(stretch)
-    score = [[0.0] * (cols + 1) for _ in range(rows + 1)]
-    step = [bytearray(cols + 1) for _ in range(rows + 1)]
+def align(passage: list[str], stretch: list[str], drop: float = 30.0) -> tuple[int, int, int]:
+    """Words of the passage that the best local alignment repeats, and where it lies in the stretch.
+
+    Only cells above 0 are kept, row by row, and of a row only those within ``drop`` of its best:
+    an alignment that has lost so much more than another is not the one sought.
+    """
+    places: dict[str, list[int]] = {}
+    for j, word in enumerate(stretch, 1):
+        places.setdefault(word, []).append(j)
+    cols = len(stretch)
     best, at = 0.0, (0, 0)
+    steps: list[dict[int, int]] = [{}]
+    up: dict[int, float] = {}
+    lead = 0.0
     alike: dict[tuple[str, str], bool] = {}
-    for i in range(1, rows + 1):
-        a, up, here, mark = passage[i - 1], score[i - 1], score[i], step[i]
-        for j in range(1, cols + 1):
-            b = stretch[j - 1]
-            if a == b:
-                same = True
-            elif up[j - 1] > 3:
-                same = alike.get((a, b))
-                if same is None:
-                    same = alike[a, b] = near(a, b)
-            else:
+    for i, word in enumerate(passage, 1):
+        here: dict[int, float] = {}
+        mark: dict[int, int] = {}
+        for j in places.get(word, ()):
+            here[j], mark[j] = up.get(j - 1, 0.0) + EQUAL, 1
+        for j, score in up.items():
+            if j < cols and j + 1 not in mark:
                 same = False
-            s, m = up[j - 1] + (EQUAL if same else OTHER), 1 if same else 2
-            if up[j] + GAP > s:
-                s, m = up[j] + GAP, 3
-            if here[j - 1] + GAP > s:
-                s, m = here[j - 1] + GAP, 4
-            if s > 0:
-                here[j], mark[j] = s, m
-                if s > best:
-                    best, at = s, (i, j)
+                if score > 3 and score > lead - 9:
+                    other = stretch[j]
+                    same = alike.get((word, other))
+                    if same is None:
+                        same = alike[word, other] = near(word, other)
+                value = score + (EQUAL if same else OTHER)
+                if value > 0 and value > here.get(j + 1, 0.0):
+                    here[j + 1], mark[j + 1] = value, 1 if same else 2
+            if score + GAP > here.get(j, 0.0):
+                here[j], mark[j] = score + GAP, 3
+        lead = max(here.values(), default=0.0)
+        for j in sorted(here):
+            value = here[j] + GAP
+            while j < cols and value > here.get(j + 1, 0.0) and value > lead - drop:
+                j += 1
+                here[j], mark[j] = value, 4
+                value += GAP
+        if lead > drop:
+            here = {j: v for j, v in here.items() if v > lead - drop}
+        if lead > best:
+            best, at = lead, (i, max(j for j, v in here.items() if v == lead))
+        steps.append(mark)
+        up = here
     i, j = at
     equal, last = 0, j
-    while i and j and step[i][j]:
-        m = step[i][j]
+    while i and j and j in steps[i]:
+        m = steps[i][j]
         equal += m == 1
         i, j = i - (m != 4), j - (m != 3)
     return equal, j, last
