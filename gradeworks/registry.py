@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import learn_queries, result_queries, stat_queries, stream_queries, text_queries  # noqa: F401
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
     """The cheapest correct configuration of every sample."""
-    raise NotImplementedError
+    return result_queries.cheapest_by_tier_cost(spark, directory)
