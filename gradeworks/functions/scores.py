@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import PUNCTUATION, collapse, strip
 
@@ -286,7 +287,7 @@ def tree_distance(a: list, b: list) -> int:
     return row[-1] + (a[0] != b[0])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def table_similarity(predicted: pd.Series, reference: pd.Series) -> pd.Series:
     """1 - tree distance / larger tree; 1 for equal texts, 0 for an empty or missing one."""
     def score(p: str | None, r: str | None) -> float:

@@ -1 +1,90 @@
-"""Queries to come."""
+"""Queries over learned operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features
+from ..operators import learn, routing, statistics
+from .base import matrix, notes, query, samples
+
+S = SparkSession
+
+
+def _featured(spark: S, d: str) -> DataFrame:
+    s = samples(spark, d).select("sample_id", F.array(F.lit(1.0), *[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.least(F.coalesce("num_pages", F.lit(1)), F.lit(20)) / 20.0).alias("s"), features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("t"))
+    n = notes(spark, d).select("sample_id", F.coalesce("composite", F.lit(2.0)).alias("composite"))
+    m = matrix(spark, d)
+    config = F.array(F.lit(1.0), F.col("tier") / 3.0, F.log1p("rate"), F.log1p(F.col("budget_tokens").cast("double")) / 10.0)
+    j = m.join(s, "sample_id").join(n, "sample_id", "left")
+    return j.select("sample_id", "config_id", "is_correct", "cost", F.concat("s", "t", F.array(F.coalesce("composite", F.lit(2.0)) / 4.0)).alias("x"), config.alias("c"))
+
+
+def _key():
+    return F.concat("sample_id", F.lit("|"), "config_id")
+
+
+@query()
+def completion_auc(spark: S, d: str) -> DataFrame:
+    """AUC of completed entries on a held-out fifth of the matrix."""
+    rows = _featured(spark, d)
+    out = learn.held_out(_key(), 0.2, 42)
+    scored = learn.complete_matrix(rows.where(~out), rows.where(out), "x", "c", "is_correct")
+    return statistics.auc(scored.where("is_correct is not null").withColumn("chance", F.round("chance", 9)), "chance", F.col("is_correct"))
+
+
+@query()
+def completion_routes(spark: S, d: str) -> DataFrame:
+    """The cheapest configuration that completion deems right, for held-out samples."""
+    rows = _featured(spark, d)
+    out = learn.held_out(F.col("sample_id"), 0.2, 42)
+    scored = learn.complete_matrix(rows.where(~out), rows.where(out), "x", "c", "is_correct")
+    return learn.route_by_chance(scored)
+
+
+_HELD = "CAST(('0x' || substr(md5(sample_id || '|' || config_id || ':42'), 1, 8)) AS BIGINT) < 858993459"
+_BASE = f""", tr AS (SELECT * FROM matrix WHERE NOT ({_HELD})), te AS (SELECT * FROM matrix WHERE {_HELD})"""
+
+
+@query(_BASE + """SELECT te.result_id, te.is_correct, round((SELECT avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) FROM tr), 6) AS global,
+ round(coalesce(a.m, (SELECT avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) FROM tr)), 6) AS by_sample_id, round(coalesce(b.m, (SELECT avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) FROM tr)), 6) AS by_config_id
+ FROM te LEFT JOIN (SELECT sample_id, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS m FROM tr GROUP BY 1) a USING (sample_id)
+ LEFT JOIN (SELECT config_id, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS m FROM tr GROUP BY 1) b USING (config_id)""")
+def mean_baselines(spark: S, d: str) -> DataFrame:
+    m = matrix(spark, d)
+    out = learn.held_out(_key(), 0.2, 42)
+    found = learn.mean_baselines(m.where(~out), m.where(out), "is_correct", ["sample_id", "config_id"], "result_id")
+    return found.select("result_id", "is_correct", *[F.round(c, 6).alias(c) for c in ("global", "by_sample_id", "by_config_id")])
+
+
+@query()
+def threshold_router(spark: S, d: str) -> DataFrame:
+    right = F.coalesce(F.col("is_correct"), F.lit(False))
+    per = matrix(spark, d).groupBy("sample_id").agg(*[F.bool_or(right & (F.col("tier") == t)).alias(f"t{t}") for t in (1, 2, 3)])
+    return learn.best_thresholds(per.join(notes(spark, d).select("sample_id", "composite"), "sample_id"), "composite", ["t1", "t2", "t3"])
+
+
+@query()
+def logistic_tier_router(spark: S, d: str) -> DataFrame:
+    label = routing.cascade(matrix(spark, d)).where("tier is not null").select("sample_id", (F.col("tier") - 1).alias("label"))
+    vector = F.array(*[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.coalesce("num_pages", F.lit(1)).cast("double"))
+    rows = samples(spark, d).select("sample_id", vector.alias("x")).join(label, "sample_id")
+    out = learn.held_out(F.col("sample_id"), 0.2, 42)
+    return learn.logistic_router(rows.where(~out), rows.where(out), "x", "label", "sample_id")
+
+
+@query("SELECT sample_id, model_name, round(ln(1 + min(budget_tokens) FILTER (WHERE is_correct)), 6) AS target FROM matrix GROUP BY 1, 2")
+def budget_targets(spark: S, d: str) -> DataFrame:
+    return learn.first_correct_budget(matrix(spark, d))
+
+
+@query("SELECT sample_id, CAST(('0x' || substr(md5(sample_id || ':42'), 1, 8)) AS BIGINT) < 858993459 AS held_out FROM samples")
+def sample_holdout(spark: S, d: str) -> DataFrame:
+    return samples(spark, d).select("sample_id", learn.held_out(F.col("sample_id"), 0.2, 42).alias("held_out"))
+
+
+@query("""SELECT m.sample_id, max(is_correct::INT) FILTER (WHERE config_id = 'a1_flint_B1') AS a1_flint_B1, max(is_correct::INT) FILTER (WHERE config_id = 'c1_onyx_B2') AS c1_onyx_B2 FROM matrix m GROUP BY 1""")
+def pivoted_matrix(spark: S, d: str) -> DataFrame:
+    names = ["a1_flint_B1", "c1_onyx_B2"]
+    return matrix(spark, d).groupBy("sample_id").agg(*[F.max(F.when(F.col("config_id") == n, F.col("is_correct").cast("int"))).alias(n) for n in names])

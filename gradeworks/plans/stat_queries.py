@@ -1 +1,183 @@
-"""Queries to come."""
+"""Queries over statistics, sampling and similarity."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import features, stats
+from ..operators import sampling, similarity, statistics
+from ..sources.tables import table
+from .base import matrix, notes, query, runs, samples
+from .result_queries import points
+
+S = SparkSession
+
+_W = """round(CASE WHEN n = 0 THEN 0 ELSE greatest(0, (k/n + 3.8416/(2*n) - 1.96*sqrt(k/n*(1-k/n)/n + 3.8416/(4*n*n))) / (1 + 3.8416/n)) END, 6) AS low,
+ round(CASE WHEN n = 0 THEN 1 ELSE least(1, (k/n + 3.8416/(2*n) + 1.96*sqrt(k/n*(1-k/n)/n + 3.8416/(4*n*n))) / (1 + 3.8416/n)) END, 6) AS high"""
+
+
+@query(f"SELECT config_id, {_W}, round(CASE WHEN n > 0 THEN pow(0.05, 1.0 / n) ELSE 0 END, 6) AS all_right FROM (SELECT config_id, CAST(count(*) FILTER (WHERE is_correct) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM matrix GROUP BY 1)")
+def accuracy_intervals(spark: S, d: str) -> DataFrame:
+    g = matrix(spark, d).groupBy("config_id").agg(F.count_if(F.coalesce("is_correct", F.lit(False))).alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return g.select("config_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(stats.all_right_bound(F.col("n")), 6).alias("all_right"))
+
+
+_BOOT = """, flags AS (SELECT sample_id, CASE WHEN bool_or(coalesce(is_correct, false)) THEN 1 ELSE 0 END AS f FROM matrix GROUP BY 1),
+ reps AS (SELECT r.b, sum(f * w) * 1.0 / sum(w) AS p FROM (SELECT b, f, CAST(('0x' || substr(md5(sample_id || ':' || b), 1, 4)) AS INT) AS u FROM flags, (SELECT unnest(range(200)) AS b)) r,
+  LATERAL (SELECT CASE WHEN u < 24109 THEN 0 WHEN u < 48219 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64292 THEN 3 WHEN u < 65296 THEN 4 ELSE 5 END AS w) GROUP BY r.b)
+SELECT round(avg(p), 6) AS mean, round(quantile_cont(p, 0.025), 6) AS low, round(quantile_cont(p, 0.975), 6) AS high FROM reps"""
+
+
+@query(_BOOT)
+def bootstrap_routable_share(spark: S, d: str) -> DataFrame:
+    flags = matrix(spark, d).groupBy("sample_id").agg(F.bool_or(F.coalesce("is_correct", F.lit(False))).cast("int").alias("f"))
+    return statistics.bootstrap_share(flags, "sample_id", "f", replicates=200)
+
+
+@query("""SELECT round(max(abs(fa - fb)), 6) AS ks FROM (SELECT x, sum(a) OVER (ORDER BY x) * 1.0 / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) * 1.0 / sum(b) OVER () AS fb FROM (
+ SELECT image_bytes_size AS x, count(*) FILTER (WHERE in_anchor_set) AS a, count(*) FILTER (WHERE NOT in_anchor_set) AS b FROM samples WHERE image_bytes_size IS NOT NULL GROUP BY 1))""")
+def ks_anchor_sizes(spark: S, d: str) -> DataFrame:
+    return statistics.ks_statistic(samples(spark, d), "image_bytes_size", F.col("in_anchor_set"))
+
+
+@query("""SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb
+ FROM (SELECT input_tokens AS a, total_cost_usd AS b FROM runs WHERE input_tokens IS NOT NULL AND total_cost_usd IS NOT NULL AND NOT isnan(total_cost_usd) AND total_cost_usd >= 0))""")
+def spearman_tokens_cost(spark: S, d: str) -> DataFrame:
+    r = runs(spark, d).where("input_tokens is not null and total_cost_usd is not null and not isnan(total_cost_usd) and total_cost_usd >= 0")
+    return statistics.spearman(r, "input_tokens", "total_cost_usd")
+
+
+@query("""SELECT round((sum(r) FILTER (WHERE y) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc FROM (SELECT y, r, count(*) FILTER (WHERE y) OVER () AS n1, count(*) FILTER (WHERE NOT y) OVER () AS n0 FROM (
+ SELECT is_correct AS y, rank() OVER (ORDER BY inference_confidence) + (count(*) OVER (PARTITION BY inference_confidence) - 1) / 2.0 AS r FROM runs WHERE inference_confidence IS NOT NULL AND is_correct IS NOT NULL)) GROUP BY n1, n0""")
+def auc_of_confidence(spark: S, d: str) -> DataFrame:
+    return statistics.auc(runs(spark, d).where("inference_confidence is not null and is_correct is not null"), "inference_confidence", F.col("is_correct"))
+
+
+@query(", t AS (SELECT output_tokens AS x, latency_ms AS y FROM runs WHERE result_type = 'observed' AND output_tokens IS NOT NULL AND latency_ms >= 0) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM t")
+def latency_regression(spark: S, d: str) -> DataFrame:
+    t = runs(spark, d).where("result_type = 'observed' and output_tokens is not null and latency_ms >= 0")
+    return t.agg(F.round(F.regr_slope("latency_ms", "output_tokens"), 6).alias("slope"), F.round(F.regr_intercept("latency_ms", "output_tokens"), 4).alias("intercept"), F.round(F.regr_r2("latency_ms", "output_tokens"), 6).alias("r2"))
+
+
+@query(""", lik AS (SELECT sample_id, list(is_correct ORDER BY result_id) AS o FROM matrix WHERE model_name IN (SELECT min(model_name) FROM model_configs) AND is_correct IS NOT NULL GROUP BY 1),
+ post AS (SELECT sample_id, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(o, lambda y: CASE WHEN y THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END)), lambda a, b: a * b) AS a,
+  list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(o, lambda y: CASE WHEN y THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END)), lambda a, b: a * b) AS b, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(o, lambda y: CASE WHEN y THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END)), lambda a, b: a * b) AS c FROM lik)
+SELECT sample_id, round((a + 2*b + 3*c) / (a + b + c), 6) AS difficulty FROM post""")
+def bayes_difficulty(spark: S, d: str) -> DataFrame:
+    """Chances of three tiers after the outcomes of one model, as one product per tier."""
+    m = matrix(spark, d)
+    first = table(spark, d, "model_configs").agg(F.min("model_name").alias("model_name"))
+    right = m.where("is_correct is not null").join(F.broadcast(first), "model_name").groupBy("sample_id").agg(F.count_if("is_correct").alias("k"), F.count(F.lit(1)).alias("n"))
+    chance = F.array(*[F.pow(F.lit(p), F.col("k")) * F.pow(F.lit(1 - p), F.col("n") - F.col("k")) for p in (0.9, 0.7, 0.3)])
+    soft = stats.bayes(F.array(*[F.lit(1.0 / 3)] * 3), [chance])
+    return right.select("sample_id", F.round(stats.expected_rank(soft), 6).alias("difficulty"))
+
+
+@query("""SELECT label, round(sqrt(sum((x - c) * (x - c)) / count(DISTINCT vec_id)), 5) AS spread FROM (SELECT vec_id, label, i, CAST(x AS DOUBLE) AS x, avg(CAST(x AS DOUBLE)) OVER (PARTITION BY label, i) AS c FROM (
+ SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY 1""", base=False)
+def distance_to_centroid(spark: S, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x"))
+    c = e.groupBy("label", "i").agg(F.var_pop(F.col("x").cast("double")).alias("v"))
+    return c.groupBy("label").agg(F.round(F.sqrt(F.sum("v")), 5).alias("spread"))
+
+
+# Sampling
+
+_RANDOM = "md5(sample_id || ':42')"
+
+
+@query(f"SELECT sample_id FROM samples WHERE source_dataset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_dataset ORDER BY {_RANDOM}, sample_id) <= 20")
+def quota_per_source(spark: S, d: str) -> DataFrame:
+    s = samples(spark, d).where("source_dataset is not null").select("sample_id", "source_dataset")
+    return sampling.per_group(s, "source_dataset", 20, "sample_id").select("sample_id")
+
+
+@query(f""", g AS (SELECT s.sample_id, n.tier FROM samples s JOIN notes n USING (sample_id) WHERE n.tier IN (1,2,3)),
+ c AS (SELECT tier, count(*) AS n, sum(count(*)) OVER () AS total FROM g GROUP BY 1),
+ q AS (SELECT tier, n, total, CAST(round_even(300 * n / total, 0) AS BIGINT) AS raw FROM c),
+ w AS (SELECT *, coalesce(sum(raw) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, tier = max(tier) OVER () AS l FROM q)
+SELECT g.sample_id, g.tier FROM g JOIN w USING (tier) QUALIFY row_number() OVER (PARTITION BY g.tier ORDER BY {_RANDOM}, g.sample_id) <= CASE WHEN max(w.total) OVER () <= 300 THEN w.n WHEN w.l THEN 300 - w.b ELSE w.raw END""")
+def proportional_tiers(spark: S, d: str) -> DataFrame:
+    g = samples(spark, d).select("sample_id").join(notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
+    return sampling.proportional(g, "tier", 300, [sampling.hash_order("sample_id"), "sample_id"])
+
+
+@query(f"SELECT sample_id FROM samples WHERE source_dataset IS NOT NULL AND task_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_dataset, task_type ORDER BY {_RANDOM}, sample_id) <= greatest(1, floor(count(*) OVER (PARTITION BY source_dataset, task_type) * 0.1))")
+def stratified_tenth(spark: S, d: str) -> DataFrame:
+    s = samples(spark, d).where("source_dataset is not null and task_type is not null").select("sample_id", "source_dataset", "task_type")
+    return sampling.stratified(s, ["source_dataset", "task_type"], 0.1, "sample_id").select("sample_id")
+
+
+@query(f""", g AS (SELECT sample_id, tier FROM notes WHERE tier IN (1,2,3)), r AS (SELECT *, {_RANDOM} AS h, row_number() OVER (PARTITION BY tier ORDER BY {_RANDOM}, sample_id) AS k FROM g)
+SELECT sample_id, tier FROM r ORDER BY k <= CASE tier WHEN 1 THEN 60 WHEN 2 THEN 90 ELSE 50 END DESC, h, sample_id LIMIT 200""")
+def validation_sample(spark: S, d: str) -> DataFrame:
+    g = notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier")
+    return sampling.weighted_tiers(g, "tier", 200, {1: 0.3, 2: 0.45, 3: 0.25}, "sample_id")
+
+
+@query("""SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id), 4) AS spent FROM events QUALIFY sum(value) OVER (ORDER BY ts, event_id) < 5000""", base=False)
+def spend_guard(spark: S, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "ts", "value")
+    running = Window.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return sampling.keep_within(e, 5000.0, "value", ["ts", "event_id"]).select("event_id", F.round(F.sum("value").over(running), 4).alias("spent"))
+
+
+@query()
+def diverse_selection(spark: S, d: str) -> DataFrame:
+    s = samples(spark, d).where("task_type is not null").withColumn("task", F.upper(F.trim("task_type"))).join(notes(spark, d).select("sample_id", "composite", "tier"), "sample_id")
+    return sampling.diverse(s, "task", ["source_dataset", "doc_type", "has_table", "has_chart", "has_figure", "num_pages", "tier"], "composite", "sample_id", quota=25)
+
+
+@query()
+def facility_location(spark: S, d: str) -> DataFrame:
+    graded = notes(spark, d).where("tier in (1,2,3) and vds is not null and rds is not null and ses is not null")
+    vector = F.concat(features.one_hot(F.col("tier").cast("string"), ("1", "2", "3")), F.array(F.col("vds") / 4, F.col("rds") / 4, F.col("ses") / 4))
+    return sampling.facility_location(graded.select("sample_id", vector.alias("v")), "v", "sample_id", 30, 1.0)
+
+
+# Similarity
+
+
+@query("""SELECT query_id, neighbour_id, rank, round(cosine, 5) AS cosine FROM (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id,
+ round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS cosine,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 5""", base=False)
+def nearest_vectors(spark: S, d: str) -> DataFrame:
+    """The stated query set, every vector whose id is divisible by 50, against all vectors."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return similarity.neighbours(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5).select("query_id", "neighbour_id", F.col("rank").cast("long").alias("rank"), F.round("cosine", 5).alias("cosine"))
+
+
+@query("""SELECT query_id, label FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, label) AS r FROM (
+ SELECT a.vec_id AS query_id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS k
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE k <= 5 GROUP BY 1, 2) WHERE r = 1""", base=False)
+def neighbour_vote(spark: S, d: str) -> DataFrame:
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("neighbour_id"), "label")
+    votes = nearest_vectors(spark, d).join(labels, "neighbour_id").groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
+
+
+@query()
+def near_fingerprints(spark: S, d: str) -> DataFrame:
+    """Links between the fingerprints of different queries that differ in up to 3 of 64 bits."""
+    words = F.array_distinct(F.split(F.lower("query"), r"\s+"))
+    s = samples(spark, d).where("query is not null").select("sample_id", F.conv(similarity.simhash(words), 16, -10).cast("long").alias("h"))
+    return similarity.near_hashes(s, "sample_id", "h", 3)
+
+
+@query()
+def kernel_width(spark: S, d: str) -> DataFrame:
+    return similarity.kernel_width(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query("SELECT config_id, cost_rank FROM (SELECT config_id, dense_rank() OVER (ORDER BY cost_per_1m_input, budget_tokens) AS cost_rank FROM model_configs)", base=False)
+def config_order(spark: S, d: str) -> DataFrame:
+    return table(spark, d, "model_configs").select("config_id", F.dense_rank().over(Window.orderBy("cost_per_1m_input", "budget_tokens")).cast("long").alias("cost_rank"))
+
+
+@query(", points AS (SELECT config_id, round(avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(cost), 8) AS cost FROM matrix GROUP BY 1) SELECT config_id, rank() OVER (ORDER BY accuracy DESC) AS place, round(cume_dist() OVER (ORDER BY cost), 6) AS cost_share FROM points")
+def config_ranking(spark: S, d: str) -> DataFrame:
+    p = points(spark, d)
+    return p.select("config_id", F.rank().over(Window.orderBy(F.desc("accuracy"))).cast("long").alias("place"), F.round(F.cume_dist().over(Window.orderBy("cost")), 6).alias("cost_share"))

@@ -1 +1,217 @@
-"""Queries to come."""
+"""Queries over texts: scorers, extraction, features and keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features, scores, text
+from ..sources.tables import table
+from .base import query, runs, samples
+
+S = SparkSession
+
+_PAIR = """, graded AS (SELECT r.result_id, r.predicted_answer AS p, s.gt_answer AS g, s.source_dataset AS src, s.query AS q, lower(s.correctness_metric) AS m,
+ list_distinct(list_filter(list_concat([s.gt_answer], coalesce(s.gt_answer_aliases, [])), lambda x: x IS NOT NULL)) AS refs
+ FROM runs r JOIN samples s USING (sample_id) WHERE r.result_type = 'observed' AND r.predicted_answer IS NOT NULL AND s.gt_answer IS NOT NULL)
+"""
+
+
+def _graded(spark: S, d: str) -> DataFrame:
+    r = runs(spark, d).where("result_type = 'observed' and predicted_answer is not null").select("result_id", "sample_id", F.col("predicted_answer").alias("p"))
+    s = samples(spark, d).where("gt_answer is not null")
+    refs = F.array_compact(F.array_union(F.array("gt_answer"), F.coalesce("gt_answer_aliases", F.array().cast("array<string>"))))
+    return r.join(s.select("sample_id", F.col("gt_answer").alias("g"), F.col("source_dataset").alias("src"), F.col("query").alias("q"), F.lower("correctness_metric").alias("m"), refs.alias("refs")), "sample_id")
+
+
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_SQUEEZE = r"regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+
+
+@query()
+def score_anls(spark: S, d: str) -> DataFrame:
+    """Edit distances are over characters; SQL engines count bytes, so tests compare with brute force."""
+    g = _graded(spark, d).where("m = 'anls'")
+    return g.select("result_id", F.round(scores.anls(F.col("p"), F.col("refs")), 6).alias("score"))
+
+
+def _label(t: str) -> str:
+    base = f"lower({_SQUEEZE.format(t)})"
+    claims = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in scores.CLAIMS.items())
+    classes = " ".join(f"WHEN '{i}' THEN '{v}'" for i, v in enumerate(scores.CLASSES))
+    kind = r"regexp_replace(lower(coalesce(src,'')), '[\s\-_]+', '', 'g')"
+    return f"CASE {kind} WHEN 'tabfact' THEN CASE {base} {claims} ELSE {base} END WHEN 'rvlcdip' THEN CASE {base} {classes} ELSE {base} END ELSE {base} END"
+
+
+@query(_PAIR + f"SELECT result_id, list_bool_or(list_transform(refs, lambda r: {_label('p')} = {_label('r')})) AS correct FROM graded WHERE m = 'exact_match'")
+def score_exact_match(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'exact_match'")
+    return g.select("result_id", scores.exact(F.col("p"), F.col("refs"), F.col("src")).alias("correct"))
+
+
+_NUM = scores.NUMBER
+
+
+def _relaxed_number(t: str) -> str:
+    clean = rf"regexp_replace(regexp_replace({t}, '%\s*$', ''), '[$€£,\s]', '', 'g')"
+    return f"CASE WHEN regexp_matches({clean}, '{_NUM}') THEN CAST({clean} AS DOUBLE) END"
+
+
+@query(_PAIR + f"""SELECT result_id, list_bool_or(list_transform(refs, lambda r: CASE WHEN lower({_STRIP.format('p')}) IN ('n/a','na','none','null','-','') OR lower({_STRIP.format('r')}) IN ('n/a','na','none','null','-','') THEN false
+ WHEN {_relaxed_number('p')} IS NOT NULL AND {_relaxed_number('r')} IS NOT NULL THEN abs({_relaxed_number('p')} - {_relaxed_number('r')}) / greatest(abs({_relaxed_number('r')}), 1e-9) < 0.05
+ ELSE contains(lower({_STRIP.format('r')}), lower({_STRIP.format('p')})) OR contains(lower({_STRIP.format('p')}), lower({_STRIP.format('r')})) END)) AS correct FROM graded WHERE m = 'relaxed_accuracy'""")
+def score_relaxed(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'relaxed_accuracy'")
+    return g.select("result_id", scores.relaxed(F.col("p"), F.col("refs")).alias("correct"))
+
+
+def _slide_number(t: str) -> str:
+    clean = _STRIP.format(f"regexp_replace({t}, '[,$€£%~]', '', 'g')")
+    return f"CASE WHEN regexp_matches({clean}, '{_NUM}') THEN CAST({clean} AS DOUBLE) END"
+
+
+@query(_PAIR + f"""SELECT result_id, CASE WHEN {_slide_number('p')} IS NOT NULL AND {_slide_number('g')} IS NOT NULL THEN
+ CASE WHEN {_slide_number('g')} = 0 THEN abs({_slide_number('p')}) <= 0.05 ELSE abs({_slide_number('p')} - {_slide_number('g')}) <= 0.05 * abs({_slide_number('g')}) END
+ ELSE lower({_STRIP.format('p')}) = lower({_STRIP.format('g')}) END AS correct FROM graded WHERE m = 'slidevqa_em'""")
+def score_slide(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'slidevqa_em'")
+    return g.select("result_id", scores.slide(F.col("p"), F.col("g"), F.col("q")).alias("correct"))
+
+
+#: The ASCII punctuation marks as a character class in a SQL string.
+_MARKS = scores.PUNCTUATION.replace("'", "''")
+
+
+def _bag(t: str) -> str:
+    plain = f"regexp_replace(lower(regexp_replace({t}, '[$€£¥₹,]', '', 'g')), '{_MARKS}', '', 'g')"
+    return f"list_filter(string_split({_SQUEEZE.format(plain)}, ' '), lambda w: w <> '')"
+
+
+@query(_PAIR + f""", bags AS (SELECT result_id, {_bag('p')} AS a, {_bag('g')} AS b FROM graded WHERE m = 'field_f1' AND p NOT LIKE '{{%' AND g NOT LIKE '{{%' AND p NOT LIKE '[%'),
+ s AS (SELECT result_id, len(a) AS x, len(b) AS y, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda v: v = w)), len(list_filter(b, lambda v: v = w))))) AS c FROM bags)
+SELECT result_id, round(CASE WHEN x = 0 AND y = 0 THEN 1.0 WHEN coalesce(c, 0) = 0 THEN 0.0 ELSE 2.0 * c / (x + y) END, 6) AS score FROM s""")
+def score_field_f1(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'field_f1' and p not like '{%' and g not like '{%' and p not like '[%'")
+    return g.select("result_id", F.round(scores.word_f1(F.col("p"), F.col("g")), 6).alias("score"))
+
+
+def _box(t: str) -> str:
+    return f"list_transform(list_slice(regexp_extract_all({t}, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), 1, 4), lambda x: CAST(x AS DOUBLE))"
+
+
+@query(_PAIR + f""", b AS (SELECT result_id, {_box('p')} AS a, {_box('g')} AS b FROM graded WHERE m = 'iou'),
+ v AS (SELECT result_id, CASE WHEN len(a) = 4 AND a[1] >= -1e-6 AND a[2] >= -1e-6 AND a[3] <= 1 + 1e-6 AND a[4] <= 1 + 1e-6 AND a[3] > a[1] AND a[4] > a[2] THEN a END AS a,
+  CASE WHEN len(b) = 4 AND b[1] >= -1e-6 AND b[2] >= -1e-6 AND b[3] <= 1 + 1e-6 AND b[4] <= 1 + 1e-6 AND b[3] > b[1] AND b[4] > b[2] THEN b END AS b FROM b),
+ i AS (SELECT result_id, a, b, greatest(0, least(a[3], b[3]) - greatest(a[1], b[1])) * greatest(0, least(a[4], b[4]) - greatest(a[2], b[2])) AS x FROM v)
+SELECT result_id, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE round(x / ((a[3]-a[1])*(a[4]-a[2]) + (b[3]-b[1])*(b[4]-b[2]) - x), 6) END AS score FROM i""")
+def score_iou(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'iou'")
+    return g.select("result_id", F.round(scores.iou(F.col("p"), F.array("g")), 6).alias("score"))
+
+
+@query()
+def score_rouge_l(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'rouge_cider'")
+    return g.select("result_id", F.round(F.array_max(F.transform("refs", lambda r: scores.rouge_l(F.col("p"), r))), 6).alias("score"))
+
+
+@query()
+def score_denotation(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'denotation'")
+    return g.select("result_id", scores.denotation(F.col("p"), F.col("refs")).alias("correct"))
+
+
+@query()
+def score_vqa(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'vqa_accuracy'")
+    return g.select("result_id", F.round(scores.vqa(F.col("p"), F.array_repeat("g", 3)), 6).alias("score"))
+
+
+@query()
+def score_tables(spark: S, d: str) -> DataFrame:
+    g = _graded(spark, d).where("m = 'teds'")
+    return g.select("result_id", F.round(scores.table_similarity("p", "g"), 6).alias("score"))
+
+
+@query()
+def grade_answers(spark: S, d: str) -> DataFrame:
+    """Every run under its sample's own metric."""
+    r = runs(spark, d).where("result_type = 'observed'").select("result_id", "sample_id", "predicted_answer", "is_correct")
+    s = samples(spark, d).select("sample_id", "gt_answer", "gt_answer_aliases", "correctness_metric", "source_dataset", "query")
+    graded = scores.is_correct(*[F.col(c) for c in ("correctness_metric", "predicted_answer", "gt_answer", "gt_answer_aliases", "source_dataset", "query")])
+    return r.join(s.where("correctness_metric is not null"), "sample_id").select("result_id", "is_correct", graded.alias("graded"))
+
+
+@query()
+def extracted_answers(spark: S, d: str) -> DataFrame:
+    r = runs(spark, d).where("result_type = 'observed'")
+    return r.select("result_id", text.extract_answer(F.col("predicted_answer")).alias("answer"))
+
+
+@query(r"SELECT sample_id, len(list_filter(regexp_split_to_array(coalesce(query, ''), '\s+'), lambda w: w <> '')) AS words FROM samples")
+def query_words(spark: S, d: str) -> DataFrame:
+    return samples(spark, d).select("sample_id", text.word_count(F.col("query")).cast("long").alias("words"))
+
+
+def _any(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(coalesce(query, '')), '{w}')" for w in words) + ")"
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(coalesce(query, ''), '\s+'), lambda w: w <> ''))"
+_PRIOR = f"""SELECT sample_id, CASE WHEN has_chart AND has_figure THEN 4 WHEN has_chart OR has_figure THEN 3 WHEN {_any(features.PLACES)} THEN 2 ELSE 1 END AS vds,
+ CASE WHEN {_any(features.SEVERAL)} THEN 4 WHEN {_any(features.CALCULATION)} THEN 3 WHEN {_WORDS} < 8 THEN 1 ELSE 2 END AS rds,
+ CASE WHEN coalesce(num_pages, 1) > 1 THEN 4 WHEN (has_table AND has_figure) OR {_any(features.SPANS)} THEN 3 WHEN has_table OR has_figure THEN 2 ELSE 1 END AS ses,
+ regexp_replace(lower(coalesce(source_dataset, '')), '[\\s\\-_]+', '', 'g') AS src, {_any(features.CALCULATION)} AS counts FROM samples"""
+
+
+@query(f", raw AS ({_PRIOR}) SELECT sample_id, vds, rds, ses, round(0.30*vds + 0.45*rds + 0.25*ses, 4) AS composite FROM raw")
+def prior_scores(spark: S, d: str) -> DataFrame:
+    s = samples(spark, d).select("sample_id", features.visual_score().alias("vds"), features.reasoning_score().alias("rds"), features.extent_score().alias("ses"))
+    return s.withColumn("composite", features.composite(F.col("vds"), F.col("rds"), F.col("ses")))
+
+
+@query(f""", raw AS ({_PRIOR}), t AS (SELECT *, CASE WHEN round(0.30*vds + 0.45*rds + 0.25*ses, 4) < 2.2 THEN 1 WHEN round(0.30*vds + 0.45*rds + 0.25*ses, 4) < 3.0 THEN 2 ELSE 3 END AS t0 FROM raw)
+SELECT sample_id, CASE WHEN src = 'tabfact' THEN greatest(rds, 2) WHEN src IN ('wtq', 'wikitablequestions') THEN greatest(rds, 3) ELSE rds END AS rds_est,
+ CASE WHEN src = 'mpdocvqa' THEN 4 ELSE ses END AS ses_est,
+ CASE WHEN src = 'rvlcdip' THEN 1 WHEN src = 'mpdocvqa' THEN greatest(t0, 2) WHEN src = 'slidevqa' AND counts THEN greatest(t0, 2) WHEN src IN ('slidevqa', 'cord', 'sroie') THEN least(t0, 2) ELSE t0 END AS tier_prior FROM t""")
+def prior_tiers(spark: S, d: str) -> DataFrame:
+    p = samples(spark, d).select("sample_id", "source_dataset", "query", features.visual_score().alias("v"), features.reasoning_score().alias("r"), features.extent_score().alias("s"))
+    tier = features.tier_of(features.composite(F.col("v"), F.col("r"), F.col("s")))
+    _, rds, ses, out = features.source_rules(F.col("v"), F.col("r"), F.col("s"), tier, F.col("source_dataset"), F.col("query"))
+    return p.select("sample_id", rds.alias("rds_est"), ses.alias("ses_est"), out.alias("tier_prior"))
+
+
+@query()
+def soft_tiers(spark: S, d: str) -> DataFrame:
+    """Chances of the three tiers from the prior scores."""
+    c = features.composite(F.col("vds"), F.col("rds"), F.col("ses"))
+    p = prior_scores(spark, d).withColumn("tier", features.tier_of(c))
+    return p.select("sample_id", "tier", features.soft_tiers(F.col("tier"), F.col("composite")).alias("soft"))
+
+
+@query("SELECT sample_id, [CASE WHEN upper(trim(task_type)) = t THEN 1.0 ELSE 0.0 END FOR t IN ['T1','T2','T3','T4','T5','T6']] AS one_hot FROM samples")
+def task_vectors(spark: S, d: str) -> DataFrame:
+    return samples(spark, d).select("sample_id", features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("one_hot"))
+
+
+@query("SELECT result_id, round(coalesce(input_tokens,0)/1e6*cost_per_1m_input + coalesce(output_tokens,0)/1e6*cost_per_1m_output + coalesce(reasoning_tokens,0)/1e6*cost_per_1m_reasoning, 8) AS expected_cost FROM runs JOIN model_configs USING (config_id)")
+def token_costs(spark: S, d: str) -> DataFrame:
+    j = runs(spark, d).join(table(spark, d, "model_configs"), "config_id")
+    rates = [F.col(f"cost_per_1m_{k}") for k in ("input", "output", "reasoning")]
+    return j.select("result_id", features.token_cost(rates, [F.col(f"{k}_tokens") for k in ("input", "output", "reasoning")]).alias("expected_cost"))
+
+
+@query(r"SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events", base=False)
+def json_fields(spark: S, d: str) -> DataFrame:
+    leaves = text.json_leaves(F.col("props"))
+    return table(spark, d, "events").select("event_id", leaves["k"].cast("long").alias("k"))
+
+
+@query(r"SELECT sample_id, regexp_extract(lower(image_path), '\.([a-z0-9]+)([?#].*)?$', 1) AS extension FROM samples WHERE image_path IS NOT NULL AND image_path NOT LIKE '%..%'")
+def image_extensions(spark: S, d: str) -> DataFrame:
+    return samples(spark, d).where("image_path is not null and image_path not like '%..%'").select("sample_id", F.regexp_extract(F.lower("image_path"), r"\.([a-z0-9]+)([?#].*)?$", 1).alias("extension"))
+
+
+@query(r"""SELECT sample_id, alias FROM (SELECT sample_id, unnest(gt_answer_aliases) AS alias FROM samples) WHERE trim(alias) <> ''""")
+def alias_rows(spark: S, d: str) -> DataFrame:
+    return samples(spark, d).select("sample_id", F.explode("gt_answer_aliases").alias("alias")).where(F.trim("alias") != "")
