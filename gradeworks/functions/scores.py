@@ -5,15 +5,13 @@ A null prediction is wrong under every metric; so is any prediction against no r
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import PUNCTUATION, collapse, strip
+from .trees import read_tree, tree_distance, tree_size
 
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 #: Spellings of the two labels of table claims, and the sixteen document classes by index.
@@ -230,63 +228,6 @@ def slide(predicted: Column, reference: Column, question: Column) -> Column:
     return F.when((counts | both) & both, near).otherwise(same)
 
 
-class _Tree(HTMLParser):
-    """Reads HTML into nested ``[label, children]`` lists; attributes and blank texts are dropped."""
-
-    VOID = frozenset(("br", "hr", "img", "input", "meta", "link", "col"))
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.root: list = ["root", []]
-        self.path = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        node = [tag, []]
-        self.path[-1][1].append(node)
-        if tag not in self.VOID:
-            self.path.append(node)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.path) - 1, 0, -1):
-            if self.path[i][0] == tag:
-                del self.path[i:]
-                return
-
-    def handle_data(self, data):
-        if data.strip():
-            self.path[-1][1].append([data.strip(), []])
-
-
-def read_tree(markup: str) -> list:
-    """The tree of an HTML text; lines of a pipe table become a table first."""
-    rows = [r for r in markup.split("\n") if r.strip().startswith("|")]
-    if len(rows) > 1 and "<table" not in markup.lower():
-        cells = [[c.strip() for c in r.strip().strip("|").split("|")] for r in rows if not re.fullmatch(r"[|\s:\-]+", r.strip())]
-        markup = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells) + "</table>"
-    parser = _Tree()
-    parser.feed(markup)
-    return parser.root
-
-
-def tree_size(node: list) -> int:
-    """Nodes of a tree."""
-    return 1 + sum(tree_size(c) for c in node[1])
-
-
-def tree_distance(a: list, b: list) -> int:
-    """Edits between two ordered trees that keep their roots paired: whole subtrees come and go."""
-    left, right = a[1], b[1]
-    row = [0]
-    for y in right:
-        row.append(row[-1] + tree_size(y))
-    for x in left:
-        gone = tree_size(x)
-        last, row[0] = row[0], row[0] + gone
-        for j, y in enumerate(right, 1):
-            last, row[j] = row[j], min(row[j] + gone, row[j - 1] + tree_size(y), last + tree_distance(x, y))
-    return row[-1] + (a[0] != b[0])
-
-
 @F.pandas_udf(T.DoubleType())
 def table_similarity(predicted: pd.Series, reference: pd.Series) -> pd.Series:
     """1 - tree distance / larger tree; 1 for equal texts, 0 for an empty or missing one."""

@@ -73,7 +73,7 @@ def diverse(df: DataFrame, group: str, features: Sequence[str], priority: str, i
     documented bound of the operator, which are cut before the group comes together.
     """
     ranked = Window.partitionBy(group).orderBy(F.desc(priority), identity)
-    rows = df.select(group, identity, priority, *features).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= pool)
+    rows = df.select(*dict.fromkeys([group, identity, priority, *features])).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= pool)
     out = T.StructType([rows.schema[group], rows.schema[identity], T.StructField("pick", T.IntegerType())])
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:

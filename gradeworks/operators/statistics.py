@@ -41,35 +41,39 @@ def _cumulated(values: DataFrame, by: str, sums: list[str], slices: int = 64) ->
     return joined.select(*values.columns, *[(F.sum(c).over(inside) + F.col(f"__{c}")).alias(f"upto_{c}") for c in sums])
 
 
+def _sides(rows: DataFrame, value: str, first: Column) -> tuple[DataFrame, DataFrame]:
+    """Counts of both sides per distinct value, and their totals; names cannot clash with the table's."""
+    own = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("__x"), first.alias("__y"))
+    counts = own.groupBy("__x").agg(F.count_if(F.col("__y")).alias("__a"), F.count_if(~F.col("__y")).alias("__b"))
+    return counts, counts.agg(F.sum("__a").alias("__na"), F.sum("__b").alias("__nb"))
+
+
 def ks_statistic(rows: DataFrame, value: str, first: Column) -> DataFrame:
     """The largest difference of two distribution functions; null if a side is empty."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(first).alias("a"), F.count_if(~first).alias("b"))
-    total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    both = _cumulated(counts, value, ["a", "b"]).join(F.broadcast(total))
-    return both.agg(F.round(F.max(F.abs(F.try_divide(F.col("upto_a"), F.col("na")) - F.try_divide(F.col("upto_b"), F.col("nb")))), 6).alias("ks"))
+    counts, total = _sides(rows, value, first)
+    both = _cumulated(counts, "__x", ["__a", "__b"]).join(F.broadcast(total))
+    return both.agg(F.round(F.max(F.abs(F.try_divide(F.col("upto___a"), F.col("__na")) - F.try_divide(F.col("upto___b"), F.col("__nb")))), 6).alias("ks"))
 
 
-def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """``value`` and its average rank, one row per distinct value."""
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return _cumulated(counts, value, ["n"]).select(value, (F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2).alias(name))
+def _average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
+    counts = rows.groupBy(value).agg(F.sum("__w").alias("__n"))
+    return _cumulated(counts, value, ["__n"]).select(value, (F.col("upto___n") - F.col("__n") + (F.col("__n") + 1) / 2).alias(name))
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The correlation of average ranks over rows with both values."""
-    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("w"))
-    spread = pairs.join(average_ranks(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "ra"), a).join(average_ranks(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), b, "rb"), b)
-    w, x, y = F.col("w").cast("double"), F.col("ra"), F.col("rb")
-    sums = spread.agg(F.sum(w).alias("n"), (F.sum(w * x) / F.sum(w)).alias("mx"), (F.sum(w * y) / F.sum(w)).alias("my"))
-    centred = spread.join(F.broadcast(sums))
-    dx, dy = x - F.col("mx"), y - F.col("my")
-    return centred.agg(F.round(F.sum(w * dx * dy) / F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)), 6).alias("rho"))
+    """The correlation of average ranks over rows with both values; null without spread."""
+    pairs = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("__p"), F.col(b).alias("__q")).agg(F.count(F.lit(1)).alias("__w"))
+    spread = pairs.join(_average_ranks(pairs, "__p", "__ra"), "__p").join(_average_ranks(pairs, "__q", "__rb"), "__q")
+    w, x, y = F.col("__w").cast("double"), F.col("__ra"), F.col("__rb")
+    sums = spread.agg((F.sum(w * x) / F.sum(w)).alias("__mx"), (F.sum(w * y) / F.sum(w)).alias("__my"))
+    dx, dy = x - F.col("__mx"), y - F.col("__my")
+    whole = F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))
+    return spread.join(F.broadcast(sums)).agg(F.round(F.try_divide(F.sum(w * dx * dy), whole), 6).alias("rho"))
 
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """The area under the ROC curve by ranks; ties count half."""
-    counts = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(positive).alias("a"), F.count_if(~positive).alias("b"))
-    total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    both = _cumulated(counts, score, ["b"]).join(F.broadcast(total))
-    won = F.sum(F.col("a") * (F.col("upto_b") - F.col("b") / 2))
-    return both.agg(F.round(won / (F.first("na").cast("double") * F.first("nb")), 6).alias("auc"))
+    """The area under the ROC curve by ranks; ties count half; null if a side is empty."""
+    counts, total = _sides(rows, score, positive)
+    both = _cumulated(counts, "__x", ["__b"]).join(F.broadcast(total))
+    won = F.sum(F.col("__a") * (F.col("upto___b") - F.col("__b") / 2))
+    return both.agg(F.round(F.try_divide(won, F.first("__na").cast("double") * F.first("__nb")), 6).alias("auc"))

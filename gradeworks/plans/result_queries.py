@@ -189,9 +189,9 @@ def _task_accuracy(spark: S, d: str) -> DataFrame:
     return matrix(spark, d).join(tasks, "sample_id").groupBy("model_name", "task").agg(F.avg(right).alias("a"))
 
 
-@query(_TASKS + "SELECT model_name, round(max(a) - min(a), 6) AS spread, round(max(a), 6) AS best, round(min(a), 6) AS worst, arg_max(task, a) AS best_task FROM acc GROUP BY 1")
+@query(_TASKS + "SELECT model_name, round(max(a) - min(a), 6) AS spread, round(max(a), 6) AS best, round(min(a), 6) AS worst, first(task ORDER BY a DESC, task) AS best_task FROM acc GROUP BY 1")
 def accuracy_spread_by_task(spark: S, d: str) -> DataFrame:
-    return _task_accuracy(spark, d).groupBy("model_name").agg(F.round(F.max("a") - F.min("a"), 6).alias("spread"), F.round(F.max("a"), 6).alias("best"), F.round(F.min("a"), 6).alias("worst"), F.max_by("task", "a").alias("best_task"))
+    return _task_accuracy(spark, d).groupBy("model_name").agg(F.round(F.max("a") - F.min("a"), 6).alias("spread"), F.round(F.max("a"), 6).alias("best"), F.round(F.min("a"), 6).alias("worst"), F.min(F.struct((-F.col("a")).alias("o"), "task"))["task"].alias("best_task"))
 
 
 @query(""", acc AS (SELECT model_name, n.tier AS t, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS a FROM matrix m JOIN notes n USING (sample_id) WHERE n.tier IN (1,2,3) GROUP BY 1, 2),

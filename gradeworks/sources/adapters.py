@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions import scores
+from ..functions.scores import CLAIMS, CLASSES
 from ..functions.features import region
 from ..functions.text import sample_id, strip
+from ..functions.trees import Tree
 
 SAMPLE = ("sample_id", "source_dataset", "task_type", "query", "gt_answer", "gt_answer_aliases", "correctness_metric")
 
@@ -35,7 +36,7 @@ def to_samples(df: DataFrame, name: str, task: str, metric: str, query: Column,
 
 def page_classes(df: DataFrame) -> DataFrame:
     """Class numbers to names, one fixed question."""
-    names = F.array(*map(F.lit, scores.CLASSES))
+    names = F.array(*map(F.lit, CLASSES))
     return to_samples(df, "RVL-CDIP", "T1", "exact_match", F.lit("What is the class of this document?"), F.array(F.get(names, F.col("label").cast("int"))), "test")
 
 
@@ -80,7 +81,7 @@ def table_claims(df: DataFrame) -> DataFrame:
     """Claims about tables, labels as words or 0 and 1."""
     label = F.lower(strip(first_of(df, ["label", "answer"])))
     named = label
-    for spelling, word in scores.CLAIMS.items():
+    for spelling, word in CLAIMS.items():
         named = F.when(label == spelling, F.lit(word)).otherwise(named)
     return to_samples(df, "TabFact", "T4", "exact_match", first_of(df, ["claim", "statement", "question"]), F.array(named), "test")
 
@@ -205,6 +206,6 @@ def table_cells(markup: str):
             else:
                 yield from walk(child)
 
-    tree = scores._Tree()
+    tree = Tree()
     tree.feed(markup)
     yield from walk(tree.root)

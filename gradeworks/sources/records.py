@@ -32,15 +32,18 @@ def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def read_many(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
-    """All files of a pattern with ``file`` and ``line``: the order in which a reader of files by name meets records.
+    """All files of a pattern with ``file``, ``block`` and ``line``: ordered by them, records come as a reader of files by name meets them.
 
-    Raises if no file matches.
+    ``line`` orders the records of a block and says nothing more: files are split and read in
+    parallel.  Malformed and blank lines are dropped.  Raises if no file matches.
     """
     if not exists(spark, pattern):
         raise FileNotFoundError(pattern)
-    text = spark.read.option("wholetext", True).text(pattern).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "raw"))
-    parsed = text.where(F.trim("raw") != "").select("file", "line", F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("r"))
-    return parsed.where(F.to_json("r") != "{}").select("file", "line", "r.*")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    text = spark.read.text(pattern).select(*place, F.col("value").alias("raw"))
+    parsed = text.where(F.trim("raw") != "").select("file", "block", "line", F.from_json("raw", schema).alias("r"))
+    some = F.array_size(F.array_compact(F.array(*[F.col(f"r.{c}").cast("string") for c in schema.names]))) > 0
+    return parsed.where(some).select("file", "block", "line", "r.*")
 
 
 def read_document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
