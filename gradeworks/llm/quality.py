@@ -41,6 +41,7 @@ _UNSPOKEN = re.compile(r"[^aeiouyäöüàâéèêëîïôûùáíóúñãõåæ
 _CODED = re.compile(r"(?=[^\s]*\d)[0-9a-fA-F]{8,}|[A-Za-z0-9+/=]{24,}")
 _MANGLED = re.compile(r"[ÃÂ�ï¿½]|â€")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
+_EDGE = ".,;:!?…\"'`()[]{}<>«»“”„’*#>|"
 _END = tuple(".!?…:;\"'”»)]。！？」")
 _RUN = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"[.!?…。！？](?=[\s\"'”»)]|$)")
@@ -122,7 +123,8 @@ def piece_counts(text: str, starts_mid_line: bool = False, starts_mid_word: bool
             continue
         bare = _TAG.sub(" ", line) if "<" in line else line
         words = _LETTERS.findall(bare.lower())
-        common = sum(map(WORDS.__contains__, words))
+        # Only whole tokens count: the letters of a code or a hash are no function words.
+        common = sum(map(WORDS.__contains__, [t.strip(_EDGE) for t in bare.lower().split()]))
         visible = len("".join(line.split()))
         word_chars = sum(map(len, words))
         digits = sum(map(str.isdigit, line)) if not line.isalpha() else 0
