@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -111,12 +112,18 @@ def facility_location(vectors: DataFrame, vector: str, identity: str, size: int,
         weight = frame["weight"].to_numpy(dtype=float)
         square = (x * x).sum(axis=1)
         kernel = np.exp(-np.maximum(0, square[:, None] + square[None, :] - 2 * x @ x.T) / (2 * sigma * sigma))
-        covered, free, picks = np.zeros(len(frame)), np.ones(len(frame), dtype=bool), []
-        for _ in range(min(size, len(frame))):
-            gains = np.round(np.where(free, (np.maximum(0, kernel - covered[None, :]) * weight[None, :]).sum(axis=1), -1.0), 9)
-            i = int(np.argmax(gains))
-            picks.append((frame[identity].iat[i], len(picks) + 1, float(gains[i])))
-            free[i], covered = False, np.maximum(covered, kernel[i])
+        covered, picks = np.zeros(len(frame)), []
+        # Gains only ever shrink, so one computed earlier bounds what is left of it: most need no second look.
+        bounds = [(-round(float(g), 9), i) for i, g in enumerate(kernel @ weight)]
+        heapq.heapify(bounds)
+        while bounds and len(picks) < size:
+            _, i = heapq.heappop(bounds)
+            fresh = (-round(float((np.maximum(0, kernel[i] - covered) * weight).sum()), 9), i)
+            if bounds and fresh > bounds[0]:
+                heapq.heappush(bounds, fresh)
+                continue
+            picks.append((frame[identity].iat[i], len(picks) + 1, -fresh[0]))
+            covered = np.maximum(covered, kernel[i])
         return pd.DataFrame(picks, columns=out.names)
 
     return distinct.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(choose, out)

@@ -137,6 +137,12 @@ def facility_location(spark: S, d: str) -> DataFrame:
     return sampling.facility_location(graded.select("sample_id", vector.alias("v")), "v", "sample_id", 30, 1.0)
 
 
+@query()
+def representative_vectors(spark: S, d: str) -> DataFrame:
+    """150 vectors that cover all embeddings best, under a kernel as wide as their median distance."""
+    return sampling.facility_location(table(spark, d, "embeddings"), "embedding", "vec_id", 150, 1.41)
+
+
 # Similarity
 
 

@@ -1,6 +1,7 @@
 """Operators against brute force, and on nulls, ties, repeats and empty tables."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -188,3 +189,23 @@ def test_thresholds(spark):
 def test_region_and_vectors(spark):
     one = spark.range(1).select(features.region(F.lit(0.5), F.lit(0.1)).alias("r"), features.outer_product(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("o"), features.tuple_distance(F.array(F.lit("a"), F.lit(None)), F.array(F.lit("b"), F.lit(None))).alias("d")).first()
     assert (one["r"], one["o"], one["d"]) == ("top", [3.0, 4.0, 6.0, 8.0], 1)
+
+
+def test_facility_location_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.randint(0, 3) / 2, rng.randint(0, 3) / 2]) for i in range(40)]
+    got = sampling.facility_location(spark.createDataFrame(rows, "id long, v array<double>"), "v", "id", 6, 0.7).orderBy("pick").collect()
+    first = {}
+    for i, v in rows:
+        first.setdefault(tuple(v), i)
+
+    def near(a, b):
+        return math.exp(-sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) / (2 * 0.7 * 0.7))
+
+    covered, want = [0.0] * len(rows), []
+    for _ in range(6):
+        gain = {i: round(sum(max(0, near(v, w) - c) for (_, w), c in zip(rows, covered, strict=True)), 9) for v, i in first.items() if i not in want}
+        best = min(gain, key=lambda i: (-gain[i], i))
+        want.append(best)
+        covered = [max(c, near(rows[best][1], w)) for (_, w), c in zip(rows, covered, strict=True)]
+    assert [r["id"] for r in got] == want
