@@ -51,7 +51,10 @@ PIECE = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c,
 
 
 def kind_of_line(line: str, words: list[str], common: int, visible: int, symbols: int) -> str:
-    """``prose``, ``list``, ``table`` or ``junk``: what one line by itself looks like."""
+    """``prose``, ``list``, ``table``, ``junk``, or ``short``: what one line by itself looks like.
+
+    A short line without marks is an item, unless the line before it leaves a sentence open.
+    """
     count = len(words)
     share = common / count if count else 0.0
     if "<" in line:
@@ -105,7 +108,7 @@ def kind_of_line(line: str, words: list[str], common: int, visible: int, symbols
     if _FIELD.match(line) and some <= 16:
         return "list"
     if some <= 10:
-        return "list"
+        return "short"
     # Words of a language without known function words: sentences have ends and few repeats.
     ends = len(_STOP.findall(line))
     if count >= 5 and ends and count <= 45 * ends and len(set(words)) * 2 >= count and symbols * 6 < visible:
@@ -113,38 +116,52 @@ def kind_of_line(line: str, words: list[str], common: int, visible: int, symbols
     return "junk"
 
 
-def piece_counts(text: str, starts_mid_line: bool = False, starts_mid_word: bool = False, ends_mid_line: bool = False) -> list[int]:
-    """The counts of one chunk; a cut line counts once, and so does a cut word."""
+def measure(raw: str) -> tuple[str, list[str], int, int, int, int, str]:
+    """A line without white space around it, its words, and what is counted of it, with its kind."""
+    line = (html.unescape(raw) if "&" in raw and ";" in raw else raw).strip()
+    if not line:
+        return "", [], 0, 0, 0, 0, ""
+    bare = _TAG.sub(" ", line) if "<" in line else line
+    words = _LETTERS.findall(bare.lower())
+    # Only whole tokens count: the letters of a code or a hash are no function words.
+    common = sum(map(WORDS.__contains__, [t.strip(_EDGE) for t in bare.lower().split()]))
+    visible = len("".join(line.split()))
+    digits = sum(map(str.isdigit, line)) if not line.isalpha() else 0
+    symbols = max(0, visible - sum(map(len, words)) - digits - (len(line) - len(bare)))
+    return line, words, common, visible, digits, symbols, kind_of_line(line, words, common, visible, symbols)
+
+
+def piece_counts(text: str, starts_mid_line: bool = False, starts_mid_word: bool = False, ends_mid_line: bool = False, before: str = "") -> list[int]:
+    """The counts of one chunk; a cut line counts once, and so does a cut word.
+
+    ``before`` is the line before the chunk, which tells whether a sentence is open.
+    """
     total = dict.fromkeys(COUNTS, 0)
     lines = text.split("\n")
+    last, *_, kind = measure(before)
+    is_open = kind == "prose" and not last.endswith(_END)
     for number, raw in enumerate(lines):
-        line = (html.unescape(raw) if "&" in raw and ";" in raw else raw).strip()
+        line, words, common, visible, digits, symbols, kind = measure(raw)
         if not line:
+            is_open = False
             continue
-        bare = _TAG.sub(" ", line) if "<" in line else line
-        words = _LETTERS.findall(bare.lower())
-        # Only whole tokens count: the letters of a code or a hash are no function words.
-        common = sum(map(WORDS.__contains__, [t.strip(_EDGE) for t in bare.lower().split()]))
-        visible = len("".join(line.split()))
-        word_chars = sum(map(len, words))
-        digits = sum(map(str.isdigit, line)) if not line.isalpha() else 0
-        symbols = max(0, visible - word_chars - digits - (len(line) - len(bare)))
         total["chars"] += visible
         total["words"] += len(words)
-        total["word_chars"] += word_chars
+        total["word_chars"] += sum(map(len, words))
         total["common"] += common
         total["digits"] += digits
         total["symbols"] += symbols
         total["lines"] += not (number == 0 and starts_mid_line)
         total["ended"] += line.endswith(_END) and not (ends_mid_line and number == len(lines) - 1)
-        total[kind_of_line(line, words, common, visible, symbols)] += visible
+        total["prose" if kind == "short" and is_open else "list" if kind == "short" else kind] += visible
+        is_open = kind == "prose" and not line.endswith(_END)
     if starts_mid_word:
         total["words"] -= 1
     return [int(total[c]) for c in COUNTS]
 
 
-def chunks(text: str, size: int, look: int = 2048) -> Iterator[tuple[str, bool, bool, bool]]:
-    """``(chunk, starts mid line, starts mid word, ends mid line)`` of a text, in order.
+def chunks(text: str, size: int, look: int = 2048) -> Iterator[tuple[str, bool, bool, bool, str]]:
+    """``(chunk, starts mid line, starts mid word, ends mid line, line before)`` of a text, in order.
 
     A chunk ends after the last line break among its last ``look`` characters, else after the last
     space there, else where it is full: only a line or a word longer than ``look`` is ever cut.
@@ -157,7 +174,8 @@ def chunks(text: str, size: int, look: int = 2048) -> Iterator[tuple[str, bool,
             low = max(at + 1, end - look)
             cut = text.rfind("\n", low, end) + 1 or text.rfind(" ", low, end) + 1 or end
         ends_line = cut >= len(text) or text[cut - 1] == "\n"
-        yield text[at:cut], mid_line, mid_word, not ends_line
+        before = "" if mid_line or not at else text[max(0, at - look) : at - 1].rpartition("\n")[2]
+        yield text[at:cut], mid_line, mid_word, not ends_line, before
         mid_line = not ends_line
         mid_word = mid_line and text[cut - 1].isalpha() and text[cut].isalpha()
         at = cut
@@ -171,7 +189,7 @@ def counts(documents: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     partial aggregation, so a text of any size costs each task about a chunk at a time.
     """
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cut_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.BooleanType()) for c in ("mid_line", "mid_word", "ends_mid_line")]])
+    cut_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.BooleanType()) for c in ("mid_line", "mid_word", "ends_mid_line")], T.StructField("before", T.StringType())])
 
     def count_whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -184,7 +202,7 @@ def counts(documents: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 
     def count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([(r.doc_id, *piece_counts(r.text, r.mid_line, r.mid_word, r.ends_mid_line)) for r in frame.itertuples()], columns=PIECE.names)
+            yield pd.DataFrame([(r.doc_id, *piece_counts(r.text, r.mid_line, r.mid_word, r.ends_mid_line, r.before)) for r in frame.itertuples()], columns=PIECE.names)
 
     small = rows.where(F.length("text") <= chunk).mapInPandas(count_whole, PIECE)
     pieces = rows.where(F.length("text") > chunk).mapInPandas(cut, cut_schema)
