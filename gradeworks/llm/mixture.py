@@ -43,7 +43,8 @@ def needs(members: DataFrame, targets: DataFrame, draw: int) -> DataFrame:
     counts = members.groupBy(*CATEGORY).agg(F.count(F.lit(1)).alias("available"))
     share = F.ceil(F.col("target_bp").cast("long") * F.lit(draw) / F.lit(10_000))
     need = F.greatest(share, F.col("min_rows").cast("long"))
-    return targets.join(counts, list(CATEGORY), "left").select(*CATEGORY, "target_bp", "min_rows", need.alias("need"), F.coalesce("available", F.lit(0)).alias("available"))
+    wanted = targets.select(*CATEGORY, "target_bp", "min_rows")
+    return wanted.join(counts, list(CATEGORY), "left").select(*CATEGORY, "target_bp", "min_rows", need.alias("need"), F.coalesce("available", F.lit(0)).alias("available"))
 
 
 def quotas(demand: DataFrame, draw: int) -> DataFrame:
