@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,23 +20,36 @@ def held_out(identity: Column, share: float, seed: int) -> Column:
     return u < F.lit(int(share * (1 << 32)))
 
 
+def _filled(vector: Column) -> Column:
+    return F.transform(vector, lambda x: F.coalesce(x, F.lit(0.0)))
+
+
 def complete_matrix(observed: DataFrame, target: DataFrame, sample: str, config: str, label: str, strength: float = 1.0, rounds: int = 50) -> DataFrame:
     """``target`` with ``chance``: logistic regression on all products of sample and configuration features.
 
     ``strength`` is the inverse weight of the ridge penalty over all rows; features are not scaled.
+    Null features count as 0, rows without a label teach nothing, and without any the chance is null.
     """
     def featured(df: DataFrame) -> DataFrame:
-        return df.withColumn("__x", array_to_vector(outer_product(F.col(sample), F.col(config))))
+        return df.withColumn("__x", array_to_vector(_filled(outer_product(F.col(sample), F.col(config)))))
 
     train = featured(observed.where(F.col(label).isNotNull())).select(F.col(label).cast("double").alias("label"), F.col("__x").alias("features"))
     rows = train.count()
+    if not rows:
+        return target.withColumn("chance", F.lit(None).cast("double"))
     model = LogisticRegression(maxIter=rounds, regParam=1.0 / (strength * max(1, rows)), elasticNetParam=0.0, standardization=False).fit(train)
     scored = model.transform(featured(target).withColumnRenamed("__x", "features"))
     return scored.withColumn("chance", vector_to_array("probability")[1]).drop("features", "probability", "rawPrediction", "prediction")
 
 
 def logistic_router(train: DataFrame, test: DataFrame, features: str, label: str, key: str, rounds: int = 50) -> DataFrame:
-    """Multinomial logistic regression on standardised features: key and predicted class."""
+    """Multinomial logistic regression on standardised features: key and predicted class.
+
+    Null features count as 0; without training rows every prediction is null.
+    """
+    train, test = (t.withColumn(features, _filled(F.col(features))) for t in (train.where(F.col(label).isNotNull()), test))
+    if train.isEmpty():
+        return test.select(key, F.lit(None).cast("int").alias("predicted"))
     scaled = StandardScaler(inputCol="__x", outputCol="features", withMean=True, withStd=True).fit(train.withColumn("__x", array_to_vector(features)))
     model = LogisticRegression(maxIter=rounds, family="multinomial").fit(scaled.transform(train.withColumn("__x", array_to_vector(features))).withColumn("label", F.col(label).cast("double")))
     out = model.transform(scaled.transform(test.withColumn("__x", array_to_vector(features))))
@@ -82,6 +96,37 @@ def first_correct_budget(matrix: DataFrame, key: str = "sample_id") -> DataFrame
     return matrix.groupBy(key, "model_name").agg(F.round(F.log1p(F.min(F.when(right, F.col("budget_tokens"))).cast("double")), 6).alias("target"))
 
 
+def factor_completion(observed: DataFrame, target: DataFrame, label: str, rank: int = 8, rounds: int = 10, seed: int = 42) -> DataFrame:
+    """``target`` with ``chance`` from low-rank factors of samples and configurations.
+
+    Ids are hashed to the 31 bits that the factorisation takes; a sample or configuration that was
+    never observed has the mean of the observed labels.
+    """
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"__{c}": F.pmod(F.xxhash64(c), F.lit((1 << 31) - 1)).cast("int") for c in ("sample_id", "config_id")})
+
+    known = numbered(observed.where(F.col(label).isNotNull())).select("__sample_id", "__config_id", F.col(label).cast("float").alias("__y"))
+    if known.isEmpty():
+        return target.withColumn("chance", F.lit(None).cast("double"))
+    mean = known.agg(F.avg("__y").alias("__mean"))
+    model = ALS(rank=rank, maxIter=rounds, regParam=0.1, userCol="__sample_id", itemCol="__config_id", ratingCol="__y", coldStartStrategy="nan", seed=seed).fit(known)
+    scored = model.transform(numbered(target)).join(F.broadcast(mean))
+    chance = F.when(F.isnan("prediction") | F.col("prediction").isNull(), F.col("__mean")).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction").cast("double"))))
+    return scored.withColumn("chance", chance).select(*target.columns, "chance")
+
+
+def network_router(train: DataFrame, test: DataFrame, features: str, label: str, key: str, classes: int, hidden: Sequence[int] = (16,), rounds: int = 60, seed: int = 42) -> DataFrame:
+    """A feed-forward network on standardised features: key and predicted class."""
+    train, test = (t.withColumn("__x", array_to_vector(_filled(F.col(features)))) for t in (train.where(F.col(label).isNotNull()), test))
+    first = train.select(F.size(features).alias("n")).first()
+    if first is None:
+        return test.select(key, F.lit(None).cast("int").alias("predicted"))
+    scaled = StandardScaler(inputCol="__x", outputCol="features", withMean=True, withStd=True).fit(train)
+    net = MultilayerPerceptronClassifier(layers=[first["n"], *hidden, classes], maxIter=rounds, seed=seed)
+    model = net.fit(scaled.transform(train).withColumn("label", F.col(label).cast("double")))
+    return model.transform(scaled.transform(test)).select(key, F.col("prediction").cast("int").alias("predicted"))
+
+
 def route_by_chance(scored: DataFrame, threshold: float = 0.5, key: str = "sample_id") -> DataFrame:
     """The cheapest configuration with at least the threshold's chance, else the cheapest of all."""
     good = F.min(F.when(F.col("chance") >= threshold, F.struct("cost", "config_id")))["config_id"]

@@ -43,6 +43,36 @@ def completion_routes(spark: S, d: str) -> DataFrame:
     return learn.route_by_chance(scored)
 
 
+@query()
+def factor_routes(spark: S, d: str) -> DataFrame:
+    """The cheapest configuration that low-rank factors deem right, for held-out entries."""
+    m = matrix(spark, d)
+    out = learn.held_out(_key(), 0.2, 42)
+    return learn.route_by_chance(learn.factor_completion(m.where(~out), m.where(out), "is_correct"))
+
+
+@query()
+def learning_curve(spark: S, d: str) -> DataFrame:
+    """AUC on one held-out fifth after training on a tenth, a third and all of the rest."""
+    rows = _featured(spark, d)
+    out, part = learn.held_out(_key(), 0.2, 42), None
+    for share in (0.1, 0.33, 1.0):
+        train = rows.where(~out & learn.held_out(_key(), share, 7)) if share < 1 else rows.where(~out)
+        scored = learn.complete_matrix(train, rows.where(out), "x", "c", "is_correct")
+        one = statistics.auc(scored.where("is_correct is not null").withColumn("chance", F.round("chance", 9)), "chance", F.col("is_correct")).select(F.lit(share).alias("share"), "auc")
+        part = one if part is None else part.unionByName(one)
+    return part
+
+
+@query()
+def model_holdout_auc(spark: S, d: str) -> DataFrame:
+    """AUC per configuration of one model that training never saw."""
+    rows = _featured(spark, d)
+    out = F.col("config_id").startswith("c1_onyx")
+    scored = learn.complete_matrix(rows.where(~out), rows.where(out), "x", "c", "is_correct").where("is_correct is not null").withColumn("chance", F.round("chance", 9))
+    return statistics.auc(scored, "chance", F.col("is_correct"))
+
+
 _HELD = "CAST(('0x' || substr(md5(sample_id || '|' || config_id || ':42'), 1, 8)) AS BIGINT) < 858993459"
 _BASE = f""", tr AS (SELECT * FROM matrix WHERE NOT ({_HELD})), te AS (SELECT * FROM matrix WHERE {_HELD})"""
 
@@ -74,6 +104,15 @@ def logistic_tier_router(spark: S, d: str) -> DataFrame:
     return learn.logistic_router(rows.where(~out), rows.where(out), "x", "label", "sample_id")
 
 
+@query()
+def network_tier_router(spark: S, d: str) -> DataFrame:
+    label = routing.cascade(matrix(spark, d)).where("tier is not null").select("sample_id", (F.col("tier") - 1).alias("label"))
+    vector = F.array(*[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.coalesce("num_pages", F.lit(1)).cast("double"))
+    rows = samples(spark, d).select("sample_id", vector.alias("x")).join(label, "sample_id")
+    out = learn.held_out(F.col("sample_id"), 0.2, 42)
+    return learn.network_router(rows.where(~out), rows.where(out), "x", "label", "sample_id", classes=3)
+
+
 @query("SELECT sample_id, model_name, round(ln(1 + min(budget_tokens) FILTER (WHERE is_correct)), 6) AS target FROM matrix GROUP BY 1, 2")
 def budget_targets(spark: S, d: str) -> DataFrame:
     return learn.first_correct_budget(matrix(spark, d))
