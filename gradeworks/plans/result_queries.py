@@ -368,7 +368,7 @@ def calls_saved(spark: S, d: str) -> DataFrame:
 
 
 @query("""SELECT config_id, n, round(worst, 6) AS accuracy, top_share > .4 AND n >= 100 AS one_answer FROM (
- SELECT config_id, sum(c) AS n, sum(k) * 1.0 / sum(c) AS worst, max(c) * 1.0 / sum(c) AS top_share FROM (
+ SELECT config_id, CAST(sum(c) AS BIGINT) AS n, sum(k) * 1.0 / sum(c) AS worst, max(c) * 1.0 / sum(c) AS top_share FROM (
  SELECT config_id, predicted_answer, count(*) AS c, count(*) FILTER (WHERE is_correct) AS k FROM runs WHERE predicted_answer IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""")
 def batch_checks(spark: S, d: str) -> DataFrame:
     right = F.count_if(F.coalesce("is_correct", F.lit(False)))

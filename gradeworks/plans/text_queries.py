@@ -164,7 +164,7 @@ _PRIOR = f"""SELECT sample_id, CASE WHEN has_chart AND has_figure THEN 4 WHEN ha
  regexp_replace(lower(coalesce(source_dataset, '')), '[\\s\\-_]+', '', 'g') AS src, {_any(features.CALCULATION)} AS counts FROM samples"""
 
 
-@query(f", raw AS ({_PRIOR}) SELECT sample_id, vds, rds, ses, round(0.30*vds + 0.45*rds + 0.25*ses, 4) AS composite FROM raw")
+@query(f", raw AS ({_PRIOR}) SELECT sample_id, vds, rds, ses, CAST(round(0.30*vds + 0.45*rds + 0.25*ses, 4) AS DOUBLE) AS composite FROM raw")
 def prior_scores(spark: S, d: str) -> DataFrame:
     s = samples(spark, d).select("sample_id", features.visual_score().alias("vds"), features.reasoning_score().alias("rds"), features.extent_score().alias("ses"))
     return s.withColumn("composite", features.composite(F.col("vds"), F.col("rds"), F.col("ses")))
@@ -189,7 +189,7 @@ def soft_tiers(spark: S, d: str) -> DataFrame:
     return p.select("sample_id", "tier", features.soft_tiers(F.col("tier"), F.col("composite")).alias("soft"))
 
 
-@query("SELECT sample_id, [CASE WHEN upper(trim(task_type)) = t THEN 1.0 ELSE 0.0 END FOR t IN ['T1','T2','T3','T4','T5','T6']] AS one_hot FROM samples")
+@query("SELECT sample_id, [CASE WHEN upper(trim(task_type)) = t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END FOR t IN ['T1','T2','T3','T4','T5','T6']] AS one_hot FROM samples")
 def task_vectors(spark: S, d: str) -> DataFrame:
     return samples(spark, d).select("sample_id", features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("one_hot"))
 
