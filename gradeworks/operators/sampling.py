@@ -11,17 +11,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import materialize
+
 
 def hash_order(identity: str, seed: int = 42) -> Column:
     """A reproducible random order that any engine with MD5 gives alike."""
     return F.md5(F.concat(F.col(identity).cast("string"), F.lit(f":{seed}")))
 
 
-def per_group(df: DataFrame, group: str, quota: Column | int, identity: str, seed: int = 42) -> DataFrame:
-    """At most ``quota`` rows of every group, without replacement, in hash order."""
+def per_group(df: DataFrame, group: str, quota: Column | int, identity: str, seed: int = 42, most: int | None = None) -> DataFrame:
+    """At most ``quota`` rows of every group, without replacement, in hash order.
+
+    A quota that differs by group comes with ``most``, the largest: each partition then keeps no
+    more than that of a group before groups come together.
+    """
     ranked = Window.partitionBy(group).orderBy(hash_order(identity, seed), identity)
-    limit = F.lit(quota) if isinstance(quota, int) else quota
-    return df.withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= limit).drop("__rank")
+    if not isinstance(quota, int) and most is None:
+        raise ValueError("a quota by group needs the largest quota")
+    rows = df.withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= F.lit(quota if isinstance(quota, int) else most))
+    return (rows if isinstance(quota, int) else rows.where(F.col("__rank") <= quota)).drop("__rank")
+
+
+def ranked_in_groups(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "__rank") -> DataFrame:
+    """``df`` with the place of each row in its group and the group's size, however large a group is.
+
+    Rows are range-partitioned by group and order; a row's place is that in its range plus the rows
+    of the group in the ranges before.  Only counts per range and group meet.
+    """
+    keyed = df.withColumns({f"__o{i}": o for i, o in enumerate(order)})
+    names = [f"__o{i}" for i in range(len(order))]
+    cut = materialize(keyed.repartitionByRange(*groups, *names).withColumn("__part", F.spark_partition_id()), "ranked")
+    counts = cut.groupBy(*groups, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    own = Window.partitionBy(*groups)
+    before = own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(own).alias(f"{name}_of"))
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    inside = Window.partitionBy("__part", *groups).orderBy(*names)
+    return cut.join(starts, same).withColumn(name, F.row_number().over(inside) + F.col("__start")).select(*df.columns, name, f"{name}_of")
 
 
 def proportional(df: DataFrame, stratum: str, size: int, order: Sequence[Column | str]) -> DataFrame:
@@ -36,14 +64,13 @@ def proportional(df: DataFrame, stratum: str, size: int, order: Sequence[Column
     left = F.greatest(F.lit(0), F.lit(size) - F.col("__before"))
     quotas = shared.select(stratum, F.when(F.col("__total") <= size, F.col("__n")).otherwise(F.least(F.when(F.col("__last"), left).otherwise(F.col("__raw")), F.col("__n"), left)).alias("__quota"))
     ranked = Window.partitionBy(stratum).orderBy(*order)
-    return df.join(F.broadcast(quotas), stratum).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= F.col("__quota")).select(*df.columns)
+    return df.join(F.broadcast(quotas), stratum).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= F.lit(size)).where(F.col("__rank") <= F.col("__quota")).select(*df.columns)
 
 
 def stratified(df: DataFrame, strata: Sequence[str], share: float, identity: str, seed: int = 42) -> DataFrame:
     """Of every stratum its share rounded down, at least one row, in hash order."""
-    ranked = Window.partitionBy(*strata).orderBy(hash_order(identity, seed), identity)
-    sized = df.withColumn("__rank", F.row_number().over(ranked)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*strata)))
-    return sized.where(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(share)))).drop("__rank", "__n")
+    sized = ranked_in_groups(df, strata, [hash_order(identity, seed), F.col(identity)])
+    return sized.where(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__rank_of") * F.lit(share)))).select(*df.columns)
 
 
 def weighted_tiers(df: DataFrame, tier: str, size: int, weights: dict[int, float], identity: str, seed: int = 42) -> DataFrame:
@@ -55,15 +82,25 @@ def weighted_tiers(df: DataFrame, tier: str, size: int, weights: dict[int, float
     for t, n in quota.items():
         want = F.when(F.col(tier) == t, F.lit(n)).otherwise(want)
     ranked = df.withColumn("__h", hash_order(identity, seed)).withColumn("__rank", F.row_number().over(Window.partitionBy(tier).orderBy("__h", identity)))
-    filled = ranked.withColumn("__own", F.col("__rank") <= want)
+    # No tier can give more than all that is asked for.
+    filled = ranked.where(F.col("__rank") <= F.lit(size)).withColumn("__own", F.col("__rank") <= want)
     order = filled.orderBy(F.desc("__own"), "__h", identity).limit(size)
     return order.select(*df.columns)
 
 
-def keep_within(df: DataFrame, limit: float, cost: str, order: Sequence[str]) -> DataFrame:
-    """Rows in order while their running cost stays below the limit."""
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__spent", F.sum(cost).over(running)).where(F.col("__spent") < limit).drop("__spent")
+def keep_within(df: DataFrame, limit: float, cost: str, order: Sequence[str], total: str = "spent") -> DataFrame:
+    """Rows in order while their running cost stays below the limit, with that cost.
+
+    Costs are summed by ranges of the order; a range starts from the totals before it, so no task
+    sees all rows.  Null costs are nothing spent.
+    """
+    priced = df.withColumn("__cost", F.coalesce(F.col(cost), F.lit(0.0)))
+    cut = materialize(priced.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "spent")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("__part").agg(F.sum("__cost").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__start"))
+    running = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    spent = cut.join(F.broadcast(starts), "__part").withColumn(total, F.sum("__cost").over(running) + F.col("__start"))
+    return spent.where(F.col(total) < limit).select(*df.columns, total)
 
 
 def diverse(df: DataFrame, group: str, features: Sequence[str], priority: str, identity: str, quota: int, pool: int = 5000) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workspace import materialize
 from .sampling import hash_order
 
 
@@ -62,7 +63,7 @@ def seeds(rows: DataFrame, strata: Sequence[str], size: int, identity: str, seed
     share = largest_remainder(counts, size)
     quota = rows.sparkSession.createDataFrame([(*k, n) for k, n in share.items()], rows.select(*strata).schema.add("__quota", "long"))
     ranked = Window.partitionBy(*strata).orderBy(hash_order(identity, seed), identity)
-    return rows.join(F.broadcast(quota), list(strata)).withColumn("__rank", F.row_number().over(ranked)).where("__rank <= __quota").select(*rows.columns)
+    return rows.join(F.broadcast(quota), list(strata)).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= F.lit(max(share.values(), default=0))).where("__rank <= __quota").select(*rows.columns)
 
 
 def constrained(rows: DataFrame, minima: Sequence[tuple[str, int]], identity: str, seed: int = 42) -> DataFrame:
@@ -70,14 +71,18 @@ def constrained(rows: DataFrame, minima: Sequence[tuple[str, int]], identity: st
 
     Each pass counts what earlier ones picked and adds, in hash order, what a value still lacks.
     """
-    left = rows.withColumn("__h", hash_order(identity, seed)).withColumn("__pass", F.lit(0))
-    for i, (column, least) in enumerate(minima, 1):
-        own = Window.partitionBy(column)
-        order = Window.partitionBy(column, F.col("__pass") == 0).orderBy("__h", identity)
-        have = F.count_if(F.col("__pass") > 0).over(own)
-        pick = (F.col("__pass") == 0) & (F.row_number().over(order) <= F.lit(least) - have)
-        left = left.withColumn("__pass", F.when(pick, i).otherwise(F.col("__pass")))
-    return left.where("__pass > 0").select(*rows.columns)
+    picked: DataFrame | None = None
+    for column, least in minima:
+        order = Window.partitionBy(column).orderBy(hash_order(identity, seed), identity)
+        free = rows if picked is None else rows.join(picked.select(identity), identity, "left_anti")
+        # No value can lack more than the minimum: partitions keep that many before values come together.
+        first = free.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= F.lit(least))
+        if picked is not None:
+            have = picked.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__have"))
+            first = first.join(have, F.col(column).eqNullSafe(F.col("__value")), "left").where(F.col("__rank") <= F.lit(least) - F.coalesce("__have", F.lit(0)))
+        chosen = materialize(first.select(*rows.columns), "chosen")
+        picked = chosen if picked is None else picked.unionByName(chosen)
+    return rows.limit(0) if picked is None else picked
 
 
 def with_floor(counts: Mapping[object, tuple[int, int]], floor: int) -> dict[object, int]:

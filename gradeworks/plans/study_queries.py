@@ -108,7 +108,7 @@ def floored_sample(spark: S, d: str) -> DataFrame:
     have = {r["source_dataset"]: r["n"] for r in g.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n")).collect()}
     dealt = studies.with_floor({k: (min(n, studies.largest_remainder(have, 200).get(k, 0)), n) for k, n in have.items()}, 15)
     quota = spark.createDataFrame(list(dealt.items()), "source_dataset string, quota long")
-    return per_group(g.join(F.broadcast(quota), "source_dataset"), "source_dataset", F.col("quota"), "sample_id").select("sample_id", "source_dataset")
+    return per_group(g.join(F.broadcast(quota), "source_dataset"), "source_dataset", F.col("quota"), "sample_id", most=max(dealt.values(), default=0)).select("sample_id", "source_dataset")
 
 
 @query("""SELECT name, arg_min(c.source_dataset, (CASE WHEN c.source_dataset = name THEN 0 WHEN lower(c.source_dataset) = lower(name) THEN 1 ELSE 2 END) || c.source_dataset) AS catalogue

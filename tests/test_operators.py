@@ -209,3 +209,18 @@ def test_facility_location_against_brute_force(spark):
         want.append(best)
         covered = [max(c, near(rows[best][1], w)) for (_, w), c in zip(rows, covered, strict=True)]
     assert [r["id"] for r in got] == want
+
+
+def test_ranks_of_large_groups(spark):
+    rng = random.Random(8)
+    rows = [("hot" if i % 3 else rng.choice(["a", "b", None]), rng.randint(0, 50), i) for i in range(900)]
+    got = sampling.ranked_in_groups(spark.createDataFrame(rows, "g string, o int, id long"), ["g"], [F.col("o"), F.col("id")]).collect()
+    groups = {}
+    for g, o, i in rows:
+        groups.setdefault(g, []).append((o, i))
+    assert len(got) == 900
+    for r in got:
+        own = sorted(groups[r["g"]])
+        assert own[r["__rank"] - 1] == (r["o"], r["id"]) and r["__rank_of"] == len(own)
+    kept = sampling.keep_within(spark.createDataFrame([(i, 1.0 if i != 5 else None) for i in range(100)], "id long, c double"), 20.0, "c", ["id"]).collect()
+    assert sorted(r["id"] for r in kept) == list(range(20))
