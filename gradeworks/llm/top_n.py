@@ -113,9 +113,15 @@ def top_n(items: DataFrame, group: str, order: list[str], n: int, bucket_rows: i
             for uri in batch.column(0).to_pylist():
                 yield from read_top(uri, group, list(order), n).cast(arrow_schema).to_batches()
 
-    files = sorted(spark.read.schema(schema).parquet(path).inputFiles())
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files))
-    partial = listed.mapInArrow(read, schema)
+    clustered = spark.read.schema(schema).parquet(path)
+    files = sorted(clustered.inputFiles())
+    try:
+        _open(files[0])
+    except (pa.ArrowException, OSError, ValueError):
+        # A shared folder that only Spark can open: its own reader takes all row groups.
+        partial = clustered
+    else:
+        partial = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files)).mapInArrow(read, schema)
     ranked = Window.partitionBy(group).orderBy(*[F.asc_nulls_last(c) for c in order])
     return partial.withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= n).select(group, *order)
 
