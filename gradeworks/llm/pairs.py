@@ -11,7 +11,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import materialize
 from .dedupe import last_delivery
 from .quality import COMMON
 from .text import words
@@ -137,28 +138,47 @@ def tokens(core: str) -> list[str]:
     return out
 
 
+#: Between the tokens of a context in its text form; being white space it is in no token.
+_GAP = "\x1f"
+
+
+def end_counts(weighted: Iterable[tuple[str, int]], most: int = 4) -> tuple[Counter, Counter, Counter, Counter]:
+    """How often contexts occur and end texts, and beginnings occur and belong to texts with a full stop."""
+    total: Counter = Counter()
+    end: Counter = Counter()
+    started: Counter = Counter()
+    stopped: Counter = Counter()
+    for text, times in weighted:
+        seen = tokens(text)
+        for i in range(1, len(seen) + 1):
+            for n in range(1, min(most, i) + 1):
+                total[tuple(seen[i - n : i])] += times
+        for n in range(1, min(most, len(seen)) + 1):
+            end[tuple(seen[-n:])] += times
+        if len(seen) > 5:
+            started[tuple(seen[:3])] += times
+            stopped[tuple(seen[:3])] += times * (seen[-1] in _END)
+    return total, end, started, stopped
+
+
 class EndModel:
     """How likely a text is to end after its last tokens."""
 
-    def __init__(self, texts: Iterator[str] | list[str], most: int = 4, least: int = 15) -> None:
-        total: Counter = Counter()
-        end: Counter = Counter()
-        stopped: Counter = Counter()
-        started: Counter = Counter()
+    def __init__(self, texts: Iterable[str], most: int = 4, least: int = 15) -> None:
+        self._keep(*end_counts(((t, 1) for t in texts), most), most, least)
+
+    @classmethod
+    def of_counts(cls, total: dict, end: dict, started: dict, stopped: dict, most: int = 4, least: int = 15) -> EndModel:
+        """The model of counts made elsewhere; those below ``least`` may be missing."""
+        model = cls.__new__(cls)
+        model._keep(total, end, started, stopped, most, least)
+        return model
+
+    def _keep(self, total: dict, end: dict, started: dict, stopped: dict, most: int, least: int) -> None:
         self.most, self.least = most, least
-        for text in texts:
-            seen = tokens(text)
-            for i in range(1, len(seen) + 1):
-                for n in range(1, min(most, i) + 1):
-                    total[tuple(seen[i - n : i])] += 1
-            for n in range(1, min(most, len(seen)) + 1):
-                end[tuple(seen[-n:])] += 1
-            if len(seen) > 5:
-                started[tuple(seen[:3])] += 1
-                stopped[tuple(seen[:3])] += seen[-1] in _END
         kept = {k: n for k, n in total.items() if n >= least}
-        self.total, self.end = kept, {k: end[k] for k in kept if end[k]}
-        self.closes = {k: stopped[k] / n for k, n in started.items() if n >= 2 * least}
+        self.total, self.end = kept, {k: end[k] for k in kept if end.get(k)}
+        self.closes = {k: stopped.get(k, 0) / n for k, n in started.items() if n >= 2 * least}
         heads: Counter = Counter()
         for k, n in kept.items():
             if len(k) == 1 and k[0].isalpha():
@@ -195,7 +215,8 @@ ASSUMED = 3000
 class LanguageModel:
     """Naive Bayes over the character n-grams of words, one class per language."""
 
-    def __init__(self, samples: dict[str, list[str]], smooth: float = 0.2) -> None:
+    def __init__(self, samples: dict[str, list[str]], smooth: float = 0.2, more: dict[str, Counter] | None = None) -> None:
+        """``more`` has n-grams, already counted, beside those of the words."""
         self.names = sorted(samples)
         grams: list[Counter] = []
         for name in self.names:
@@ -203,6 +224,7 @@ class LanguageModel:
             for word, n in Counter(samples[name]).items():
                 for g in self.grams(word):
                     c[g] += n
+            c.update((more or {}).get(name, {}))
             grams.append(c)
         known = set().union(*grams) if grams else set()
         # Every language counts as one text of the same length, or the least known would win all rare words.
@@ -361,15 +383,56 @@ def training_words(documents: DataFrame, texts: int = 3000, chars: int = 2000) -
     return {lang: ws for lang, ws in out.items() if ws}
 
 
-def with_queries(samples: dict[str, list[str]], queries: list[str]) -> LanguageModel:
-    """The model of ``samples``, refitted with the words of queries in the language it tells for each."""
+COUNTED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("m", T.LongType())])
+
+
+def with_queries(samples: dict[str, list[str]], queries: DataFrame) -> LanguageModel:
+    """The model of ``samples``, refitted with all distinct queries, each in the language it tells for it.
+
+    N-grams are counted where the queries are and meet summed: there are no more than the scripts have.
+    """
     first = LanguageModel(samples)
-    grown = {lang: list(ws) for lang, ws in samples.items()}
-    for query in sorted(set(queries)):
-        found = language_words(query)
-        if len(found) > 2:
-            grown[first.language(found)].extend(found)
-    return LanguageModel(grown)
+    shared = queries.sparkSession.sparkContext.broadcast({"names": first.names, "unseen": first.unseen, "logs": first.logs})
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = LanguageModel.__new__(LanguageModel)
+        model.__dict__.update(shared.value, words={})
+        for frame in frames:
+            seen: Counter = Counter()
+            for query in frame["query"]:
+                found = language_words(query)
+                if len(found) > 2:
+                    lang = model.language(found)
+                    seen.update((lang, g) for w in found for g in model.grams(w))
+            yield pd.DataFrame([(lang, g, n, 0) for (lang, g), n in seen.items()], columns=COUNTED.names)
+
+    more: dict[str, Counter] = {}
+    distinct = queries.where("query is not null").select("query").distinct()
+    for kind, key, n in distinct.mapInPandas(count, COUNTED).groupBy("kind", "key").agg(F.sum("n")).collect():
+        more.setdefault(kind, Counter())[key] = n
+    return LanguageModel(samples, more=more)
+
+
+def fit_ends(texts: DataFrame, text: str, most: int = 4, least: int = 15) -> EndModel:
+    """The end model of all texts, each distinct one counted with its multiplicity.
+
+    Only contexts found ``least`` times in all texts reach the driver: as many are evidence enough
+    at any size of the input, so more texts only make more contexts known.
+    """
+    many = texts.where(F.col(text).isNotNull() & (F.col(text) != "")).groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cores = ((*unwrap(t), n) for t, n in zip(frame["text"], frame["n"].tolist(), strict=True))
+            total, end, started, stopped = end_counts(((c, n) for c, broken, n in cores if c and not broken), most)
+            yield pd.DataFrame([(kind, _GAP.join(k), n, part.get(k, 0)) for kind, whole, part in (("end", total, end), ("start", started, stopped)) for k, n in whole.items()], columns=COUNTED.names)
+
+    summed = many.mapInPandas(count, COUNTED).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= least)
+    counts: dict[str, tuple[dict, dict]] = {"end": ({}, {}), "start": ({}, {})}
+    for kind, key, n, m in summed.collect():
+        context = tuple(key.split(_GAP))
+        counts[kind][0][context], counts[kind][1][context] = n, m
+    return EndModel.of_counts(*counts["end"], *counts["start"], most, least)
 
 
 FOUND = T.StructType([T.StructField("origin", T.StringType()), T.StructField("pair_key", T.StringType()), T.StructField("defect", T.StringType())])
@@ -389,24 +452,19 @@ def pairs(samples: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]
     return one, two
 
 
-def broken_pairs(samples: DataFrame, results: DataFrame, documents: DataFrame, end_texts: int = 100_000, quote_texts: int = 1000) -> DataFrame:
+def broken_pairs(samples: DataFrame, results: DataFrame, documents: DataFrame, quote_texts: int = 1000) -> DataFrame:
     """``(origin, pair_key, defect)`` of every broken pair, at most one defect each.
 
-    The end model is fitted on at most ``end_texts`` responses and gold answers, those with the
-    smallest hashes; their queries extend the language model.  Texts that are the gold answer of several queries asking for a quotation are
+    The end model is fitted on the responses of all pairs, the language model extended by all their
+    queries.  Texts that are the gold answer of several queries asking for a quotation are
     texts of pages; the ``quote_texts`` most frequent are broadcast and count as names in answers to
     such queries.  Every pair is tested, a null query like an empty one.
     """
     spark = samples.sparkSession
     one, two = pairs(samples, results)
-    both = one.unionByName(two)
-    size = end_texts // 2
-    golds = smallest_hashes(samples.select("gt_answer", "query", "sample_id"), "sample_id", size).collect()
-    said = smallest_hashes(results.where("result_type = 'observed'").select("predicted_answer", "result_id"), "result_id", size).collect()
-    texts = [r[0] for r in [*golds, *said] if r[0]]
-    cores = [c for c, broken in map(unwrap, texts) if c and not broken]
-    ends = EndModel(cores)
-    model = with_queries(training_words(documents), [r[1] for r in golds if r[1]])
+    both = materialize(one.unionByName(two), "pairs")
+    ends = fit_ends(both, "response")
+    model = with_queries(training_words(documents), samples.select("query"))
     asked = samples.where(F.col("query").rlike("(?i)" + QUOTES.pattern) & F.col("gt_answer").isNotNull()).select("gt_answer", "sample_id").distinct()
     borne = asked.groupBy("gt_answer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "gt_answer").limit(quote_texts)
     pages = {unwrap(r[0])[0].strip(" .").lower() for r in borne.collect()}

@@ -275,6 +275,18 @@ def test_broken_pairs_on_nulls_and_empty_tables(spark):
     assert pairs.broken_pairs(samples.limit(0), results.limit(0), documents.limit(0)).count() == 0
 
 
+def test_end_model_counts_every_response(spark):
+    """21 of 200,000 responses have this context: a sample of them would not know it."""
+    rare = F.when(F.col("id") < 20, "see the zorp marked below now").when(F.col("id") == 20, "see the zorp").otherwise("The answer is 5.")
+    results = spark.range(200_000).select(F.col("id").alias("result_id"), F.lit("a").alias("sample_id"), rare.alias("predicted_answer"), F.lit("observed").alias("result_type"), F.lit(DAY).alias("ingested_at"))
+    samples = spark.createDataFrame([("a", "What is it?", "5", DAY)], "sample_id string, query string, gt_answer string, ingested_at timestamp")
+    documents = spark.createDataFrame([(2, "the page is the page", "en")], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in pairs.broken_pairs(samples, results, documents).collect()] == [("run", "20", "truncated")]
+    texts = spark.createDataFrame([("The sum is 5.",), ("The sum is",), ("The sum is 5.",), (None,)] * 9, "t string")
+    whole, counted = pairs.EndModel([r["t"] for r in texts.collect() if r["t"]]), pairs.fit_ends(texts, "t")
+    assert counted.__dict__ == whole.__dict__
+
+
 # 7. Packing
 
 
