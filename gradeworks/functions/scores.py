@@ -5,6 +5,9 @@ A null prediction is wrong under every metric; so is any prediction against no r
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,6 +88,34 @@ def field_words(text: Column) -> Column:
     return F.filter(F.split(collapse(plain), " "), lambda w: w != "")
 
 
+def plain_words(text: Column) -> Column:
+    """Words of a text as it is, without case, currency and punctuation."""
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, "[$€£¥₹,]", "")), PUNCTUATION, "")
+    return F.filter(F.split(collapse(plain), " "), lambda w: w != "")
+
+
+def leaf_text(text: Column) -> Column:
+    """The leaf values of JSON with spaces between, null as nothing; any other text as it is."""
+    def told(value: object) -> str:
+        if isinstance(value, dict | list):
+            return " ".join(map(told, value.values() if isinstance(value, dict) else value))
+        return "" if value is None else str(value)
+
+    @F.pandas_udf("string")
+    def leaves(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            if t and t.strip()[:1] in ("{", "["):
+                try:
+                    t = told(json.loads(t.strip()))
+                except (ValueError, RecursionError):
+                    pass
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    return leaves(text)
+
+
 def shared(a: Column, b: Column) -> Column:
     """How many words two bags of words share."""
     def count(bag: Column, w: Column) -> Column:
@@ -95,7 +126,11 @@ def shared(a: Column, b: Column) -> Column:
 
 def word_f1(predicted: Column, reference: Column) -> Column:
     """F1 of two bags of words; 1 for two empty bags, 0 for one."""
-    a, b = field_words(F.coalesce(predicted, F.lit(""))), field_words(F.coalesce(reference, F.lit("")))
+    return bag_f1(field_words(F.coalesce(predicted, F.lit(""))), field_words(F.coalesce(reference, F.lit(""))))
+
+
+def bag_f1(a: Column, b: Column) -> Column:
+    """F1 of two bags; 1 for two empty bags, 0 for one."""
     both = shared(a, b)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(both == 0, 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 

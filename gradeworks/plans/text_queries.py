@@ -95,6 +95,13 @@ def score_field_f1(spark: S, d: str) -> DataFrame:
     return g.select("result_id", F.round(scores.word_f1(F.col("p"), F.col("g")), 6).alias("score"))
 
 
+@query()
+def score_field_f1_all(spark: S, d: str) -> DataFrame:
+    """Every pair, JSON among them, of which the words of the leaves count; SQL lacks that rule."""
+    g = _graded(spark, d).where("m = 'field_f1'").withColumns({c: scores.leaf_text(F.col(c)) for c in ("p", "g")})
+    return g.select("result_id", F.round(scores.bag_f1(scores.plain_words(F.col("p")), scores.plain_words(F.col("g"))), 6).alias("score"))
+
+
 def _box(t: str) -> str:
     return f"list_transform(list_slice(regexp_extract_all({t}, '[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?'), 1, 4), lambda x: CAST(x AS DOUBLE))"
 

@@ -109,3 +109,16 @@ def test_dispatch(spark):
     assert [r["v"] for r in got] == [False, True, False]
     with pytest.raises(Exception, match="unknown metric"):
         spark.createDataFrame([("bleu", "x", "x")], "m string, p string, g string").select(scores.is_correct(F.col("m"), F.col("p"), F.col("g"), empty, F.lit(""), F.lit("")).alias("v")).collect()
+
+
+def test_field_f1_of_every_pair(spark, tmp_path):
+    """Pairs with JSON get a score like any other."""
+    from gradeworks.plans import text_queries
+
+    cases = [('{"a": "x", "b": ["y", null]}', "x y", 1.0), ("x", '{"a": "x z"}', 2 / 3), ("[1.50, true]", "1.5 True", 1.0), ("{broken", "broken", 1.0), ("$1,020", "1020", 1.0), ('{"caf\\u00e9": "caf\\u00e9"}', "café", 1.0), ("{}", "[]", 1.0), ("{}", "x", 0.0)]
+    now = F.lit("2026-01-01").cast("timestamp")
+    rows = spark.createDataFrame([(i, f"s{i}", p, g) for i, (p, g, _) in enumerate(cases)], "result_id long, sample_id string, predicted_answer string, gt_answer string")
+    rows.select("result_id", "sample_id", "predicted_answer", F.lit("observed").alias("result_type"), now.alias("ingested_at")).write.parquet(f"{tmp_path}/eval_results.parquet")
+    rows.select("sample_id", "gt_answer", F.array().cast("array<string>").alias("gt_answer_aliases"), F.lit("x").alias("source_dataset"), F.lit("q").alias("query"), F.lit("field_f1").alias("correctness_metric"), now.alias("ingested_at")).write.parquet(f"{tmp_path}/bench_samples.parquet")
+    got = {r["result_id"]: r["score"] for r in text_queries.score_field_f1_all(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: want for i, (_, _, want) in enumerate(cases)}, abs=1e-6)
