@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import materialize
+
 
 def simhash(words: Column) -> Column:
     """A 64-bit fingerprint of an array of words as 16 hex digits; like texts get like ones."""
@@ -33,6 +35,31 @@ def near_hashes(hashes: DataFrame, identity: str, value: str, distance: int = 8)
     return pairs.select("a", "b", off.alias("distance")).where(F.col("distance") <= distance).distinct()
 
 
+def near_members(hashes: DataFrame, identity: str, value: str, distance: int = 8) -> DataFrame:
+    """One row per member: identity, its value, the class of its value and how many links its value has.
+
+    The class is the smallest value reached over links; members of one value are in one class
+    without a link between them.  Classes come from label passing with shortcuts, until none changes.
+    """
+    rows = hashes.where(F.col(value).isNotNull()).select(F.col(identity), F.col(value))
+    links = materialize(near_hashes(rows, identity, value, distance), "links")
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counts = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
+    label = materialize(counts.select(F.col("a").alias("v"), F.col("a").alias("class")), "classes")
+    while True:
+        near = both.join(label, both["b"] == label["v"]).groupBy("a").agg(F.min("class").alias("near"))
+        step = label.join(near, label["v"] == near["a"]).select("v", F.least("class", "near").alias("next"), F.col("class").alias("was"))
+        # The class of the class: chains halve in every round.
+        far = label.select(F.col("v").alias("at"), F.col("class").alias("far"))
+        jumped = materialize(step.join(far, step["next"] == far["at"]).select("v", F.least("next", "far").alias("class"), "was"), "classes")
+        label = jumped.select("v", "class")
+        if jumped.where(F.col("class") != F.col("was")).isEmpty():
+            break
+    told = rows.join(counts.withColumnRenamed("a", "__v"), F.col(value) == F.col("__v"), "left").drop("__v")
+    told = told.join(label.withColumnRenamed("v", "__v"), F.col(value) == F.col("__v"), "left").drop("__v")
+    return told.select(F.col(identity), F.col(value).alias("fingerprint"), F.coalesce("class", value).alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def neighbours(queries: DataFrame, base: DataFrame, identity: str, vector: str, k: int, block: int = 2048, most: int = 1_000_000) -> DataFrame:
     """The ``k`` nearest rows of ``base`` by cosine for every query: query, neighbour, rank, cosine.
 

@@ -164,12 +164,21 @@ def neighbour_vote(spark: S, d: str) -> DataFrame:
     return votes.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
 
 
+def _fingerprints(spark: S, d: str) -> DataFrame:
+    words = F.array_distinct(F.split(F.lower("query"), r"\s+"))
+    return samples(spark, d).where("query is not null").select("sample_id", F.conv(similarity.simhash(words), 16, -10).cast("long").alias("h"))
+
+
 @query()
 def near_fingerprints(spark: S, d: str) -> DataFrame:
-    """Links between the fingerprints of different queries that differ in up to 3 of 64 bits."""
-    words = F.array_distinct(F.split(F.lower("query"), r"\s+"))
-    s = samples(spark, d).where("query is not null").select("sample_id", F.conv(similarity.simhash(words), 16, -10).cast("long").alias("h"))
-    return similarity.near_hashes(s, "sample_id", "h", 3)
+    """Links between the fingerprints of different queries that differ in up to 8 of 64 bits."""
+    return similarity.near_hashes(_fingerprints(spark, d), "sample_id", "h", 8)
+
+
+@query()
+def near_fingerprint_members(spark: S, d: str) -> DataFrame:
+    """Per sample its fingerprint, its class over those links and how many links its fingerprint has."""
+    return similarity.near_members(_fingerprints(spark, d), "sample_id", "h", 8)
 
 
 @query()

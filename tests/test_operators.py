@@ -224,3 +224,27 @@ def test_ranks_of_large_groups(spark):
         assert own[r["__rank"] - 1] == (r["o"], r["id"]) and r["__rank_of"] == len(own)
     kept = sampling.keep_within(spark.createDataFrame([(i, 1.0 if i != 5 else None) for i in range(100)], "id long, c double"), 20.0, "c", ["id"]).collect()
     assert sorted(r["id"] for r in kept) == list(range(20))
+
+
+def test_near_members(spark):
+    """Links at distances 4 to 8 count, and classes go over chains of them."""
+    rng = random.Random(8)
+    values = [rng.getrandbits(63) for _ in range(25)]
+    for step in (4, 6, 8):
+        for v in values[:15]:
+            for bit in rng.sample(range(63), step):
+                v ^= 1 << bit
+            values.append(v)
+    values += values[:5]
+    whole = sorted(set(values))
+    linked = {v: [u for u in whole if u != v and (u ^ v).bit_count() <= 8] for v in whole}
+    kind = {}
+    for v in whole:
+        todo = [v]
+        while todo:
+            u = todo.pop()
+            if u not in kind:
+                kind[u] = v
+                todo += linked[u]
+    got = similarity.near_members(spark.createDataFrame(list(enumerate(values)), "id long, h long"), "id", "h", 8).collect()
+    assert {(r["id"], r["fingerprint"], r["class"], r["links"]) for r in got} == {(i, v, kind[v], len(linked[v])) for i, v in enumerate(values)}
