@@ -103,15 +103,16 @@ def keep_within(df: DataFrame, limit: float, cost: str, order: Sequence[str], to
     return spent.where(F.col(total) < limit).select(*df.columns, total)
 
 
-def diverse(df: DataFrame, group: str, features: Sequence[str], priority: str, identity: str, quota: int, pool: int = 5000) -> DataFrame:
+def diverse(df: DataFrame, group: str, features: Sequence[str], priority: str, identity: str, quota: int) -> DataFrame:
     """Per group ``quota`` rows, each the best by priority x (half + half its distance to those chosen).
 
-    Distance is the share of features in which two rows differ; ties go to the smaller id.  The
-    selection is sequential by nature; each group works on its ``pool`` best rows by priority, a
-    documented bound of the operator, which are cut before the group comes together.
+    Distance is the share of features in which two rows differ; ties go to the smaller id.  Rows of
+    equal features and priority differ by their ids alone and are picked in that order, so the
+    ``quota`` smallest ids of each such combination are all that can be picked: nothing else is cut.
     """
-    ranked = Window.partitionBy(group).orderBy(F.desc(priority), identity)
-    rows = df.select(*dict.fromkeys([group, identity, priority, *features])).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= pool)
+    alike = Window.partitionBy(*dict.fromkeys([group, *features, "__value"])).orderBy(identity)
+    rows = df.select(*dict.fromkeys([group, identity, priority, *features])).withColumn("__value", F.coalesce(F.col(priority).cast("double"), F.lit(0.0)))
+    rows = rows.withColumn("__rank", F.row_number().over(alike)).where(F.col("__rank") <= quota).drop("__rank", "__value")
     out = T.StructType([rows.schema[group], rows.schema[identity], T.StructField("pick", T.IntegerType())])
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:

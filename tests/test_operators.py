@@ -248,3 +248,9 @@ def test_near_members(spark):
                 todo += linked[u]
     got = similarity.near_members(spark.createDataFrame(list(enumerate(values)), "id long, h long"), "id", "h", 8).collect()
     assert {(r["id"], r["fingerprint"], r["class"], r["links"]) for r in got} == {(i, v, kind[v], len(linked[v])) for i, v in enumerate(values)}
+
+
+def test_diverse_looks_at_every_row(spark):
+    rows = [(i, "g", "a", 1.0) for i in range(5100)] + [(9000, "g", "b", 0.9), (9001, "g", "b", None)]
+    got = sampling.diverse(spark.createDataFrame(rows, "id long, grp string, f string, p double"), "grp", ["f"], "p", "id", 3).orderBy("pick").collect()
+    assert [r["id"] for r in got] == [0, 9000, 1]
