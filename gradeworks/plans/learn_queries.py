@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import learn, routing, statistics
+from ..sources.tables import table
+from ..workspace import materialize
 from .base import matrix, notes, query, samples
 
 S = SparkSession
@@ -66,11 +68,24 @@ def learning_curve(spark: S, d: str) -> DataFrame:
 
 @query()
 def model_holdout_auc(spark: S, d: str) -> DataFrame:
-    """AUC per configuration of one model that training never saw."""
-    rows = _featured(spark, d)
-    out = F.col("config_id").startswith("c1_onyx")
-    scored = learn.complete_matrix(rows.where(~out), rows.where(out), "x", "c", "is_correct").where("is_correct is not null").withColumn("chance", F.round("chance", 9))
-    return statistics.auc(scored, "chance", F.col("is_correct"))
+    """AUC over the configurations of each model that training never saw; then mean, least and most.
+
+    A model without both right and wrong answers has a null AUC, which the summary leaves out.
+    """
+    rows = materialize(_featured(spark, d), "featured")
+    configs = table(spark, d, "model_configs").where("model_name is not null and config_id is not null")
+    owned: dict[str, list[str]] = {}
+    for r in configs.select("model_name", "config_id").distinct().collect():
+        owned.setdefault(r["model_name"], []).append(r["config_id"])
+    part = spark.createDataFrame([], "model_name string, auc double")
+    for name in sorted(owned):
+        out = F.col("config_id").isin(owned[name])
+        scored = learn.complete_matrix(rows.where(~out), rows.where(out), "x", "c", "is_correct").where("is_correct is not null").withColumn("chance", F.round("chance", 9))
+        part = part.unionByName(statistics.auc(scored, "chance", F.col("is_correct")).select(F.lit(name).alias("model_name"), "auc"))
+    aucs = materialize(part, "aucs")
+    whole = aucs.agg(F.avg("auc").alias("mean"), F.min("auc").alias("least"), F.max("auc").alias("most"))
+    summary = whole.select(F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.lit(None).cast("string").alias("model_name"), F.round(c, 6).alias("auc")) for c in ("mean", "least", "most")])))
+    return aucs.select(F.lit("model").alias("figure"), "model_name", "auc").unionByName(summary)
 
 
 _HELD = "CAST(('0x' || substr(md5(sample_id || '|' || config_id || ':42'), 1, 8)) AS BIGINT) < 858993459"
@@ -127,3 +142,10 @@ def sample_holdout(spark: S, d: str) -> DataFrame:
 def pivoted_matrix(spark: S, d: str) -> DataFrame:
     names = ["a1_flint_B1", "c1_onyx_B2"]
     return matrix(spark, d).groupBy("sample_id").agg(*[F.max(F.when(F.col("config_id") == n, F.col("is_correct").cast("int"))).alias(n) for n in names])
+
+
+@query()
+def whole_matrix(spark: S, d: str) -> DataFrame:
+    """Per sample a column for every configuration of model_configs, null where it was not observed."""
+    names = [r[0] for r in table(spark, d, "model_configs").where("config_id is not null").select("config_id").distinct().orderBy("config_id").collect()]
+    return matrix(spark, d).groupBy("sample_id").agg(F.count(F.lit(1)).alias("observed"), *[F.max(F.when(F.col("config_id") == n, F.col("is_correct").cast("int"))).alias(n) for n in names])

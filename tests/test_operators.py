@@ -254,3 +254,19 @@ def test_diverse_looks_at_every_row(spark):
     rows = [(i, "g", "a", 1.0) for i in range(5100)] + [(9000, "g", "b", 0.9), (9001, "g", "b", None)]
     got = sampling.diverse(spark.createDataFrame(rows, "id long, grp string, f string, p double"), "grp", ["f"], "p", "id", 3).orderBy("pick").collect()
     assert [r["id"] for r in got] == [0, 9000, 1]
+
+
+def test_whole_matrix_and_every_model(spark, data):
+    from gradeworks.plans import base, learn_queries
+
+    configs = [(r["config_id"], r["model_name"]) for r in base.table(spark, data, "model_configs").collect()]
+    long = {(r["sample_id"], r["config_id"]): r["is_correct"] for r in base.matrix(spark, data).collect()}
+    wide = learn_queries.whole_matrix(spark, data)
+    assert sorted(wide.columns) == sorted(["sample_id", "observed", *(c for c, _ in configs)])
+    for r in wide.collect():
+        assert [r[c] for c, _ in configs] == [None if (v := long.get((r["sample_id"], c))) is None else int(v) for c, _ in configs]
+    got = learn_queries.model_holdout_auc(spark, data).collect()
+    aucs = {r["model_name"]: r["auc"] for r in got if r["figure"] == "model"}
+    told = [a for a in aucs.values() if a is not None]
+    assert set(aucs) == {m for _, m in configs}
+    assert {r["figure"]: r["auc"] for r in got if r["figure"] != "model"} == pytest.approx({"mean": sum(told) / len(told), "least": min(told), "most": max(told)}, abs=1e-5)
