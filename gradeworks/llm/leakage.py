@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import small_enough
-from .text import normalise, word_spans, words
+from ..workspace import materialize, small_enough
+from .text import word_places, words
 
 N = 6
 #: Scores of the alignment: a pair of equal words, of different words, a word without partner.
@@ -59,10 +59,11 @@ def windows(codes: np.ndarray, n: int = N) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The held-out passages: words, and their windows sorted by code."""
+    """The held-out passages: their words in one text each, and their windows sorted by code."""
 
     ids: list[int]
-    tokens: list[list[str]]
+    texts: list[str]
+    size: np.ndarray
     codes: np.ndarray
     item: np.ndarray
     position: np.ndarray
@@ -75,7 +76,8 @@ class Index:
         order = np.argsort(codes, kind="stable")
         item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         position = np.concatenate([*[np.arange(len(g)) for g in grams], np.empty(0, dtype=np.int64)])
-        return cls([i for i, _ in items], tokens, codes[order], item[order], position[order])
+        size = np.array([len(t) for t in tokens], dtype=np.int64)
+        return cls([i for i, _ in items], [" ".join(t) for t in tokens], size, codes[order], item[order], position[order])
 
 
 def near(a: str, b: str) -> bool:
@@ -186,13 +188,26 @@ def candidates(item: np.ndarray, position: np.ndarray, place: np.ndarray, doc: n
             yield int(doc[k]), int(item[k]), d
 
 
-def _scan(texts: list[str], index: Index, size: np.ndarray, share: float, drift: int, n: int) -> dict[tuple[int, int], tuple[float, int, int]]:
-    """Of each pair of a text and a passage it leaks: the share, and the first and last word."""
-    tokens = [words(t) for t in texts]
+def _stretches(passage: list[str], text: list[str], start: int, stop: int, share: float) -> Iterator[tuple[float, int, int]]:
+    """Every stretch between two words of a text that repeats ``share`` of a passage: share, first and last word.
+
+    The best alignment comes first; what lies before and after it is searched again.
+    """
+    if stop - start < share * len(passage):
+        return
+    equal, first, last = align(passage, text[start:stop])
+    if equal >= share * len(passage) and last > first:
+        yield equal / len(passage), start + first, start + last - 1
+        yield from _stretches(passage, text, start, start + first, share)
+        yield from _stretches(passage, text, start + last, stop, share)
+
+
+def _scan(tokens: list[list[str]], index: Index, share: float, drift: int, n: int) -> list[tuple[int, int, float, int, int]]:
+    """Every stretch of a text that leaks a passage: text, passage, share, first and last word."""
     lengths = np.fromiter((len(t) for t in tokens), dtype=np.int64, count=len(tokens))
     codes = windows(word_codes([w for t in tokens for w in t]), n)
     if not len(codes) or not len(index.codes):
-        return {}
+        return []
     low = np.searchsorted(index.codes, codes, side="left")
     hit = np.flatnonzero(index.codes[np.minimum(low, len(index.codes) - 1)] == codes)
     ends = np.cumsum(lengths)
@@ -200,69 +215,149 @@ def _scan(texts: list[str], index: Index, size: np.ndarray, share: float, drift:
     inside = hit + n <= ends[doc]
     hit, doc = hit[inside], doc[inside]
     if not len(hit):
-        return {}
+        return []
     low, high = low[hit], np.searchsorted(index.codes, codes[hit], side="right")
     count = high - low
     entry = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     place = np.repeat(hit - (ends - lengths)[doc], count)
-    found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for d, i, diagonal in candidates(index.item[entry], index.position[entry], place, np.repeat(doc, count), size, share, drift, n):
-        passage, text = index.tokens[i], tokens[d]
+    found: dict[tuple[int, int, int, int], float] = {}
+    for d, i, diagonal in candidates(index.item[entry], index.position[entry], place, np.repeat(doc, count), index.size, share, drift, n):
+        passage, text = index.texts[i].split(" "), tokens[d]
         start = max(0, diagonal - drift)
-        equal, first, last = align(passage, text[start : diagonal + len(passage) + 2 * drift])
-        if equal >= share * len(passage) and equal / len(passage) > found.get((d, i), (0.0,))[0]:
-            found[d, i] = (equal / len(passage), start + first, start + last - 1)
-    return found
+        for part, first, last in _stretches(passage, text, start, min(len(text), diagonal + len(passage) + 2 * drift), share):
+            found[d, i, first, last] = max(part, found.get((d, i, first, last), 0.0))
+    return [(d, i, part, first, last) for (d, i, first, last), part in found.items()]
+
 
+def _blocks(items: DataFrame, block_words: int, n: int) -> Iterator[Index]:
+    """Indexes of the held-out passages, dealt by hash into blocks of about ``block_words`` words."""
+    held = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct()
+    total = held.agg(F.sum(F.regexp_count("passage", F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    if blocks > 1:
+        held = materialize(held, "heldout")
+    for b in range(blocks):
+        own = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(blocks)) == b)
+        yield Index.build(sorted((r[0], r[1]) for r in own.collect()), n)
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, max_items: int = 200_000, drift: int = 8, n: int = N) -> DataFrame:
-    """Every document and held-out item of which it repeats at least ``share`` of the words.
 
-    One row per pair, with the largest share and the words of the document it covers.  Null and
-    blank texts and passages, and passages of fewer than ``n`` words, have no cases.  The index has
-    one entry per held-out word and is broadcast, so ``max_items`` bounds the items; a larger set is
-    to be run in blocks of items against all documents.  Texts are read whole, in one pass, and
-    nothing but the pairs found is shuffled.
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, block_words: int = 2_000_000, drift: int = 8, n: int = N) -> DataFrame:
+    """Every stretch of a document that repeats at least ``share`` of the words of a held-out item.
+
+    One row per stretch, with the share and the words of the document it covers; a document that
+    holds a passage twice has two.  Null and blank texts and passages, and passages of fewer than
+    ``n`` words, have no cases.  The index takes about 32 bytes per held-out word and is broadcast in
+    blocks of about ``block_words`` words, a passage never being split: a set of items beyond one
+    block is searched block by block, each in one pass over whole texts.  Nothing but the stretches
+    found is shuffled.
     """
     spark = documents.sparkSession
-    held = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select(F.col("item_id").cast("long"), "passage").distinct()
-    if not small_enough(held, max_items):
-        raise ValueError(f"more than {max_items} held-out items; run them in blocks")
-    built = Index.build(sorted((r[0], r[1]) for r in held.collect()), n)
-    # As plain lists and arrays, since a broadcast travels without this package.
-    shared = spark.sparkContext.broadcast((built.ids, built.tokens, built.codes, built.item, built.position))
-
+    blocks = _blocks(items, block_words, n)
+    built, following = next(blocks), next(blocks, None)
+    out: DataFrame | None = None
+    single = following is None
+    while built is not None:
+        # As plain lists and arrays, since a broadcast travels without this package.
+        shared = spark.sparkContext.broadcast(tuple(vars(built).values()))
+        found = _texts(documents).mapInPandas(_finder(shared, share, drift, n), LEAK)
+        if not single:
+            found = materialize(found, "leaks")
+            shared.destroy()
+        out = found if out is None else out.unionByName(found)
+        built, following = following, next(blocks, None)
+    return out.distinct()
+
+
+def _finder(shared, share: float, drift: int, n: int):
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = Index(*shared.value)
-        size = np.array([len(t) for t in index.tokens], dtype=np.int64)
         for frame in frames:
             for at in range(0, len(frame), SLICE):
-                found = _scan(frame["text"].iloc[at : at + SLICE].tolist(), index, size, share, drift, n)
+                found = _scan([words(t) for t in frame["text"].iloc[at : at + SLICE]], index, share, drift, n)
                 if found:
                     ids = frame["doc_id"].iloc[at : at + SLICE].to_numpy()
-                    yield pd.DataFrame([(ids[d], index.ids[i], *v) for (d, i), v in found.items()], columns=LEAK.names)
+                    yield pd.DataFrame([(ids[d], index.ids[i], *v) for d, i, *v in found], columns=LEAK.names)
+
+    return scan
 
-    scanned = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(scan, LEAK)
-    best = scanned.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "first_word", "last_word")).alias("b"))
-    return best.select("doc_id", "item_id", "b.share", "b.first_word", "b.last_word")
+
+def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
+    """A text without the words of the ranges (first, last), which may overlap; all else stays as it is."""
+    places = word_places(text)
+    out, at, reach = [], 0, -1
+    for first, last in sorted(ranges):
+        first = max(first, reach + 1)
+        if first > last:
+            continue
+        out.append(text[at : places[first][0]])
+        at, reach = places[last][1], last
+    return "".join([*out, text[at:]])
 
 
-def remove_spans(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """``documents`` with the leaked spans cut out of their normalised texts; others stay as they are."""
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "last_word")).alias("__spans"))
+def remove_spans(documents: DataFrame, found: DataFrame, most: int = 200_000) -> DataFrame:
+    """``documents`` without the stretches of ``found``; every other character of a text stays.
+
+    Stretches that overlap are cut once.  The stretches are broadcast if at most ``most`` documents
+    have any, so that no text is shuffled; beyond that the tables are joined by document.
+    """
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("__spans"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, ranges in zip(text, spans, strict=True):
-            if t is None or ranges is None or not len(ranges):
-                out.append(t)
-                continue
-            plain, where = normalise(t), word_spans(t)
-            for r in sorted(ranges, key=lambda r: -r["first_word"]):
-                plain = plain[: where[r["first_word"]][0]] + plain[where[r["last_word"]][1] :]
-            out.append(plain)
-        return pd.Series(out, dtype=object)
-
-    joined = documents.join(spans, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), cut("text", "__spans")).otherwise(F.col("text"))).drop("__spans")
+        return pd.Series([t if t is None or r is None or not len(r) else cut_words(t, [(x["first_word"], x["last_word"]) for x in r]) for t, r in zip(text, spans, strict=True)], dtype=object)
+
+    spans = spans.withColumnRenamed("doc_id", "__doc")
+    joined = documents.join(F.broadcast(spans) if small_enough(spans, most) else spans, F.col("doc_id") == F.col("__doc"), "left")
+    return joined.withColumn("text", F.when(F.col("__spans").isNotNull(), cut("text", "__spans")).otherwise(F.col("text"))).select(*documents.columns)
+
+
+def clean(documents: DataFrame, items: DataFrame, share: float = 0.4, block_words: int = 2_000_000, drift: int = 8, n: int = N) -> DataFrame:
+    """``(doc_id, text)`` of all documents, without what they leak of the items.
+
+    A text is scanned and cut where it is read, again and again until it leaks nothing: what moves
+    together by a cut is seen too.  Texts without a leak stay as they are, null ones null.  More
+    items than one block are cut block by block in the same way, until no block finds anything.
+    """
+    spark = documents.sparkSession
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("cuts", T.IntegerType())])
+
+    def cutter(shared):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = Index(*shared.value)
+            for frame in frames:
+                texts, cuts = list(frame["text"]), np.zeros(len(frame), dtype=np.int32)
+                for at in range(0, len(texts), SLICE):
+                    open_ = [k for k in range(at, min(len(texts), at + SLICE)) if texts[k]]
+                    while open_:
+                        ranges: dict[int, list[tuple[int, int]]] = {}
+                        for d, _, _, first, last in _scan([words(texts[k]) for k in open_], index, share, drift, n):
+                            ranges.setdefault(open_[d], []).append((first, last))
+                        for k, r in ranges.items():
+                            texts[k], cuts[k] = cut_words(texts[k], r), cuts[k] + 1
+                        open_ = list(ranges)
+                yield pd.DataFrame({"doc_id": frame["doc_id"], "text": pd.Series(texts, index=frame.index, dtype=object), "cuts": cuts})
+
+        return run
+
+    blocks = _blocks(items, block_words, n)
+    built, following = next(blocks), next(blocks, None)
+    if following is None:
+        return rows.mapInPandas(cutter(spark.sparkContext.broadcast(tuple(vars(built).values()))), schema).drop("cuts")
+    again = True
+    while again:
+        again = False
+        while built is not None:
+            shared = spark.sparkContext.broadcast(tuple(vars(built).values()))
+            done = materialize(rows.mapInPandas(cutter(shared), schema), "cleaned")
+            shared.destroy()
+            again = again or not done.where("cuts > 0").isEmpty()
+            rows, built, following = done.drop("cuts"), following, next(blocks, None)
+        if again:
+            blocks = _blocks(items, block_words, n)
+            built, following = next(blocks), next(blocks, None)
+    return rows

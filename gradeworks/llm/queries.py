@@ -76,13 +76,11 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id").distinct()
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
-    found = materialize(leakage.find_leaks(documents, table(spark, d, "heldout_items")), "leaks")
-    return leakage.remove_spans(documents, found).select("doc_id", "text")
+    return leakage.clean(table(spark, d, "documents"), table(spark, d, "heldout_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradeworks.llm import consensus, leakage, mixture, packing, pairs, quality, quantiles, splits, top_n
 from gradeworks.llm import queries as llm_queries
 from gradeworks.llm import sql as llm_sql
+from gradeworks.llm.text import word_places, words
 from tests.compare import rows_of, rows_of_sql
 
 DAY = datetime.datetime(2031, 1, 1)
@@ -353,14 +354,47 @@ def test_leaks(spark):
     got = leakage.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 10), (3, 10), (5, 10), (9, 10), (9, 11)}
     documents = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    cleaned = {r["doc_id"]: r["text"] for r in leakage.remove_spans(documents, got).collect()}
-    assert cleaned[6] == docs[6] and cleaned[7] is None and len(cleaned) == 9
-    assert passage[40] + " " + passage[41] + " " + passage[42] not in cleaned[1]
+    held = spark.createDataFrame(items, "item_id long, passage string")
+    for clean in (leakage.remove_spans(documents.withColumn("extra", F.lit(1)), got).select("doc_id", "text"), leakage.clean(documents, held), leakage.clean(documents, held, block_words=120)):
+        cleaned = {r["doc_id"]: r["text"] for r in clean.collect()}
+        assert cleaned[6] == docs[6] and cleaned[7] is None and len(cleaned) == 9
+        assert cleaned[1].split()[:50] == docs[1].split()[:50] and len(cleaned[1].split()) <= 101
+        assert leakage.find_leaks(clean, held).count() == 0
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert leakage.find_leaks(empty, spark.createDataFrame(items, "item_id long, passage string")).count() == 0
     assert leakage.find_leaks(documents, spark.createDataFrame([], "item_id long, passage string")).count() == 0
 
 
+def test_every_stretch_is_found_and_cut(spark):
+    rng = random.Random(11)
+    passage = [f"p{i}q" for i in range(80)]
+    noise = [f"n{rng.randint(0, 999)}z" for _ in range(60)]
+    twice = " ".join([*noise[:20], *passage, *noise[20:40], *passage, *noise[40:]])
+    documents = spark.createDataFrame([(1, twice.replace("n", "N")), (1, twice.replace("n", "N"))], "doc_id long, text string")
+    held = spark.createDataFrame([(5, " ".join(passage)), (6, " ".join(passage[30:] + [f"x{i}y" for i in range(20)]))], "item_id long, passage string")
+    found = leakage.find_leaks(documents, held)
+    spans = sorted((r["item_id"], r["first_word"], r["last_word"]) for r in found.collect())
+    assert spans == [(5, 20, 99), (5, 120, 199), (6, 50, 99), (6, 150, 199)]
+    in_blocks = leakage.find_leaks(documents, held, block_words=60)
+    assert sorted((r["item_id"], r["first_word"], r["last_word"]) for r in in_blocks.collect()) == spans
+    for clean in (leakage.clean(documents, held), leakage.remove_spans(documents, found), leakage.remove_spans(documents, found, most=0)):
+        assert [r["text"].split() for r in clean.collect()] == [" ".join(noise).replace("n", "N").split()] * 2
+    words = [f"w{i}" for i in range(30)]
+    assert leakage.cut_words(" ".join(words), [(10, 20), (5, 15)]).split() == words[:5] + words[21:]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_word_places(seed):
+    rng = random.Random(seed)
+    parts = ["Hello", "wor-\n ld", "it’s", "3,000.5", "<b>x</b>", "[link](http://ab)", "&amp;", "&eacute;t", "é", "e\u0301", "ﬁne", "\u200b", "\xad", "İx", "ΑΣ", "한국", "\u1112\u1161", "日本", "—", "½", "&", "<", "a_b"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(" \n") for _ in range(rng.randint(0, 9)))
+        places = word_places(text)
+        assert len(places) == len(words(text))
+        for word, (a, b) in zip(words(text), places, strict=True):
+            assert word in words(text[a:b]) or "<" in text or "_" in text[a:b] or "-" in text[a:b] or "[" in text
+
+
 # 9. Quality
 
 PROSE = "The committee had read the report, and it was not clear to them which of the figures were right. "
