@@ -35,7 +35,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the files behind tables made by :func:`materialize`, which nothing may read any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            remove_path(df.sparkSession, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
