@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import materialize
+from ..workspace import forget, materialize
 
 #: Names that stand for "no image", without directory and extension.
 PLACEHOLDER_STEMS = ("", "n/a", "na", "nan", "none", "null", "missing", "placeholder", "unknown", "no_image", "no-image", "noimage", "-", "?", "tbd", "todo", "default", "blank", "empty")
@@ -78,45 +78,75 @@ def sample_links(samples: DataFrame, collections: DataFrame) -> DataFrame:
     return rows.select("sample_id", links.alias("link")).distinct()
 
 
-def connected_components(links: DataFrame, node: str, link: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame, node: str, link: str, max_rounds: int = 50, plain: int = 1_000_000) -> DataFrame:
     """``(node, component)`` where nodes that share a link, or a chain of links, share a component.
 
-    ``component`` is the smallest node of the component.  Each link becomes a star around its
-    smallest node, so a link that holds a third of all nodes yields one edge per node and never a
-    pair of all with all.  The stars are then contracted by alternating large-star and small-star
-    rounds until nothing changes, which takes a number of rounds logarithmic in the longest chain.
-    Every round is written to the shared folder; no edge comes to the driver.
+    ``component`` is the smallest node of the component.  Nodes are numbered first, so that rounds
+    move pairs of integers.  Each link becomes a star around its smallest number: a link that holds
+    a third of all nodes yields one edge per node and never a pair of all with all.  The stars are
+    contracted by alternating large-star and small-star rounds until nothing changes, which takes a
+    number of rounds logarithmic in the longest chain.  Every round is written to the shared folder
+    and the one before it deleted; no edge comes to the driver.
     """
-    hubs = links.groupBy(link).agg(F.min(node).alias("__hub"), F.count(F.lit(1)).alias("__n"))
-    star = links.join(hubs.where("__n > 1"), link).where(F.col(node) != F.col("__hub"))
-    edges = materialize(star.select(F.col(node).alias("u"), F.col("__hub").alias("v")).distinct(), "edges")
+    numbered = materialize(links.select(node).distinct().withColumn("__id", F.monotonically_increasing_id()), "nodes")
+    tied = links.select(node, F.col(link).alias("__link")).join(numbered, node)
+    hubs = tied.groupBy("__link").agg(F.min("__id").alias("v"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    starred = _by_heavy(tied, hubs, "__link", links.count(), plain)
+    edges = materialize(starred.where("__id <> v").select(F.col("__id").alias("u"), "v").distinct(), "edges")
+    size, sign = _print_of(edges)
     for _ in range(max_rounds):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _with_least(both, 2 * size, plain).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(lowest, "u")
+        joined = _with_least(down, size, plain)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
         after = materialize(small, "edges")
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if same:
+        forget(edges)
+        edges, before = after, (size, sign)
+        size, sign = _print_of(edges)
+        if (size, sign) == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = links.select(node).distinct()
-    roots = edges.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("__root"))
-    return nodes.join(roots, node, "left").select(node, F.coalesce("__root", node).alias("component"))
+    rooted = numbered.join(edges.groupBy(F.col("u").alias("__id")).agg(F.min("v").alias("__root")), "__id", "left")
+    rooted = materialize(rooted.select(node, F.coalesce("__root", "__id").alias("__root")), "rooted")
+    forget(edges, numbered)
+    named = rooted.groupBy("__root").agg(F.min(node).alias("component"), F.count(F.lit(1)).alias("__n"))
+    return _by_heavy(rooted, named, "__root", rooted.count(), plain).select(node, "component")
 
 
-def sample_groups(samples: DataFrame, collections: DataFrame) -> DataFrame:
+def _print_of(edges: DataFrame) -> tuple[int, object]:
+    """How many edges there are and the sum of their hashes: two equal tables agree in both."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _with_least(edges: DataFrame, total: int, plain: int) -> DataFrame:
+    """``edges`` with ``m``, the least ``v`` of their ``u``."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n"))
+    return _by_heavy(edges, least, "u", total, plain).drop("__n")
+
+
+def _by_heavy(rows: DataFrame, values: DataFrame, key: str, total: int, plain: int) -> DataFrame:
+    """``rows`` joined with the one row of ``values`` per key, which has the key's count ``__n``.
+
+    A key with more than a thousandth of all rows would bring them to one task.  There are fewer
+    than 1,000 of these, so their values are broadcast.  With at most ``plain`` rows in all, none is
+    too much for a task.
+    """
+    if total <= plain:
+        return rows.join(values, key)
+    heavy = values.where(F.col("__n") > F.lit(total / 1000))
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(values, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
+def sample_groups(samples: DataFrame, collections: DataFrame, plain: int = 1_000_000) -> DataFrame:
     """``(sample_id, group_id, group_size)`` for every distinct sample id."""
     links = materialize(sample_links(samples, collections), "links")
-    found = materialize(connected_components(links, "sample_id", "link"), "components")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
-    return found.join(sizes, "component").select("sample_id", F.col("component").alias("group_id"), "group_size")
+    found = materialize(connected_components(links, "sample_id", "link", plain=plain), "components")
+    forget(links)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("__n"))
+    return _by_heavy(found, sizes, "component", found.count(), plain).select("sample_id", F.col("component").alias("group_id"), F.col("__n").alias("group_size"))
 
 
 def place(vectors: np.ndarray, want: np.ndarray) -> np.ndarray:
@@ -132,44 +162,52 @@ def place(vectors: np.ndarray, want: np.ndarray) -> np.ndarray:
     size = vectors.sum(axis=1)
     order = np.argsort(-size, kind="stable")
     members = {k: [i for i in order[::-1] if vectors[i, k] > 0] for k in range(vectors.shape[1])}
-    left = n
-    while left:
-        live = [(outstanding[k], k) for k in members if members[k]]
-        if not live:
-            break
-        _, label = min(live)
+    total = want.sum(axis=1)
+    while members:
+        label = min(members, key=lambda k: (not members[k], outstanding[k], k))
         pool = members.pop(label)
         while pool:
             i = pool.pop()
             if chosen[i] >= 0:
                 continue
             need = want[:, label]
-            total = want.sum(axis=1)
             s = max(range(len(want)), key=lambda j: (need[j], total[j], -j))
             chosen[i] = s
-            left -= 1
             want[s] -= vectors[i]
+            total[s] -= size[i]
             outstanding -= vectors[i]
-    chosen[chosen < 0] = int(np.argmax(want.sum(axis=1)))
+    chosen[chosen < 0] = int(np.argmax(total))
     return chosen
 
 
+def _matrix(vectors: list) -> tuple[list[str], np.ndarray]:
+    """The labels in a list of label counts ``[(label, n), ...]``, and the counts as a matrix."""
+    labels = sorted({x["label"] for v in vectors for x in v})
+    at = {x: k for k, x in enumerate(labels)}
+    out = np.zeros((len(vectors), len(labels)))
+    for i, v in enumerate(vectors):
+        for x in v:
+            out[i, at[x["label"]]] = x["n"]
+    return labels, out
+
+
 def stratified_splits(
     samples: DataFrame,
     groups: DataFrame,
     label: str = "task_type",
     proportions: Mapping[str, float] | None = None,
-    block_rows: int = 20_000,
+    block_groups: int = 20_000,
     large_share: float = 0.001,
-    max_labels: int = 64,
+    plain: int = 1_000_000,
 ) -> DataFrame:
-    """``(sample_id, group_id, split)`` with whole groups in one split and sizes near ``proportions``.
+    """``(sample_id, group_id, split)`` with whole groups in one split and label shares near ``proportions``.
 
     Groups of at least ``large_share`` of all samples, of which there can be no more than
-    ``1 / large_share``, are placed first, on the driver.  The others are dealt by hash into blocks
-    of about ``block_rows`` samples; each block is stratified on its own against its part of what
-    the large groups left.  The label of a sample is that of its smallest non-null spelling; beyond
-    ``max_labels`` labels, the rest count as one.
+    ``1 / large_share``, are placed first, on the driver.  The others are dealt into blocks by their
+    rarest label, over all rows: the groups of a rare label lie in one block and are weighed against
+    its whole need, and a label of more than ``block_groups`` groups has blocks of about that many,
+    each with its part of the need.  The label of a sample is that of its smallest non-null
+    spelling; any number of labels may occur.
     """
     shares = dict(proportions or {"train": 0.8, "validation": 0.1, "test": 0.1})
     names = list(shares)
@@ -178,37 +216,36 @@ def stratified_splits(
     spark = samples.sparkSession
     labelled = samples.where(F.col("sample_id").isNotNull()).groupBy("sample_id").agg(F.min(F.upper(F.trim(F.col(label)))).alias("label"))
     rows = materialize(groups.select("sample_id", "group_id").join(labelled, "sample_id", "left").select("sample_id", "group_id", F.coalesce("label", F.lit("")).alias("label")), "labelled")
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
     total = rows.count()
     if not total:
         return rows.select("sample_id", "group_id", F.lit(None).cast("string").alias("split"))
-    labels = sorted(counts)
-    at = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")), F.lit(0)).cast("int")
-    width = len(labels) + 1
-    vectors = rows.groupBy("group_id").agg(*[F.sum((at == k).cast("long")).alias(f"n{k}") for k in range(width)], F.count(F.lit(1)).alias("n"))
-    vectors = materialize(vectors, "vectors")
+    counts = rows.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("label").agg(F.sum("n").alias("all"))
+    by_group = counts.join(totals, "label").groupBy("group_id").agg(F.collect_list(F.struct("label", "n")).alias("vector"), F.sum("n").alias("n"), F.min(F.struct("all", "label"))["label"].alias("lead"))
+    vectors = materialize(by_group, "vectors")
     cut = max(2.0, large_share * total)
-    big = vectors.where(F.col("n") >= cut).orderBy(F.desc("n"), "group_id").toPandas()
-    columns = [f"n{k}" for k in range(width)]
-    want = np.outer(ratio, np.asarray(vectors.agg(*[F.sum(c) for c in columns]).first(), dtype=float))
-    placed_big = pd.DataFrame({"group_id": big["group_id"].astype(object), "split": [names[k] for k in place(big[columns].to_numpy(dtype=float), want)] if len(big) else []})
-    small_total = total - int(big["n"].sum())
-    blocks = max(1, -(-small_total // block_rows))
-    remaining = np.clip(want, 0, None)
-    weight = remaining / np.maximum(remaining.sum(axis=0, keepdims=True), 1e-9)
+    big = vectors.where(F.col("n") >= cut).orderBy(F.desc("n"), "group_id").select("group_id", "vector").collect()
+    known, matrix = _matrix([r["vector"] for r in big])
+    sums = {r["label"]: r["all"] for r in totals.where(F.col("label").isin(known)).collect()} if known else {}
+    want = np.outer(ratio, np.array([sums[x] for x in known], dtype=float))
+    picks = place(matrix, want) if big else []
     out = T.StructType([T.StructField("group_id", T.StringType()), T.StructField("split", T.StringType())])
+    placed_big = spark.createDataFrame([(r["group_id"], names[k]) for r, k in zip(big, picks, strict=True)], out)
+    left = np.clip(want, 0, None)
+    weight = {x: left[:, k] / left[:, k].sum() if left[:, k].sum() > 0 else ratio for k, x in enumerate(known)}
 
     def stratify(block: pd.DataFrame) -> pd.DataFrame:
         ordered = block.sort_values("group_id")
-        matrix = ordered[columns].to_numpy(dtype=float)
-        picks = place(matrix, weight * matrix.sum(axis=0, keepdims=True))
-        return pd.DataFrame({"group_id": ordered["group_id"].to_numpy(), "split": [names[k] for k in picks]})
-
-    small = vectors.where(F.col("n") < cut).withColumn("__block", F.pmod(F.xxhash64("group_id"), F.lit(blocks)))
-    placed = small.groupBy("__block").applyInPandas(stratify, out)
-    if len(placed_big):
-        placed = placed.unionByName(spark.createDataFrame(placed_big, out))
-    return rows.join(placed, "group_id").select("sample_id", "group_id", "split")
+        labels, matrix = _matrix(ordered["vector"].tolist())
+        need = np.stack([weight.get(x, ratio) * matrix[:, k].sum() for k, x in enumerate(labels)], axis=1)
+        return pd.DataFrame({"group_id": ordered["group_id"].to_numpy(), "split": [names[k] for k in place(matrix, need)]})
+
+    small = vectors.where(F.col("n") < cut)
+    leads = small.groupBy("lead").agg(F.count(F.lit(1)).alias("__groups"))
+    dealt = small.join(leads, "lead").withColumn("__block", F.pmod(F.xxhash64("group_id"), F.ceil(F.col("__groups") / F.lit(block_groups))))
+    placed = dealt.select("group_id", "vector", "lead", "__block").groupBy("lead", "__block").applyInPandas(stratify, out).unionByName(placed_big)
+    sizes = vectors.select("group_id", F.col("n").alias("__n"))
+    return _by_heavy(rows.drop("label"), placed.join(sizes, "group_id"), "group_id", total, plain).select("sample_id", "group_id", "split")
 
 
 def linked_samples(samples: DataFrame, collections: DataFrame) -> DataFrame:

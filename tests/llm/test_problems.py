@@ -163,8 +163,9 @@ def test_components_against_union_find(spark):
     for n, _ in edges:
         groups.setdefault(find(n), set()).add(n)
     want = {n: min(g) for g in groups.values() for n in g}
-    got = splits.connected_components(spark.createDataFrame(edges, "node string, link string"), "node", "link")
-    assert {r["node"]: r["component"] for r in got.collect()} == want
+    for plain in (1_000_000, 0):
+        got = splits.connected_components(spark.createDataFrame(edges, "node string, link string"), "node", "link", plain=plain)
+        assert {r["node"]: r["component"] for r in got.collect()} == want
     assert splits.connected_components(spark.createDataFrame([], "node string, link string"), "node", "link").count() == 0
 
 
@@ -173,7 +174,7 @@ def test_splits_keep_groups_and_sizes(spark):
     rows = [(f"s{i}", rng.choice(["T1", "t1 ", "T2", None]), f"g{rng.randint(0, 600)}" if i > 900 else "hot") for i in range(3000)]
     samples = spark.createDataFrame([(s, t) for s, t, _ in rows], "sample_id string, task_type string")
     groups = spark.createDataFrame([(s, g) for s, _, g in rows], "sample_id string, group_id string")
-    got = splits.stratified_splits(samples, groups, block_rows=500).collect()
+    got = splits.stratified_splits(samples, groups, block_groups=200, plain=0).collect()
     where = {}
     for r in got:
         where.setdefault(r["group_id"], set()).add(r["split"])
@@ -182,6 +183,14 @@ def test_splits_keep_groups_and_sizes(spark):
     assert abs(sizes["train"] - 0.8) < 0.03 and abs(sizes["validation"] - 0.1) < 0.03 and abs(sizes["test"] - 0.1) < 0.03
 
 
+def test_splits_of_rare_labels(spark):
+    """A label of 400 rows among 40,000, dealt over many blocks, keeps the proportions."""
+    rows = spark.range(40_400).select(F.concat(F.lit("s"), "id").alias("sample_id"), F.when(F.col("id") < 400, "RARE").when(F.col("id") % 97 == 0, F.concat(F.lit("L"), F.col("id") % 70)).otherwise("T1").alias("task_type"))
+    groups = rows.select("sample_id", F.col("sample_id").alias("group_id"))
+    got = splits.stratified_splits(rows, groups, block_groups=500).join(rows, "sample_id").where("task_type = 'RARE'").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 320, "validation": 40, "test": 40}
+
+
 # 4. Top N
 
 
