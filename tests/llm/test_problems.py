@@ -227,7 +227,7 @@ def test_smallest_keys_and_quotas(spark):
     rows = [(f"s{i}", "hot" if i % 3 else "rare", 1 + i % 3) for i in range(900)]
     frame = spark.createDataFrame(rows, "sample_id string, c string, tier int")
     quota = spark.createDataFrame([("hot", 50), ("rare", 0), ("none", 7)], "c string, quota long")
-    got = {r["sample_id"] for r in mixture.smallest_keys(frame, ["c"], quota, "sample_id", cells=16).collect()}
+    got = {r["sample_id"] for r in mixture.smallest_keys(frame, ["c"], quota, "sample_id", cell_rows=20).collect()}
     keyed = sorted((r["k"], r["sample_id"]) for r in frame.where("c = 'hot'").select("sample_id", mixture.random_key(F.col("sample_id"), 42).alias("k")).collect())
     assert got == {s for _, s in keyed[:50]}
     demand = spark.createDataFrame([("T1", "a", 1, 6000, 2, 60, 100), ("T1", "b", 1, 3900, 2, 39, 10), ("T1", "c", 1, 100, 5, 5, 50), ("T1", "d", 1, 0, 0, 0, 9)], "task_type string, source_dataset string, tier int, target_bp int, min_rows int, need long, available long")
@@ -235,6 +235,18 @@ def test_smallest_keys_and_quotas(spark):
     assert sum(dealt.values()) == 100 and dealt["b"] == 10 and dealt["c"] >= 5 and dealt["d"] == 0
 
 
+def test_floors_beyond_the_draw(spark):
+    """Ten categories with a floor of 30 and a draw of 100: no more than 100 are drawn, all short ones told."""
+    demand = spark.createDataFrame([("T1", f"s{i}", 1, 1000, 30, 30, 50 + i) for i in range(10)], "task_type string, source_dataset string, tier int, target_bp int, min_rows int, need long, available long")
+    dealt = [r["quota"] for r in mixture.quotas(demand, 100).collect()]
+    assert sum(dealt) == 100 and set(dealt) == {10}
+    samples = spark.createDataFrame([(f"x{i}", "T1", f"s{i % 10}", DAY) for i in range(500)], "sample_id string, task_type string, source_dataset string, ingested_at timestamp")
+    notes = spark.createDataFrame([(f"x{i}", 1, DAY) for i in range(500)], "sample_id string, tier int, annotated_at timestamp")
+    told = mixture.report(samples, notes, demand.select("task_type", "source_dataset", "tier", "target_bp", "min_rows")).collect()
+    assert all((r["need"], r["quota"], r["short_by"], r["reason"]) == (30, 10, 20, "draw") for r in told) and len(told) == 10
+    assert mixture.draw_sample(samples, notes, demand.select("task_type", "source_dataset", "tier", "target_bp", "min_rows")).count() == 100
+
+
 # 6. Pairs
 
 
