@@ -9,14 +9,15 @@ type, one with many by its own record.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..workspace import materialize, small_enough
+from ..workspace import forget, materialize, small_enough
 from .dedupe import last_delivery
 
 AXES = ("vds", "rds", "ses")
@@ -27,12 +28,14 @@ SHAPES = ((0.85, 0), (0.55, 0), (0.25, 0), (0.6, 1), (0.6, -1))
 
 @dataclass(frozen=True)
 class Fit:
-    """The fitted model: ``ratings`` with posteriors' inputs, and the annotators' table."""
+    """The fitted model: ``ratings`` with their items' posteriors, the annotators' table, and how the fit ended."""
 
     ratings: DataFrame
     annotators: DataFrame
     log_prior: dict[str, list[float]]
     rounds: int
+    moved: float
+    converged: bool
 
 
 def final_ratings(judge_scores: DataFrame) -> DataFrame:
@@ -88,129 +91,124 @@ def own_confusion(counts: np.ndarray, shares: np.ndarray, types: np.ndarray, str
     return strength * np.einsum("nm,mts->nts", shares, mean) + counts
 
 
-def _confusion_rows(units: list[tuple[str, str]], alpha: np.ndarray) -> list[tuple]:
-    logs = digamma(alpha) - digamma(alpha.sum(axis=2, keepdims=True))
-    return [(axis, judge, s + 1, *[float(logs[i, t, s]) for t in range(SCORES)]) for i, (axis, judge) in enumerate(units) for s in range(SCORES)]
+#: One row per axis and judge: the logarithm ``l`` of its matrix and its expected counts ``n`` (4 x 4, true score
+#: first), its chances ``k`` of each type, and how far its matrix moved in the last round.
+ANNOTATORS = "axis string, judge_id string, l array<double>, n array<double>, k array<double>, moved double"
+CELLS = [f"{t}{s}" for t in range(SCORES) for s in range(SCORES)]
+KEYS = ["axis", "judge_id"]
 
 
-CONFUSION = T.StructType([T.StructField("axis", T.StringType()), T.StructField("judge_id", T.StringType()), T.StructField("score", T.IntegerType()), *[T.StructField(f"l{t}", T.DoubleType()) for t in range(SCORES)]])
-
-
-def _posterior(ratings: DataFrame, confusion: DataFrame, log_prior: dict[str, list[float]], broadcast: bool) -> DataFrame:
+def _posterior(ratings: DataFrame, annotators: DataFrame, log_prior: dict[str, list[float]], few: bool, total: int) -> DataFrame:
     """``ratings`` with the posterior ``q0..q3`` of their item.
 
-    The ratings lie partitioned and sorted by item, so with the confusion table broadcast this is
-    one pass without a shuffle.
+    The ratings lie partitioned and sorted by item.  With few annotators their table is broadcast,
+    and a round is one pass without a shuffle; else ratings meet it by judge, where judges with more
+    than a thousandth of all ratings, fewer than 1,000 for each axis, are broadcast all the same.
     """
-    table = F.broadcast(confusion) if broadcast else confusion
-    item = Window.partitionBy("sample_id", "axis")
-    logs = [F.sum(f"l{t}").over(item) + _by_axis(log_prior, t) for t in range(SCORES)]
-    summed = ratings.join(table, ["axis", "judge_id", "score"]).select("sample_id", "axis", "judge_id", "score", *[x.alias(f"s{t}") for t, x in enumerate(logs)])
-    top = F.greatest(*[F.col(f"s{t}") for t in range(SCORES)])
-    parts = summed.select("sample_id", "axis", "judge_id", "score", *[F.exp(F.col(f"s{t}") - top).alias(f"e{t}") for t in range(SCORES)])
-    total = sum((F.col(f"e{t}") for t in range(1, SCORES)), F.col("e0"))
-    return parts.select("sample_id", "axis", "judge_id", "score", *[(F.col(f"e{t}") / total).alias(f"q{t}") for t in range(SCORES)])
-
-
-def _by_axis(values: dict[str, list[float]], t: int) -> Column:
-    out = F.lit(0.0)
-    for axis in AXES:
-        out = F.when(F.col("axis") == axis, F.lit(values[axis][t])).otherwise(out)
-    return out
-
-
-def _expected(posterior: DataFrame) -> DataFrame:
-    return posterior.groupBy("axis", "judge_id", "score").agg(*[F.sum(f"q{t}").alias(f"c{t}") for t in range(SCORES)])
-
-
-def _annotator_updates(spark, stats: DataFrame, types: np.ndarray, weight: np.ndarray, strength: float):
-    """The same update as on the driver, for more annotators than it should hold: tables in and out."""
-    import pandas as pd
-
-    packed = stats.groupBy("axis", "judge_id").agg(*[F.sum(F.when(F.col("score") == s + 1, F.col(f"c{t}")).otherwise(0.0)).alias(f"n{t}{s}") for t in range(SCORES) for s in range(SCORES)])
-    names = [f"n{t}{s}" for t in range(SCORES) for s in range(SCORES)]
-    kinds = len(SHAPES)
-    out = T.StructType([*CONFUSION.fields, T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.DoubleType()))])
-
-    def update(frames):
+    # The priors travel with the table: the code over the ratings stays the same from round to round.
+    prior = "case axis " + " ".join(f"when '{a}' then array({', '.join(f'{x!r}D' for x in log_prior[a])})" for a in AXES) + " end"
+    table = annotators.selectExpr(*KEYS, "l", f"{prior} as p")
+    if few:
+        met = ratings.join(F.broadcast(table), KEYS)
+    else:
+        busy = F.broadcast(annotators.where(F.expr("aggregate(n, 0.0D, (s, x) -> s + x)") > total / 1000).select(*KEYS))
+        light = ratings.join(busy, KEYS, "left_anti").join(table, KEYS)
+        met = ratings.join(F.broadcast(table.join(busy, KEYS, "left_semi")), KEYS).unionByName(light)
+    scores = range(SCORES)
+    item = "over (partition by sample_id, axis)"
+    summed = met.selectExpr("sample_id", *KEYS, "score", *[f"sum(element_at(l, {t * SCORES} + score)) {item} + p[{t}] as s{t}" for t in scores])
+    top = "greatest(" + ", ".join(f"s{t}" for t in scores) + ")"
+    parts = summed.selectExpr("sample_id", *KEYS, "score", *[f"exp(s{t} - {top}) as e{t}" for t in scores])
+    whole = " + ".join(f"e{t}" for t in scores)
+    return parts.selectExpr("sample_id", *KEYS, "score", *[f"e{t} / ({whole}) as q{t}" for t in scores])
+
+
+def _updated(posterior: DataFrame, before: DataFrame | None, few: bool, types: np.ndarray, weight: np.ndarray, strength: float) -> DataFrame:
+    """The annotators' table after one variational update, summed and updated where the data is."""
+    counts = posterior.groupBy(*KEYS).agg(*[F.expr(f"sum(if(score = {s + 1}, q{t}, 0.0D))").alias(f"n{t}{s}") for t in range(SCORES) for s in range(SCORES)])
+    if before is None:
+        counts = counts.withColumn("l", F.expr(f"array_repeat(0.0D, {SCORES * SCORES})"))
+    else:
+        last = before.select(*KEYS, "l")
+        counts = counts.join(F.broadcast(last) if few else last, KEYS)
+
+    def update(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            counts = frame[names].to_numpy(dtype=float).reshape(-1, SCORES, SCORES)
-            shares = type_shares(counts, types, weight)
-            alpha = own_confusion(counts, shares, types, strength)
-            rows = _confusion_rows(list(zip(frame["axis"], frame["judge_id"], strict=True)), alpha)
-            extra = [(list(shares[i // SCORES]), list(counts[i // SCORES].ravel())) for i in range(len(rows))]
-            yield pd.DataFrame([(*r, *e) for r, e in zip(rows, extra, strict=True)], columns=out.names)
+            n = frame[[f"n{c}" for c in CELLS]].to_numpy(dtype=float).reshape(-1, SCORES, SCORES)
+            shares = type_shares(n, types, weight)
+            alpha = own_confusion(n, shares, types, strength)
+            logs = digamma(alpha) - digamma(alpha.sum(axis=2, keepdims=True))
+            old = np.stack(frame["l"]).reshape(-1, SCORES, SCORES)
+            moved = np.abs(np.exp(logs) - np.exp(old)).max(axis=(1, 2))
+            flat = SCORES * SCORES
+            yield pd.DataFrame({"axis": frame["axis"], "judge_id": frame["judge_id"], "l": list(logs.reshape(-1, flat)), "n": list(n.reshape(-1, flat)), "k": list(shares), "moved": moved})
 
-    table = materialize(packed.mapInPandas(update, out), "annotators")
-    per = table.where("score = 1")
-    sums = per.select(*[F.sum(F.col("shares")[m] * F.col("counts")[i]) for m in range(kinds) for i in range(SCORES * SCORES)], *[F.sum(F.col("shares")[m]) for m in range(kinds)]).first()
-    flat = np.array([x or 0.0 for x in sums])
-    return table, flat[: kinds * SCORES * SCORES].reshape(kinds, SCORES, SCORES), flat[kinds * SCORES * SCORES :]
+    return counts.mapInPandas(update, ANNOTATORS)
 
 
-def fit(judge_scores: DataFrame, rounds: int = 25, tolerance: float = 1e-3, strength: float = 8.0, driver_annotators: int = 50_000) -> Fit:
-    """Fit the model.  No annotator counts fully on trust: all start from their vote shares.
+def _sums(annotators: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], float]:
+    """Of all annotators: expected counts by type, the types' mass, true scores by axis, and the largest move.
 
-    With at most ``driver_annotators`` annotators their matrices, 16 numbers per axis each, are
-    updated on the driver and broadcast (20 MB at the bound); beyond it they stay tables.
+    Each task adds up its own annotators; one array of fixed size per task reaches the driver.
+    """
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_type, mass, totals, moved = np.zeros((len(SHAPES), SCORES, SCORES)), np.zeros(len(SHAPES)), np.zeros((len(AXES), SCORES)), 0.0
+        for frame in frames:
+            if not len(frame):
+                continue
+            n, shares = np.stack(frame["n"]).reshape(-1, SCORES, SCORES), np.stack(frame["k"])
+            by_type += np.einsum("nm,nts->mts", shares, n)
+            mass += shares.sum(axis=0)
+            for i, axis in enumerate(AXES):
+                totals[i] += n[(frame["axis"] == axis).to_numpy()].sum(axis=(0, 2))
+            moved = max(moved, float(frame["moved"].max()))
+        yield pd.DataFrame({"sums": [np.concatenate([by_type.ravel(), mass, totals.ravel()])], "moved": [moved]})
+
+    got = annotators.mapInPandas(add, "sums array<double>, moved double").collect()
+    kinds = len(SHAPES) * SCORES * SCORES
+    flat = np.sum([np.array(r["sums"]) for r in got], axis=0) if got else np.zeros(kinds + len(SHAPES) + len(AXES) * SCORES)
+    totals = flat[kinds + len(SHAPES) :].reshape(len(AXES), SCORES)
+    return flat[:kinds].reshape(len(SHAPES), SCORES, SCORES), flat[kinds : kinds + len(SHAPES)], dict(zip(AXES, totals, strict=True)), max((r["moved"] for r in got), default=0.0)
+
+
+def fit(judge_scores: DataFrame, rounds: int = 100, tolerance: float = 5e-3, strength: float = 8.0, broadcast_annotators: int = 50_000) -> Fit:
+    """Fit the model.  No annotator counts fully on trust: all start from the vote shares of items.
+
+    A round updates the items' posteriors, the annotators' matrices and types, and the types'
+    matrices, all in the cluster; what reaches the driver are sums of a fixed size.  It ends when no
+    entry of any annotator's matrix moves by ``tolerance``, or unconverged after ``rounds``; either
+    is told by the result.  ``broadcast_annotators`` bounds the annotators' table that is broadcast
+    (about 50 numbers each); beyond it the same updates run by joins.  An item has no more ratings
+    than there are judges, since a judge's last one counts.
     """
-    spark = judge_scores.sparkSession
-    ratings = final_ratings(judge_scores)
-    ratings = ratings.repartition("sample_id", "axis").sortWithinPartitions("sample_id", "axis", "judge_id").persist()
-    on_driver = small_enough(ratings.select("judge_id").distinct(), driver_annotators)
+    laid = final_ratings(judge_scores).repartition("sample_id", "axis").sortWithinPartitions("sample_id", "axis", "judge_id").persist()
+    total = laid.count()
+    few = small_enough(laid.select("judge_id").distinct(), broadcast_annotators)
     item = Window.partitionBy("sample_id", "axis")
-    votes = ratings.select("sample_id", "axis", "judge_id", "score", *[((F.sum((F.col("score") == t + 1).cast("double")).over(item) + 0.1) / (F.count(F.lit(1)).over(item) + 0.4)).alias(f"q{t}") for t in range(SCORES)])
-    stats = _expected(votes)
+    votes = [((F.sum((F.col("score") == t + 1).cast("double")).over(item) + 0.1) / (F.count(F.lit(1)).over(item) + 0.4)).alias(f"q{t}") for t in range(SCORES)]
+    posterior = laid.select("sample_id", "axis", "judge_id", "score", *votes)
     types, weight = type_priors(), np.full(len(SHAPES), 1 / len(SHAPES))
     log_prior = {a: [0.0] * SCORES for a in AXES}
-    confusion, before, done, annotators = None, None, 0, None
-    for done in range(1, rounds + 1):
-        if on_driver:
-            got = stats.collect()
-            units = sorted({(r["axis"], r["judge_id"]) for r in got})
-            at = {u: i for i, u in enumerate(units)}
-            counts = np.zeros((len(units), SCORES, SCORES))
-            for r in got:
-                counts[at[r["axis"], r["judge_id"]], :, r["score"] - 1] = [r[f"c{t}"] for t in range(SCORES)]
-            if not units:
-                break
-            for _ in range(5):
-                shares = type_shares(counts, types, weight)
-                types = type_priors() + np.einsum("nm,nts->mts", shares, counts)
-                weight = (shares.sum(axis=0) + 1) / (len(units) + len(SHAPES))
-            alpha = own_confusion(counts, shares, types, strength)
-            confusion = spark.createDataFrame(_confusion_rows(units, alpha), CONFUSION)
-            totals = {a: np.zeros(SCORES) for a in AXES}
-            for (axis, _), c in zip(units, counts, strict=True):
-                totals[axis] += c.sum(axis=1)
-            now = alpha / alpha.sum(axis=2, keepdims=True)
-        else:
-            table, summed, mass = _annotator_updates(spark, stats, types, weight, strength)
-            types = type_priors() + summed
-            weight = (mass + 1) / (mass.sum() + len(SHAPES))
-            confusion, annotators = table.select(*CONFUSION.names), table
-            sums = stats.groupBy("axis").agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(SCORES)]).collect()
-            totals = {a: np.zeros(SCORES) for a in AXES} | {r["axis"]: np.array([r[f"c{t}"] for t in range(SCORES)]) for r in sums}
-            now = types / types.sum(axis=2, keepdims=True)
+    annotators, done, moved = None, 0, float("inf") if total else 0.0
+    while done < rounds and moved >= tolerance:
+        before = annotators
+        annotators = materialize(_updated(posterior, before, few, types, weight, strength), "annotators")
+        forget(before)
+        by_type, mass, totals, moved = _sums(annotators)
+        types = type_priors() + by_type
+        weight = (mass + 1) / (mass.sum() + len(SHAPES))
         for a in AXES:
             prior = totals[a] + 1
             log_prior[a] = [float(x) for x in np.log(prior / prior.sum())]
-        if before is not None and np.abs(now - before).max() < tolerance:
-            break
-        before = now
-        if done < rounds:
-            stats = _expected(_posterior(ratings, confusion, log_prior, on_driver))
-            if not on_driver:
-                stats = materialize(stats, "expected")
-    if on_driver and confusion is not None:
-        annotators = spark.createDataFrame([(a, j, s + 1, *[0.0] * SCORES, [float(x) for x in shares[i]], [float(x) for x in counts[i].ravel()]) for i, (a, j) in enumerate(units) for s in range(1)], T.StructType([*CONFUSION.fields, T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.DoubleType()))]))
-    if confusion is None:
-        confusion = spark.createDataFrame([], CONFUSION)
-        annotators = spark.createDataFrame([], T.StructType([*CONFUSION.fields, T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.DoubleType()))]))
-    posterior = _posterior(ratings, confusion, log_prior, on_driver)
-    return Fit(posterior, annotators.where("score = 1").select("axis", "judge_id", "shares", "counts"), log_prior, done)
+        posterior = _posterior(laid, annotators, log_prior, few, total)
+        done += 1
+    if annotators is None:
+        annotators = judge_scores.sparkSession.createDataFrame([], ANNOTATORS)
+    posterior = materialize(posterior.select("sample_id", "axis", "judge_id", "score", *[f"q{t}" for t in range(SCORES)]), "posterior")
+    laid.unpersist()
+    return Fit(posterior, annotators, log_prior, done, moved, moved < tolerance)
 
 
 def consensus(judge_scores: DataFrame, **options) -> DataFrame:
@@ -237,11 +235,16 @@ def contested(judge_scores: DataFrame) -> DataFrame:
 
 def reliability(judge_scores: DataFrame, **options) -> DataFrame:
     """Per judge and axis: the chance of giving the right score, ratings, and the most likely type."""
+    annotators = fit(judge_scores, **options).annotators
+    total = F.expr("aggregate(n, 0.0D, (s, x) -> s + x)")
+    right = F.expr(" + ".join(f"n[{t * (SCORES + 1)}]" for t in range(SCORES)))
+    return annotators.select("judge_id", "axis", (right / total).alias("reliability"), total.alias("n_ratings"), F.array_position("k", F.array_max("k")).cast("int").alias("judge_type"))
+
+
+def convergence(judge_scores: DataFrame, **options) -> DataFrame:
+    """One row on how the fit ended: rounds, the largest move of the last round, whether it converged."""
     fitted = fit(judge_scores, **options)
-    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
-    right = sum((F.col("counts")[t * SCORES + t] for t in range(1, SCORES)), F.col("counts")[0])
-    kind = F.array_position("shares", F.array_max("shares")).cast("int")
-    return fitted.annotators.select("judge_id", "axis", (right / total).alias("reliability"), total.alias("n_ratings"), kind.alias("judge_type"))
+    return judge_scores.sparkSession.createDataFrame([(fitted.rounds, fitted.moved, fitted.converged)], "rounds int, moved double, converged boolean")
 
 
 def published_agreement(judge_scores: DataFrame, annotations: DataFrame) -> DataFrame:

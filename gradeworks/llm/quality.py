@@ -1,8 +1,9 @@
 """Per-document text quality statistics, and the kind of a document (problem 9).
 
 Huge documents are split into chunks.  Each chunk gives counts that only ever add up; the state at
-its boundaries (was a line or a word cut there) corrects them.  Counts are summed per document in a
-tree of partial aggregates, then ratios and rules are derived.
+its boundaries (was a line or a word cut there, what line came before) corrects them, so that the
+counts are the same for chunks of any size.  Counts are summed per document in a tree of partial
+aggregates; ratios are derived from the sums, and the kind of a document from the ratios.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import materialize
+
 #: Frequent function words by language.
 COMMON = {
     "en": "the a an of and to in that was it is for on with as from which has had be by at this but not are were or its if there one they would both their than so who he she we you his her have been",
@@ -131,88 +134,114 @@ def measure(raw: str) -> tuple[str, list[str], int, int, int, int, str]:
     return line, words, common, visible, digits, symbols, kind_of_line(line, words, common, visible, symbols)
 
 
+#: A line longer than this is measured in segments of this length, counted from where it starts.
+SEGMENT = 2048
+
+
+def segments(raw: str) -> list[str]:
+    """A line as one part, or cut every :data:`SEGMENT` characters."""
+    return [raw] if len(raw) <= SEGMENT else [raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
+
+
 def piece_counts(text: str, starts_mid_line: bool = False, starts_mid_word: bool = False, ends_mid_line: bool = False, before: str = "") -> list[int]:
     """The counts of one chunk; a cut line counts once, and so does a cut word.
 
-    ``before`` is the line before the chunk, which tells whether a sentence is open.
+    ``before`` is the line before the chunk, or its last segment, which tells whether a sentence is open.
     """
     total = dict.fromkeys(COUNTS, 0)
     lines = text.split("\n")
     last, *_, kind = measure(before)
     is_open = kind == "prose" and not last.endswith(_END)
     for number, raw in enumerate(lines):
-        line, words, common, visible, digits, symbols, kind = measure(raw)
-        if not line:
-            is_open = False
-            continue
-        total["chars"] += visible
-        total["words"] += len(words)
-        total["word_chars"] += sum(map(len, words))
-        total["common"] += common
-        total["digits"] += digits
-        total["symbols"] += symbols
-        total["lines"] += not (number == 0 and starts_mid_line)
-        total["ended"] += line.endswith(_END) and not (ends_mid_line and number == len(lines) - 1)
-        total["prose" if kind == "short" and is_open else "list" if kind == "short" else kind] += visible
-        is_open = kind == "prose" and not line.endswith(_END)
+        parts = segments(raw)
+        for k, part in enumerate(parts):
+            line, words, common, visible, digits, symbols, kind = measure(part)
+            if not line:
+                is_open = False
+                continue
+            inside = k > 0 or (number == 0 and starts_mid_line)
+            total["chars"] += visible
+            total["words"] += len(words) - (k > 0 and parts[k - 1][-1].isalpha() and part[0].isalpha())
+            total["word_chars"] += sum(map(len, words))
+            total["common"] += common
+            total["digits"] += digits
+            total["symbols"] += symbols
+            total["lines"] += not inside
+            total["ended"] += k == len(parts) - 1 and line.endswith(_END) and not (ends_mid_line and number == len(lines) - 1)
+            total["prose" if kind == "short" and is_open else "list" if kind == "short" else kind] += visible
+            is_open = kind == "prose" and not line.endswith(_END)
     if starts_mid_word:
         total["words"] -= 1
     return [int(total[c]) for c in COUNTS]
 
 
-def chunks(text: str, size: int, look: int = 2048) -> Iterator[tuple[str, bool, bool, bool, str]]:
+def chunks(text: str, size: int) -> Iterator[tuple[str, bool, bool, bool, str]]:
     """``(chunk, starts mid line, starts mid word, ends mid line, line before)`` of a text, in order.
 
-    A chunk ends after the last line break among its last ``look`` characters, else after the last
-    space there, else where it is full: only a line or a word longer than ``look`` is ever cut.
+    A chunk ends after the last line break among its last :data:`SEGMENT` characters, else at the
+    last end of a segment of the line it is in, so no segment is ever cut.
     """
-    at, mid_line, mid_word = 0, False, False
+    size = max(size, 2 * SEGMENT)
+    at, start, mid_word = 0, 0, False
     while at < len(text):
         end = min(len(text), at + size)
-        cut = end
+        cut, line = end, max(start, text.rfind("\n", at, end) + 1)
         if end < len(text):
-            low = max(at + 1, end - look)
-            cut = text.rfind("\n", low, end) + 1 or text.rfind(" ", low, end) + 1 or end
+            broken = text.rfind("\n", max(at, end - SEGMENT), end) + 1
+            cut = broken or line + (end - line) // SEGMENT * SEGMENT
+        before = ""
+        if at:
+            stop = at if at > start else at - 1
+            own = start if at > start else text.rfind("\n", 0, stop) + 1
+            before = text[own + max(0, stop - own - 1) // SEGMENT * SEGMENT : stop]
+        mid_line = at > start
         ends_line = cut >= len(text) or text[cut - 1] == "\n"
-        before = "" if mid_line or not at else text[max(0, at - look) : at - 1].rpartition("\n")[2]
         yield text[at:cut], mid_line, mid_word, not ends_line, before
-        mid_line = not ends_line
-        mid_word = mid_line and text[cut - 1].isalpha() and text[cut].isalpha()
+        start = cut if ends_line else line
+        mid_word = not ends_line and text[cut - 1].isalpha() and text[cut].isalpha()
         at = cut
 
 
 def counts(documents: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     """``doc_id`` and the summed :data:`COUNTS` of every document; null and blank texts count 0.
 
-    Texts of at most ``chunk`` characters are counted where they are read and need no shuffle.
-    Longer ones are cut, their chunks are dealt over all tasks, and the counts are added up by
-    partial aggregation, so a text of any size costs each task about a chunk at a time.
+    Texts are read once.  One of at most ``chunk`` characters is counted where it is read; longer
+    ones are cut there, their chunks are dealt over all tasks, and the counts are added up by
+    partial aggregation, so a text of any size costs each task about a chunk at a time.  Between lie
+    a table of the counts and of the chunks of long texts in the shared folder.
     """
-    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cut_schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, T.BooleanType()) for c in ("mid_line", "mid_word", "ends_mid_line")], T.StructField("before", T.StringType())])
-
-    def count_whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([(i, *piece_counts(t)) for i, t in zip(frame["doc_id"], frame["text"], strict=True)], columns=PIECE.names)
+    rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    extra = [T.StructField("text", T.StringType()), *[T.StructField(c, T.BooleanType()) for c in ("mid_line", "mid_word", "ends_mid_line")], T.StructField("before", T.StringType())]
+    read_schema = T.StructType([*PIECE.fields, *extra])
+    blank, none = [None] * len(extra), [None] * len(COUNTS)
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out = []
             for i, t in zip(frame["doc_id"], frame["text"], strict=True):
-                yield pd.DataFrame([(i, *c) for c in chunks(t, chunk)], columns=cut_schema.names)
+                if len(t) <= chunk:
+                    out.append((i, *piece_counts(t), *blank))
+                    continue
+                for c in chunks(t, chunk):
+                    out.append((i, *none, *c))
+                    if len(out) >= 64:
+                        yield pd.DataFrame(out, columns=read_schema.names).astype(dict.fromkeys(COUNTS, "Int64"))
+                        out = []
+            yield pd.DataFrame(out, columns=read_schema.names).astype(dict.fromkeys(COUNTS, "Int64"))
 
     def count_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([(r.doc_id, *piece_counts(r.text, r.mid_line, r.mid_word, r.ends_mid_line, r.before)) for r in frame.itertuples()], columns=PIECE.names)
 
-    small = rows.where(F.length("text") <= chunk).mapInPandas(count_whole, PIECE)
-    pieces = rows.where(F.length("text") > chunk).mapInPandas(cut, cut_schema)
+    read = materialize(rows.mapInPandas(count, read_schema), "counted")
+    pieces = read.where("text is not null").select("doc_id", *[f.name for f in extra])
     large = pieces.repartition(F.xxhash64("text", "doc_id")).mapInPandas(count_pieces, PIECE)
     large = large.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    return small.unionByName(large)
+    return read.where("text is null").select(*PIECE.names).unionByName(large)
 
 
 def kind(prose: Column, listed: Column, table: Column, junk: Column) -> Column:
-    """The largest part that is not prose, where such parts hold more than half; else null."""
+    """The rule on a document's shares: the largest part that is not prose, where such parts hold more than half; else null."""
     other = F.greatest(listed, table, junk)
     named = F.when(other == junk, "junk").when(other == table, "table").otherwise("list")
     return F.when((listed + table + junk) > prose, named)

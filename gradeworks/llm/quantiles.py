@@ -77,6 +77,10 @@ class Summary:
         ranks = np.maximum(1, np.ceil(np.asarray(q) * self.n - 1e-9))
         return [float(x) for x in values[order][np.minimum(np.searchsorted(upto, ranks), len(values) - 1)]]
 
+    def held(self) -> int:
+        """How many values the summary holds."""
+        return self.waiting + self.k * sum(len(bs) for bs in self.full.values())
+
     def dump(self) -> tuple[int, int, list[int], np.ndarray]:
         """``n``, ``error``, the level of each full buffer, and all values: buffers, then the tail."""
         levels = [lv for lv in sorted(self.full) for _ in self.full[lv]]
@@ -98,13 +102,22 @@ def _schema(frame: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType([*fields, T.StructField("metric", T.StringType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("error", T.LongType()), T.StructField("levels", T.ArrayType(T.IntegerType())), T.StructField("vals", T.ArrayType(T.DoubleType()))])
 
 
-def summaries(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: int = 4096, fan_in: int = 16) -> DataFrame:
+def _partitions(rows: DataFrame) -> int:
+    """No fewer than the partitions that a plan can have: those of its shuffles, or those its input splits into."""
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    scans = min(10_000_000, size // max(1, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())))
+    return max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), scans)
+
+
+def summaries(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: int = 4096, fan_in: int = 16, held: int = 2_000_000) -> DataFrame:
     """One summary per group and metric: ``keys``, metric, n, error, levels, vals.
 
     Null, NaN, infinite and negative values are unknown and left out; a group without any value has
     no summary.  Each partition first summarises its own rows of every group, so a group that holds
-    a third of all rows costs each task its share; the parts then merge in a tree of ``fan_in``, so
-    no task ever holds more than ``fan_in`` summaries of a group.
+    a third of all rows costs each task its share.  A task holds at most about ``held`` values: beyond
+    that it passes on all summaries that it has and starts new ones.  The parts merge in a tree of
+    about ``fan_in``, streaming by: a task holds one summary at a time.
     """
     keys = list(keys)
     narrow = rows.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics])
@@ -113,8 +126,15 @@ def summaries(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: i
     def leaf(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, full = TaskContext.get().partitionId(), 0
         found: dict[tuple, Summary] = {}
+
+        def passed_on() -> Iterator[pd.DataFrame]:
+            listed = list(found.items())
+            for at in range(0, len(listed), 512):
+                yield _frame(((*name, m, part, *s.dump()) for (name, m), s in listed[at : at + 512]), schema)
+            found.clear()
+
         for frame in frames:
             if not len(frame):
                 continue
@@ -128,10 +148,17 @@ def summaries(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], k: i
                 for code, chunk in zip(sorted_codes[np.r_[0, cuts]] if len(sorted_codes) else [], np.split(sorted_values, cuts), strict=False):
                     name = tuple(None if pd.isna(x) else x for x in names[code])
                     found.setdefault((name, m), Summary(k)).add(chunk)
-        yield _frame(((*name, m, part, *s.dump()) for (name, m), s in found.items()), schema)
+                    full += len(chunk)
+            # What is added bounds what is held; after a count only what is held counts.
+            if full > held:
+                full = sum(s.held() for s in found.values())
+                if 2 * full > held:
+                    yield from passed_on()
+                    full = 0
+        yield from passed_on()
 
     parts = narrow.mapInPandas(leaf, schema)
-    width = max(1, rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    width = _partitions(narrow)
     while width > fan_in:
         width = -(-width // fan_in)
         dealt = parts.withColumn("part", F.pmod(F.col("part"), F.lit(width)))
@@ -199,6 +226,25 @@ def read_quantiles(found: DataFrame, keys: Sequence[str], q: Sequence[float] = (
     return found.select(*keys, "metric", "n", "error", "levels", "vals").mapInPandas(read, schema)
 
 
+def within_bounds(rows: DataFrame, read: DataFrame, keys: Sequence[str], metrics: Sequence[str], q: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """``keys``, metric, n, ``within``: whether the true ranks of all quantiles read lie within ``rank_error``.
+
+    One pass over the rows counts, per group and quantile, the values below it and up to it.
+    """
+    keys, names = list(keys), [f"p{round(100 * x)}" for x in q]
+    told = read.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("metric").alias("__metric"), F.col("n").alias("__n"), F.col("rank_error").alias("__error"), *[F.col(c).alias(f"__{c}") for c in names])
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(*keys, "x.metric", "x.v").where("v >= 0 and not isnan(v) and v < double('infinity')")
+    same = F.col("metric") == F.col("__metric")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    counted = long.join(told, same).groupBy(*keys, "metric", "__n", "__error").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, c in enumerate(names) for k, f, x in (("b", F.count_if, F.col("v") < F.col(f"__{c}")), ("u", F.count_if, F.col("v") <= F.col(f"__{c}")))])
+    good = F.col("n") == F.col("__n")
+    for i, x in enumerate(q):
+        rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(x) - F.lit(1e-9)))
+        good = good & (F.col(f"b{i}") < rank + F.col("__error")) & (F.col(f"u{i}") >= rank - F.col("__error"))
+    return counted.select(*keys, "metric", "n", good.alias("within"))
+
+
 def _frame(rows: Iterable[tuple], schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=schema.names).astype({"part": "int64", "n": "int64", "error": "int64"})
 

