@@ -12,10 +12,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -291,11 +292,8 @@ _HINTS = frozenset("i me i'm i’m i'd i’d i've my ai assistant ich mir je j n
 class Tester:
     """Finds the defect of pairs; keeps what it learnt about texts and queries it met before."""
 
-    def __init__(self, ends: EndModel, model: LanguageModel, pages: list[str], keep: int = 50_000) -> None:
+    def __init__(self, ends: EndModel, model: LanguageModel, keep: int = 50_000) -> None:
         self.ends, self.model, self.keep = ends, model, keep
-        self.pages = frozenset(pages)
-        listed = sorted(pages, key=lambda p: (-len(p), p))
-        self.bears = re.compile("|".join(re.escape(p) for p in listed), re.I) if listed else None
         self.texts: dict[str | None, tuple] = {}
         self.queries: dict[str, tuple] = {}
 
@@ -325,26 +323,49 @@ class Tester:
             self.queries[query] = known
         return known
 
-    def defect(self, query: str | None, text: str | None) -> str | None:
-        """The defect of one pair, if any."""
+    def defect(self, query: str | None, text: str | None, page: str | None = None) -> tuple[str | None, str | None]:
+        """The defect of one pair, if any, and what to look up among page texts before it counts.
+
+        ``page`` is what the page asked about is known to bear.  In answers to queries that ask for a
+        quotation it counts as a name, whatever it says, unless it is a refusal itself.
+        """
         core, plain, cut, found, said = self._text(text)
         if plain == "empty":
-            return "empty"
+            return "empty", None
         quotes, theirs, asked = self._query(query or "")
-        if quotes and self.bears is not None:
-            # What pages are known to bear counts as a name, whatever it says.
-            if core.strip(" .").lower() in self.pages:
-                return None
-            bare = self.bears.sub("Value", core)
-            if bare != core:
-                core, plain, cut, found, said = self._text(bare)
+        look = page_key(core) if quotes else None
+        if quotes and page is not None:
+            own, refused, *_ = self._text(page)
+            own = page_key(own)
+            if len(own) > 2 and not refused:
+                if look == own:
+                    return None, None
+                bare = re.sub(re.escape(own), "Value", core, flags=re.I)
+                if bare != core:
+                    core, plain, cut, found, said = self._text(bare)
+                elif (shared := shared_run(core, self._text(page)[0])) is not None:
+                    # Words that both quote tell nothing about the language that a response is in.
+                    *_, found, said = self._text(core.replace(shared, "Value"))
         if plain:
-            return plain
+            return plain, look
         if theirs and len(core) * 2 > len(query) and is_copy(core, theirs):
-            return "copy"
+            return "copy", look
         if cut:
-            return "truncated"
-        return "language" if asked is not None and said is not None and other_language(found, asked, said) else None
+            return "truncated", look
+        return ("language", look) if asked is not None and said is not None and other_language(found, asked, said) else (None, None)
+
+
+def shared_run(core: str, page: str, least: int = 3) -> str | None:
+    """The longest run of at least ``least`` words that two texts share, as it stands in the first."""
+    ours, theirs = core.split(), page.split()
+    match = SequenceMatcher(None, [w.lower() for w in ours], [w.lower() for w in theirs], autojunk=False).find_longest_match()
+    run = " ".join(ours[match.a : match.a + match.size])
+    return run if match.size >= least and run in core else None
+
+
+def page_key(core: str) -> str:
+    """The form in which texts of pages are compared."""
+    return core.strip(" .").lower()
 
 
 def smallest_hashes(rows: DataFrame, identity: str, size: int) -> DataFrame:
@@ -360,22 +381,27 @@ def smallest_hashes(rows: DataFrame, identity: str, size: int) -> DataFrame:
     return hashed.orderBy("__h", identity).limit(size).drop("__h")
 
 
-def training_words(documents: DataFrame, texts: int = 3000, chars: int = 2000) -> dict[str, list[str]]:
+def training_words(documents: DataFrame, texts: int = 3000) -> dict[str, list[str]]:
     """Words by language, from at most ``texts`` documents that say their language.
 
-    A bounded sample, as the model has few parameters: the documents with the smallest hashes of
-    their ids, the first ``chars`` characters of each.
+    A bounded sample of labelled rows, as the model has few parameters: the whole texts of the
+    documents with the smallest hashes of their ids, whose words are counted in the cluster.
     """
     tag = F.substring(F.lower(F.trim("lang")), 1, 2)
     known = documents.where(tag.rlike("^[a-z]{2}$") & (F.lower(F.trim("lang")) != "und") & F.col("text").isNotNull())
-    picked = smallest_hashes(known.select(tag.alias("lang"), F.substring("text", 1, chars).alias("text"), "doc_id"), "doc_id", texts)
-    out: dict[str, list[str]] = {}
-    for row in picked.collect():
-        out.setdefault(row["lang"], []).extend(w for w in (m.group() for m in _PLAIN.finditer(row["text"])) if w[0].islower() or w[0].lower() == w[0].upper())
+    picked = smallest_hashes(known.select(tag.alias("lang"), "text", "doc_id"), "doc_id", texts)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            seen: Counter = Counter((lang, w) for lang, t in zip(frame["lang"], frame["text"], strict=True) for w in (m.group() for m in _PLAIN.finditer(t)) if w[0].islower() or w[0].lower() == w[0].upper())
+            yield pd.DataFrame([(lang, w, n, 0) for (lang, w), n in seen.items()], columns=COUNTED.names)
+
+    counted: dict[str, Counter] = {}
+    for lang, word, n in picked.mapInPandas(count, COUNTED).groupBy("kind", "key").agg(F.sum("n")).collect():
+        counted.setdefault(lang, Counter())[word] = n
     # Wrong labels are few: a word counts for a language that has at least a tenth of its uses.
-    uses = Counter(w for ws in out.values() for w in ws)
-    counted = {lang: Counter(ws) for lang, ws in out.items()}
-    out = {lang: [w for w, n in c.items() for _ in range(n) if 10 * n >= uses[w]] for lang, c in counted.items()}
+    uses: Counter = sum(counted.values(), Counter())
+    out: dict[str, list[str]] = {lang: [w for w, n in c.items() for _ in range(n) if 10 * n >= uses[w]] for lang, c in counted.items()}
     for lang, listed in LEXICON.items():
         out.setdefault(lang, []).extend(listed.split() * 3)
     for lang, listed in COMMON.items():
@@ -435,11 +461,11 @@ def fit_ends(texts: DataFrame, text: str, most: int = 4, least: int = 15) -> End
     return EndModel.of_counts(*counts["end"], *counts["start"], most, least)
 
 
-FOUND = T.StructType([T.StructField("origin", T.StringType()), T.StructField("pair_key", T.StringType()), T.StructField("defect", T.StringType())])
+FOUND = T.StructType([T.StructField(c, T.StringType()) for c in ("origin", "pair_key", "defect", "look")])
 
 
 def pairs(samples: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Gold pairs and run pairs: origin, pair_key, query, response.
+    """Gold pairs and run pairs: origin, pair_key, query, response, and of runs the sample's own gold as page.
 
     Of several deliveries of a sample or a run the last counts.  Runs of unknown samples and
     inferred results are no pairs.
@@ -447,40 +473,55 @@ def pairs(samples: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]
     gold = last_delivery(samples.where(F.col("sample_id").isNotNull()), ["sample_id"], ["ingested_at"], ["sample_id", "query", "gt_answer"])
     runs = last_delivery(results.where((F.col("result_type") == "observed") & F.col("result_id").isNotNull()), ["result_id"], ["ingested_at"], ["result_id", "sample_id", "predicted_answer"])
     asked = runs.join(gold, "sample_id")
-    one = gold.select(F.lit("gold").alias("origin"), F.col("sample_id").alias("pair_key"), "query", F.col("gt_answer").alias("response"))
-    two = asked.select(F.lit("run").alias("origin"), F.col("result_id").cast("string").alias("pair_key"), "query", F.col("predicted_answer").alias("response"))
+    one = gold.select(F.lit("gold").alias("origin"), F.col("sample_id").alias("pair_key"), "query", F.col("gt_answer").alias("response"), F.lit(None).cast("string").alias("page"))
+    two = asked.select(F.lit("run").alias("origin"), F.col("result_id").cast("string").alias("pair_key"), "query", F.col("predicted_answer").alias("response"), F.when(_quoting(F.col("query")), F.col("gt_answer")).alias("page"))
     return one, two
 
 
-def broken_pairs(samples: DataFrame, results: DataFrame, documents: DataFrame, quote_texts: int = 1000) -> DataFrame:
+def _quoting(query: Column) -> Column:
+    return query.rlike("(?i)" + QUOTES.pattern)
+
+
+def page_texts(samples: DataFrame) -> DataFrame:
+    """``look``: every text that is the gold answer of several queries asking for a quotation."""
+    asked = samples.where(_quoting(F.col("query")) & F.col("gt_answer").isNotNull()).select("gt_answer", "sample_id").distinct()
+    borne = asked.groupBy("gt_answer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gt_answer")
+
+    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [page_key(unwrap(t)[0]) for t in frame["gt_answer"]]
+            yield pd.DataFrame({"look": [k for k in found if len(k) > 2 and not REFUSALS.search(k)]}, dtype=object)
+
+    return borne.mapInPandas(keys, "look string").distinct()
+
+
+def broken_pairs(samples: DataFrame, results: DataFrame, documents: DataFrame) -> DataFrame:
     """``(origin, pair_key, defect)`` of every broken pair, at most one defect each.
 
     The end model is fitted on the responses of all pairs, the language model extended by all their
-    queries.  Texts that are the gold answer of several queries asking for a quotation are
-    texts of pages; the ``quote_texts`` most frequent are broadcast and count as names in answers to
-    such queries.  Every pair is tested, a null query like an empty one.
+    queries.  In answers to queries that ask for a quotation, what the sample's own gold answer says
+    counts as a name; a response that is itself a page text, being the gold answer of several such
+    queries, is no case.  Page texts are met by a join of the few pairs found with all of them.
+    Every pair is tested, a null query like an empty one.
     """
     spark = samples.sparkSession
     one, two = pairs(samples, results)
     both = materialize(one.unionByName(two), "pairs")
     ends = fit_ends(both, "response")
     model = with_queries(training_words(documents), samples.select("query"))
-    asked = samples.where(F.col("query").rlike("(?i)" + QUOTES.pattern) & F.col("gt_answer").isNotNull()).select("gt_answer", "sample_id").distinct()
-    borne = asked.groupBy("gt_answer").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "gt_answer").limit(quote_texts)
-    pages = {unwrap(r[0])[0].strip(" .").lower() for r in borne.collect()}
-    listed = sorted(p for p in pages if len(p) > 2 and not REFUSALS.search(p))
     # As plain values, since a broadcast travels without this package.
-    shared = spark.sparkContext.broadcast((ends.__dict__, {"names": model.names, "unseen": model.unseen, "logs": model.logs}, listed))
+    shared = spark.sparkContext.broadcast((ends.__dict__, {"names": model.names, "unseen": model.unseen, "logs": model.logs}))
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end_state, model_state, pages = shared.value
+        end_state, model_state = shared.value
         ends, model = EndModel.__new__(EndModel), LanguageModel.__new__(LanguageModel)
         ends.__dict__.update(end_state)
         model.__dict__.update(model_state, words={})
-        tester = Tester(ends, model, pages)
+        tester = Tester(ends, model)
         for frame in frames:
-            defects = [tester.defect(q, t) for q, t in zip(frame["query"], frame["response"], strict=True)]
-            found = pd.DataFrame({"origin": frame["origin"], "pair_key": frame["pair_key"], "defect": defects})
+            told = [tester.defect(q, t, p) for q, t, p in zip(frame["query"], frame["response"], frame["page"], strict=True)]
+            found = pd.DataFrame({"origin": frame["origin"], "pair_key": frame["pair_key"], "defect": [d for d, _ in told], "look": [x for _, x in told]}, dtype=object)
             yield found[found["defect"].notna()]
 
-    return both.mapInPandas(test, FOUND)
+    found = both.mapInPandas(test, FOUND)
+    return found.join(page_texts(samples), "look", "left_anti").select("origin", "pair_key", "defect")

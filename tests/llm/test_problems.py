@@ -283,7 +283,7 @@ def tester():
     words = {"en": ("the shown on page is answer what which price date count unit due of printed give read and report " * 30).split(), "de": ("der die das auf dem dokument steht welche angabe zeigt blatt in letzten zeile wert " * 30).split()}
     for lang, listed in pairs.LEXICON.items():
         words.setdefault(lang, []).extend(listed.split() * 3)
-    return pairs.Tester(pairs.EndModel(texts), pairs.LanguageModel(words), ["nur für den internen gebrauch", "we are unable to accept cash"])
+    return pairs.Tester(pairs.EndModel(texts), pairs.LanguageModel(words))
 
 
 @pytest.mark.parametrize(
@@ -310,7 +310,8 @@ def tester():
     ],
 )
 def test_defects(tester, query, text, want):
-    assert tester.defect(query, text) == want
+    page = "We are unable to accept cash" if text and "cash" in text else "Nur für den internen Gebrauch"
+    assert tester.defect(query, text, page)[0] == want
 
 
 def test_broken_pairs_on_nulls_and_empty_tables(spark):
@@ -322,6 +323,17 @@ def test_broken_pairs_on_nulls_and_empty_tables(spark):
     assert pairs.broken_pairs(samples.limit(0), results.limit(0), documents.limit(0)).count() == 0
 
 
+def test_page_texts_are_no_cases_however_many(spark):
+    """Every page text excuses what quotes it: 3,000 of them, each the gold of two quotation queries."""
+    ids = spark.range(6000)
+    pages = F.concat(F.lit("We cannot accept bill number "), F.floor(F.col("id") / 2), F.lit(" und das ist nicht mein Problem"))
+    samples = ids.select(F.concat(F.lit("s"), "id").alias("sample_id"), F.lit("What is written in the box exactly as printed?").alias("query"), pages.alias("gt_answer"), F.lit(DAY).alias("ingested_at"))
+    results = ids.select(F.col("id").alias("result_id"), F.concat(F.lit("s"), (F.col("id") + 2) % 6000).alias("sample_id"), pages.alias("predicted_answer"), F.lit("observed").alias("result_type"), F.lit(DAY).alias("ingested_at"))
+    documents = spark.createDataFrame([(2, "the page is the page", "en")], "doc_id long, text string, lang string")
+    refused = spark.createDataFrame([(9000, "s1", "I cannot answer that.", "observed", DAY)], results.schema)
+    assert [tuple(r) for r in pairs.broken_pairs(samples, results.unionByName(refused), documents).collect()] == [("run", "9000", "refusal")]
+
+
 def test_end_model_counts_every_response(spark):
     """21 of 200,000 responses have this context: a sample of them would not know it."""
     rare = F.when(F.col("id") < 20, "see the zorp marked below now").when(F.col("id") == 20, "see the zorp").otherwise("The answer is 5.")
