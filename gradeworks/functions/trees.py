@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import string
+from collections import Counter
 from html.parser import HTMLParser
 
 
@@ -33,15 +35,51 @@ class Tree(HTMLParser):
             self.path[-1][1].append([data.strip(), []])
 
 
+def pipe_table(text: str) -> str:
+    """A pipe table with a separator line as HTML, its first lines as head; any other text as it is."""
+    lines = [line.strip() for line in text.strip().splitlines()]
+    first = next((i for i, line in enumerate(lines) if "|" in line), len(lines))
+    last = next((i for i in range(first, len(lines)) if "|" not in lines[i]), len(lines))
+    table = lines[first:last]
+    ruled = next((i for i, line in enumerate(table) if re.fullmatch(r"\|?\s*[-:]+[-| :]*", line)), None)
+    if len(table) < 2 or ruled is None:
+        return text
+
+    def part(name: str, cell: str, rows: list[str]) -> str:
+        made = ["".join(f"<{cell}>{c.strip()}</{cell}>" for c in row.strip("|").split("|")) for row in rows]
+        return f"<{name}>" + "".join(f"<tr>{r}</tr>" for r in made) + f"</{name}>" if rows else ""
+
+    return "<table>" + part("thead", "th", table[:ruled]) + part("tbody", "td", table[ruled + 1 :]) + "</table>"
+
+
 def read_tree(markup: str) -> list:
-    """The tree of an HTML text; lines of a pipe table become a table first."""
-    rows = [r for r in markup.split("\n") if r.strip().startswith("|")]
-    if len(rows) > 1 and "<table" not in markup.lower():
-        cells = [[c.strip() for c in r.strip().strip("|").split("|")] for r in rows if not re.fullmatch(r"[|\s:\-]+", r.strip())]
-        markup = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in cells) + "</table>"
+    """The first table of an HTML text or pipe table, or the tree of the whole text without one."""
     parser = Tree()
-    parser.feed(markup)
-    return parser.root
+    parser.feed(pipe_table(markup) if "|" in markup and "<table" not in markup.lower() else markup)
+
+    def table(node: list) -> list | None:
+        return node if node[0] == "table" and node[1] else next((t for t in map(table, node[1]) if t), None)
+
+    return table(parser.root) or parser.root
+
+
+def table_words(text: str) -> Counter:
+    """The words of a text, without case and ASCII punctuation, with their counts."""
+    return Counter(text.lower().translate(str.maketrans("", "", string.punctuation)).split())
+
+
+def rough_similarity(a: str, b: str) -> float:
+    """How alike two tables are without reading trees: by rows and cells of markup, else by words.
+
+    Markup: the mean of the ratios of rows and of cells; other texts: F1 of their bags of words.
+    """
+    if re.search("<table|<tr", a, re.I):
+        rows, cells = ([max(1, len(re.findall(tag, x, re.I))) for x in (a, b)] for tag in (r"<tr[\s>]", r"<t[dh][\s>]"))
+        return 0.5 * min(rows) / max(rows) + 0.5 * min(cells) / max(cells)
+    x, y = table_words(a), table_words(b)
+    if not x and not y:
+        return 1.0
+    return 2 * (x & y).total() / (x.total() + y.total())
 
 
 def tree_size(node: list) -> int:

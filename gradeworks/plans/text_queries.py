@@ -17,10 +17,11 @@ _PAIR = """, graded AS (SELECT r.result_id, r.predicted_answer AS p, s.gt_answer
 """
 
 
-def _graded(spark: S, d: str) -> DataFrame:
+def _graded(spark: S, d: str, distinct: bool = True) -> DataFrame:
     r = runs(spark, d).where("result_type = 'observed' and predicted_answer is not null").select("result_id", "sample_id", F.col("predicted_answer").alias("p"))
     s = samples(spark, d).where("gt_answer is not null")
-    refs = F.array_compact(F.array_union(F.array("gt_answer"), F.coalesce("gt_answer_aliases", F.array().cast("array<string>"))))
+    given = scores.answers(F.col("gt_answer"), F.col("gt_answer_aliases"))
+    refs = F.array_distinct(given) if distinct else given
     return r.join(s.select("sample_id", F.col("gt_answer").alias("g"), F.col("source_dataset").alias("src"), F.col("query").alias("q"), F.lower("correctness_metric").alias("m"), refs.alias("refs")), "sample_id")
 
 
@@ -119,7 +120,7 @@ def score_iou(spark: S, d: str) -> DataFrame:
 @query()
 def score_rouge_l(spark: S, d: str) -> DataFrame:
     g = _graded(spark, d).where("m = 'rouge_cider'")
-    return g.select("result_id", F.round(F.array_max(F.transform("refs", lambda r: scores.rouge_l(F.col("p"), r))), 6).alias("score"))
+    return g.select("result_id", F.round(scores.rouge_l("p", "refs"), 6).alias("score"))
 
 
 @query()
@@ -128,10 +129,24 @@ def score_denotation(spark: S, d: str) -> DataFrame:
     return g.select("result_id", scores.denotation(F.col("p"), F.col("refs")).alias("correct"))
 
 
-@query()
+def _spoken(t: str) -> str:
+    number = f"CAST(w AS DOUBLE)"
+    scale = f"pow(10.0, 5 - floor(log10(abs({number}))))"
+    short = f"CASE WHEN {number} = floor({number}) THEN printf('%.0f', {number}) ELSE CAST(round_even({number} * {scale}, 0) / {scale} AS VARCHAR) END"
+    plain = "regexp_replace(w, '[^\\p{L}\\p{N}_\\s]', ' ', 'g')"
+    words = f"list_transform(regexp_split_to_array(lower({_STRIP.format(t)}), '\\s+'), lambda w: CASE WHEN regexp_matches(w, '{_NUM}') THEN [{short}] ELSE regexp_split_to_array({_SQUEEZE.format(plain)}, '\\s+') END)"
+    return f"array_to_string(list_filter(flatten({words}), lambda v: v NOT IN ('', 'a', 'an', 'the')), ' ')"
+
+
+@query(f""", given AS (SELECT r.result_id, r.predicted_answer AS p, list_filter(list_concat([s.gt_answer], coalesce(s.gt_answer_aliases, [])), lambda x: x IS NOT NULL) AS refs
+ FROM runs r JOIN samples s USING (sample_id) WHERE r.result_type = 'observed' AND r.predicted_answer IS NOT NULL AND s.gt_answer IS NOT NULL AND lower(s.correctness_metric) = 'vqa_accuracy'),
+ spoken AS (SELECT result_id, {_spoken('p')} AS said, list_transform(refs, lambda r: {_spoken('r')}) AS asked FROM given),
+ told AS (SELECT result_id, len(list_filter(asked, lambda a: a = said)) AS same, len(asked) AS n FROM spoken)
+SELECT result_id, round(least(same / 3.0, 1.0), 6) AS score, n > 0 AND same >= least(3, n) AS correct FROM told""")
 def score_vqa(spark: S, d: str) -> DataFrame:
-    g = _graded(spark, d).where("m = 'vqa_accuracy'")
-    return g.select("result_id", F.round(scores.vqa(F.col("p"), F.array_repeat("g", 3)), 6).alias("score"))
+    """Every answer given counts, repeated ones too; with fewer than three all must agree."""
+    g = _graded(spark, d, distinct=False).where("m = 'vqa_accuracy'")
+    return g.select("result_id", F.round(scores.vqa(F.col("p"), F.col("refs")), 6).alias("score"), scores.vqa_correct(F.col("p"), F.col("refs")).alias("correct"))
 
 
 @query()
