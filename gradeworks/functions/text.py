@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ASCII punctuation marks.
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
@@ -99,7 +102,7 @@ def extract_answer(raw: Column) -> Column:
     boxed = F.when(text.startswith("{"), F.get_json_object(text, "$.answer"))
     line = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda x: x != ""), 0), F.lit(""))
     bare = line
-    for form in (r"(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is\s*:?|:)\s*", r"(?i)^(?:based on|according to) [^,]{1,60},\s*", r"(?i)^(?:it is|this is|that is)\s+", r"(?i)^result\s*:\s*"):
+    for form in (r"(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is\s*:?|:)\s*", r"(?i)^ans(?:wer)?\s*:\s*", r"(?i)^a\s*:\s*", r"(?i)^looking at (?:the )?[^,]{1,60},\s*", r"(?i)^(?:based on|according to) [^,]{1,60},\s*", r"(?i)^(?:it is|this is|that is)\s+", r"(?i)^result\s*:\s*"):
         bare = F.regexp_replace(bare, form, "")
     bare = cut_explanation(strip(bare))
     return F.regexp_replace(F.coalesce(boxed, bare), r"""^["'`]+|["'`]+$""", "")
@@ -140,10 +143,23 @@ def structured_response(raw: Column) -> Column:
     )
 
 
-def json_leaves(document: Column, depth: int = 4) -> Column:
-    """Map of dotted paths to the leaf values of a JSON object; blank leaves are dropped.
+def _leaves_of(value: object, path: str) -> list[tuple[str, str]]:
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in _leaves_of(v, f"{path}.{k}" if path else k)]
+    told = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return [(path, told.strip())] if value is not None and told.strip() else []
 
-    Objects are followed to ``depth`` levels; deeper values stay JSON text.
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def deep_leaves(documents: pd.Series) -> pd.Series:
+    """:func:`json_leaves` for objects of any depth; null for null."""
+    return pd.Series([None if t is None else dict(_leaves_of(json.loads(t), "")) for t in documents], dtype=object)
+
+
+def json_leaves(document: Column, depth: int = 3) -> Column:
+    """Map of dotted paths to the leaf values of a JSON object; blank and null leaves are dropped.
+
+    Objects within ``depth`` levels are read by expressions; only documents that go deeper are passed to Python.
     """
     def entries(text: Column, prefix: Column | None, level: int) -> Column:
         fields = F.from_json(text, "map<string,string>")
@@ -156,4 +172,5 @@ def json_leaves(document: Column, depth: int = 4) -> Column:
         return F.flatten(F.transform(F.map_entries(fields), lambda e: leaf(e["key"], e["value"])))
 
     found = F.filter(entries(document, None, depth), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-    return F.map_from_entries(found)
+    deep = F.exists(found, lambda e: e["value"].startswith("{")) & F.try_parse_json(document).isNotNull()
+    return F.when(deep, deep_leaves(F.when(deep, document))).otherwise(F.map_from_entries(found))

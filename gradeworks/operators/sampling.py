@@ -133,16 +133,17 @@ def diverse(df: DataFrame, group: str, features: Sequence[str], priority: str, i
     return rows.groupBy(group).applyInPandas(choose, out)
 
 
-def facility_location(vectors: DataFrame, vector: str, identity: str, size: int, sigma: float, most: int = 20_000) -> DataFrame:
+def facility_location(vectors: DataFrame, vector: str, identity: str, size: int, sigma: float, group_rows: int = 5000) -> DataFrame:
     """``size`` representatives that cover all vectors best under a Gaussian kernel, greedily.
 
-    Equal vectors count with their multiplicity, so the greedy loop sees each distinct vector once;
-    at most ``most`` of them, checked, since the loop runs on one worker.  Ties go to the smaller id.
+    Equal vectors count with their multiplicity.  Distinct vectors are dealt by hash into groups of
+    at most about ``group_rows``; each group picks its own representatives, which then stand for the
+    vectors nearest to them, and the picks of all groups are dealt and picked from again until they
+    fit one group.  So up to ``group_rows`` distinct vectors are solved by plain greedy, more in
+    rounds, with kernels of a fixed size.  Ties go to the smaller id.
     """
-    distinct = vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(identity).alias(identity), F.count(F.lit(1)).alias("weight"))
-    if distinct.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} distinct vectors; cluster them first")
-    out = T.StructType([vectors.schema[identity], T.StructField("pick", T.IntegerType()), T.StructField("gain", T.DoubleType())])
+    out = T.StructType([vectors.schema[identity], T.StructField("pick", T.IntegerType()), T.StructField("gain", T.DoubleType()), vectors.schema[vector], T.StructField("weight", T.LongType())])
+    left = vectors.where(F.col(vector).isNotNull()).groupBy(vector).agg(F.min(identity).alias(identity), F.count(F.lit(1)).alias("weight"))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(identity).reset_index(drop=True)
@@ -160,8 +161,20 @@ def facility_location(vectors: DataFrame, vector: str, identity: str, size: int,
             if bounds and fresh > bounds[0]:
                 heapq.heappush(bounds, fresh)
                 continue
-            picks.append((frame[identity].iat[i], len(picks) + 1, -fresh[0]))
+            picks.append((i, -fresh[0]))
             covered = np.maximum(covered, kernel[i])
-        return pd.DataFrame(picks, columns=out.names)
-
-    return distinct.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(choose, out)
+        rows = [i for i, _ in picks]
+        nearest = np.argmax(kernel[:, rows], axis=1)
+        held = np.bincount(nearest, weights=weight, minlength=len(rows)).astype(np.int64)
+        return pd.DataFrame({identity: frame[identity].iloc[rows].to_numpy(), "pick": np.arange(1, len(rows) + 1, dtype=np.int32), "gain": [g for _, g in picks], vector: frame[vector].iloc[rows].to_numpy(), "weight": held})
+
+    n = left.count()
+    while True:
+        groups = max(1, -(-n // group_rows))
+        if groups > 1 and size * groups >= n:
+            groups = max(1, n // (2 * size))
+        picked = left.withColumn("__group", F.pmod(F.xxhash64(identity), F.lit(groups))).groupBy("__group").applyInPandas(choose, out)
+        if groups == 1:
+            return picked.select(identity, "pick", "gain")
+        left = materialize(picked.select(vector, identity, "weight"), "picked")
+        n = left.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +21,38 @@ def simhash(words: Column) -> Column:
     return F.lpad(F.lower(F.conv(F.array_join(F.transform(F.reverse(bits), lambda b: F.when(b > 0, F.lit("1")).otherwise(F.lit("0"))), ""), 2, 16)), 16, "0")
 
 
-def near_hashes(hashes: DataFrame, identity: str, value: str, distance: int = 8) -> DataFrame:
+def _blocks_kept(values: int, distance: int, most_keys: int = 500) -> int:
+    """How many of the blocks of a 64-bit value a key should keep, so that keys and pairs met are fewest."""
+    def cost(keep: int) -> float:
+        keys = math.comb(distance + keep, keep)
+        return math.inf if keys > most_keys else keys * (values + values * values / 2.0 ** (64 * keep / (distance + keep)))
+
+    return min(range(1, 9), key=cost)
+
+
+def near_hashes(hashes: DataFrame, identity: str, value: str, distance: int = 8, keep: int | None = None) -> DataFrame:
     """Links between distinct 64-bit values within a Hamming distance: smaller value, larger, distance.
 
-    Values are cut into ``distance + 1`` bands; two within the distance agree in one of them, so an
-    equi-join on bands finds every pair.  Equal values are one node: their rows are its members.
+    Values are cut into ``distance + keep`` blocks; two within the distance agree in ``keep`` of them,
+    so an equi-join on every choice of ``keep`` blocks finds every pair.  More blocks mean longer keys
+    and fewer chance meetings but more keys: their number follows that of the values and changes no
+    result.  A pair is told by its first agreeing blocks alone, so none is found twice.  Equal values
+    are one node: their rows are its members.
     """
-    nodes = hashes.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct()
-    bands = distance + 1
-    edges = [round(64 * i / bands) for i in range(bands + 1)]
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("v", 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i]).alias("part")) for i in range(bands)])
-    cut = nodes.select("v", F.explode(keys).alias("k")).select("v", "k.band", "k.part")
-    off = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = cut.withColumnRenamed("v", "a").join(cut.withColumnRenamed("v", "b"), ["band", "part"]).where(F.col("a") < F.col("b"))
-    return pairs.select("a", "b", off.alias("distance")).where(F.col("distance") <= distance).distinct()
+    nodes = materialize(hashes.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct(), "hashes")
+    keep = keep or _blocks_kept(nodes.count(), distance)
+    blocks = distance + keep
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    choices = list(itertools.combinations(range(blocks), keep))
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(signed(sum(masks[b] for b in chosen)))).alias("part")) for t, chosen in enumerate(choices)])
+    cut = nodes.select("v", F.explode(keys).alias("k")).select("v", "k.t", "k.part")
+    off = F.col("a").bitwiseXOR(F.col("b"))
+    pairs = cut.withColumnRenamed("v", "a").join(cut.withColumnRenamed("v", "b"), ["t", "part"]).where(F.col("a") < F.col("b")).where(F.bit_count(off) <= distance)
+    agree = F.slice(F.array_compact(F.array(*[F.when(off.bitwiseAND(F.lit(signed(m))) == 0, F.lit(b)) for b, m in enumerate(masks)])), 1, keep)
+    listed = F.array(*[F.array(*map(F.lit, chosen)) for chosen in choices])
+    return pairs.where(F.get(listed, F.col("t")) == agree).select("a", "b", F.bit_count(off).alias("distance"))
 
 
 def near_members(hashes: DataFrame, identity: str, value: str, distance: int = 8) -> DataFrame:
@@ -60,22 +80,32 @@ def near_members(hashes: DataFrame, identity: str, value: str, distance: int = 8
     return told.select(F.col(identity), F.col(value).alias("fingerprint"), F.coalesce("class", value).alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
-def neighbours(queries: DataFrame, base: DataFrame, identity: str, vector: str, k: int, block: int = 2048, most: int = 1_000_000) -> DataFrame:
+def neighbours(queries: DataFrame, base: DataFrame, identity: str, vector: str, k: int, block: int = 2048, most: int = 100_000) -> DataFrame:
     """The ``k`` nearest rows of ``base`` by cosine for every query: query, neighbour, rank, cosine.
 
-    The queries are a stated set whose size is checked; they are broadcast in one block, every
-    partition of the base multiplies its own blocks and keeps ``k`` a query, and those meet.
+    The queries are a stated set; they are broadcast in blocks of about ``most``, every partition of
+    the base multiplies its own rows with a block and keeps ``k`` a query, and those meet.
     Vectors of length zero have no neighbours; ties go to the smaller id.
     """
-    listed = queries.where(F.col(vector).isNotNull()).select(identity, vector)
-    if listed.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; run them in blocks")
-    rows = listed.collect()
+    listed = queries.where(F.col(vector).isNotNull()).select(F.col(identity).cast("long").alias("id"), F.col(vector).alias("vector"))
+    parts = max(1, -(-listed.count() // most))
+    found: DataFrame | None = None
+    for p in range(parts):
+        own = listed if parts == 1 else listed.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == p)
+        one = _nearest(own, base, identity, vector, k, block)
+        found = one if found is None else found.unionByName(one)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+
+
+def _nearest(queries: DataFrame, base: DataFrame, identity: str, vector: str, k: int, block: int) -> DataFrame:
+    """Of each partition of ``base`` the ``k`` nearest rows of every query."""
+    rows = queries.collect()
     ids = np.array([r[0] for r in rows], dtype=np.int64)
     q = np.array([r[1] for r in rows], dtype=float) if rows else np.zeros((0, 1))
     norm = np.linalg.norm(q, axis=1) if rows else np.zeros(0)
     ids, q = ids[norm > 0], q[norm > 0] / norm[norm > 0][:, None]
-    shared = queries.sparkSession.sparkContext.broadcast((ids, q))
+    shared = base.sparkSession.sparkContext.broadcast((ids, q))
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("neighbour_id", T.LongType()), T.StructField("cosine", T.DoubleType())])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,12 +124,10 @@ def neighbours(queries: DataFrame, base: DataFrame, identity: str, vector: str,
                 top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(ids[at : at + block], top.shape[1]), "neighbour_id": own[top].ravel(), "cosine": np.take_along_axis(cosine, top, axis=1).ravel()})
 
-    found = base.where(F.col(vector).isNotNull()).select(F.col(identity).cast("long").alias(identity), vector).mapInPandas(search, out).where("cosine > -2")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return base.where(F.col(vector).isNotNull()).select(F.col(identity).cast("long").alias(identity), vector).mapInPandas(search, out).where("cosine > -2")
 
 
-def kernel_width(vectors: DataFrame, identity: str, vector: str, size: int = 400, seed: int = 42) -> DataFrame:
+def kernel_width(vectors: DataFrame, identity: str, vector: str, size: int = 2000, seed: int = 42) -> DataFrame:
     """The median pairwise distance over the first ``size`` vectors in hash order; 1 without a pair.
 
     The sample is the definition of the width: it is a parameter, not a cut of the result.

@@ -11,19 +11,38 @@ from ..workspace import materialize
 POISSON = (24109, 48219, 60273, 64292, 65296)
 
 
-def bootstrap_share(rows: DataFrame, identity: str, flag: str, replicates: int = 200) -> DataFrame:
-    """Mean and the central 95 % of a share under resampling.
-
-    Every row gets, in every replicate, a Poisson weight from a hash of its id: rows are resampled
-    where they are, partial sums per replicate are all that is shuffled.
-    """
-    drawn = rows.select(F.col(flag).alias("f"), F.col(identity).cast("string").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    u = F.conv(F.substring(F.md5(F.concat("id", F.lit(":"), F.col("b").cast("string"))), 1, 4), 16, 10).cast("int")
+def poisson_weight(u: Column) -> Column:
+    """The Poisson(1) weight of a uniform 16-bit number, 0 to 5."""
     weight = F.lit(len(POISSON))
     for w in reversed(range(len(POISSON))):
         weight = F.when(u < POISSON[w], w).otherwise(weight)
-    per = drawn.select("b", "f", weight.alias("w")).groupBy("b").agg((F.sum(F.col("f") * F.col("w")) / F.sum("w")).alias("p"))
-    return per.agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.percentile("p", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("p", F.lit(0.975)), 6).alias("high"))
+    return weight
+
+
+def bucket_of(identity: Column) -> Column:
+    """One of 4,096 buckets of an id, by hash."""
+    return F.substring(F.md5(identity.cast("string")), 1, 3)
+
+
+def bootstrap_ratio(rows: DataFrame, identity: str, top: str, bottom: Column | str | None = None, replicates: int = 200, by: str | None = None) -> DataFrame:
+    """Mean and the central 95 % of a ratio of sums under resampling of ids, over all rows or by a column.
+
+    Ids are dealt by hash into 4,096 buckets, which are what is resampled: one aggregate over the
+    rows gives the sums of each, and every bucket gets, in every replicate, a Poisson weight from a
+    hash of its name.  All rows of an id share a bucket, so clusters stay together; no row is copied.
+    """
+    keys = [by] if by else []
+    below = F.lit(1) if bottom is None else F.col(bottom) if isinstance(bottom, str) else bottom
+    sums = rows.groupBy(*keys, bucket_of(F.col(identity)).alias("__k")).agg(F.sum(F.col(top).cast("double")).alias("__t"), F.sum(below.cast("double")).alias("__n"))
+    drawn = sums.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = F.conv(F.substring(F.md5(F.concat("__k", F.lit(":"), F.col("__b").cast("string"))), 1, 4), 16, 10).cast("int")
+    per = drawn.select(*keys, "__b", "__t", "__n", poisson_weight(u).alias("__w")).groupBy(*keys, "__b").agg(F.try_divide(F.sum(F.col("__t") * F.col("__w")), F.sum(F.col("__n") * F.col("__w"))).alias("p"))
+    return per.groupBy(*keys).agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.percentile("p", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("p", F.lit(0.975)), 6).alias("high"))
+
+
+def bootstrap_share(rows: DataFrame, identity: str, flag: str, replicates: int = 200) -> DataFrame:
+    """Mean and the central 95 % of a share under resampling of ids."""
+    return bootstrap_ratio(rows, identity, flag, replicates=replicates)
 
 
 def _cumulated(values: DataFrame, by: str, sums: list[str], slices: int = 64) -> DataFrame:

@@ -43,19 +43,19 @@ def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]
     return add
 
 
-def runs(spark: SparkSession, d: str) -> DataFrame:
-    """Each run in its last delivery."""
-    return last_by(table(spark, d, "eval_results"), ["result_id"], ["ingested_at"])
+def runs(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Each run in its last delivery: ``result_id`` and the columns named, which are all that is read."""
+    return last_by(table(spark, d, "eval_results"), ["result_id"], ["ingested_at"], keep)
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Each sample in its last delivery."""
-    return last_by(table(spark, d, "bench_samples"), ["sample_id"], ["ingested_at"])
+def samples(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Each sample in its last delivery: ``sample_id`` and the columns named."""
+    return last_by(table(spark, d, "bench_samples"), ["sample_id"], ["ingested_at"], keep)
 
 
-def notes(spark: SparkSession, d: str) -> DataFrame:
-    """The last annotation of each sample."""
-    return last_by(table(spark, d, "complexity_annotations"), ["sample_id"], ["annotated_at", "tier"])
+def notes(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """The last annotation of each sample: ``sample_id`` and the columns named."""
+    return last_by(table(spark, d, "complexity_annotations"), ["sample_id"], ["annotated_at", "tier"], keep)
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:

@@ -15,8 +15,8 @@ S = SparkSession
 
 
 def _featured(spark: S, d: str) -> DataFrame:
-    s = samples(spark, d).select("sample_id", F.array(F.lit(1.0), *[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.least(F.coalesce("num_pages", F.lit(1)), F.lit(20)) / 20.0).alias("s"), features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("t"))
-    n = notes(spark, d).select("sample_id", F.coalesce("composite", F.lit(2.0)).alias("composite"))
+    s = samples(spark, d, "has_table", "has_chart", "has_figure", "num_pages", "task_type").select("sample_id", F.array(F.lit(1.0), *[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.least(F.coalesce("num_pages", F.lit(1)), F.lit(20)) / 20.0).alias("s"), features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("t"))
+    n = notes(spark, d, "composite").select("sample_id", F.coalesce("composite", F.lit(2.0)).alias("composite"))
     m = matrix(spark, d)
     config = F.array(F.lit(1.0), F.col("tier") / 3.0, F.log1p("rate"), F.log1p(F.col("budget_tokens").cast("double")) / 10.0)
     j = m.join(s, "sample_id").join(n, "sample_id", "left")
@@ -107,14 +107,14 @@ def mean_baselines(spark: S, d: str) -> DataFrame:
 def threshold_router(spark: S, d: str) -> DataFrame:
     right = F.coalesce(F.col("is_correct"), F.lit(False))
     per = matrix(spark, d).groupBy("sample_id").agg(*[F.bool_or(right & (F.col("tier") == t)).alias(f"t{t}") for t in (1, 2, 3)])
-    return learn.best_thresholds(per.join(notes(spark, d).select("sample_id", "composite"), "sample_id"), "composite", ["t1", "t2", "t3"])
+    return learn.best_thresholds(per.join(notes(spark, d, "composite").select("sample_id", "composite"), "sample_id"), "composite", ["t1", "t2", "t3"])
 
 
 @query()
 def logistic_tier_router(spark: S, d: str) -> DataFrame:
     label = routing.cascade(matrix(spark, d)).where("tier is not null").select("sample_id", (F.col("tier") - 1).alias("label"))
     vector = F.array(*[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.coalesce("num_pages", F.lit(1)).cast("double"))
-    rows = samples(spark, d).select("sample_id", vector.alias("x")).join(label, "sample_id")
+    rows = samples(spark, d, "has_table", "has_chart", "has_figure", "num_pages").select("sample_id", vector.alias("x")).join(label, "sample_id")
     out = learn.held_out(F.col("sample_id"), 0.2, 42)
     return learn.logistic_router(rows.where(~out), rows.where(out), "x", "label", "sample_id")
 
@@ -123,7 +123,7 @@ def logistic_tier_router(spark: S, d: str) -> DataFrame:
 def network_tier_router(spark: S, d: str) -> DataFrame:
     label = routing.cascade(matrix(spark, d)).where("tier is not null").select("sample_id", (F.col("tier") - 1).alias("label"))
     vector = F.array(*[features.flag(c).cast("double") for c in ("has_table", "has_chart", "has_figure")], F.coalesce("num_pages", F.lit(1)).cast("double"))
-    rows = samples(spark, d).select("sample_id", vector.alias("x")).join(label, "sample_id")
+    rows = samples(spark, d, "has_table", "has_chart", "has_figure", "num_pages").select("sample_id", vector.alias("x")).join(label, "sample_id")
     out = learn.held_out(F.col("sample_id"), 0.2, 42)
     return learn.network_router(rows.where(~out), rows.where(out), "x", "label", "sample_id", classes=3)
 
@@ -135,7 +135,7 @@ def budget_targets(spark: S, d: str) -> DataFrame:
 
 @query("SELECT sample_id, CAST(('0x' || substr(md5(sample_id || ':42'), 1, 8)) AS BIGINT) < 858993459 AS held_out FROM samples")
 def sample_holdout(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).select("sample_id", learn.held_out(F.col("sample_id"), 0.2, 42).alias("held_out"))
+    return samples(spark, d, "ingested_at").select("sample_id", learn.held_out(F.col("sample_id"), 0.2, 42).alias("held_out"))
 
 
 @query("""SELECT m.sample_id, max(is_correct::INT) FILTER (WHERE config_id = 'a1_flint_B1') AS a1_flint_B1, max(is_correct::INT) FILTER (WHERE config_id = 'c1_onyx_B2') AS c1_onyx_B2 FROM matrix m GROUP BY 1""")

@@ -15,7 +15,7 @@ S = SparkSession
 
 @query("SELECT sample_id, config_id, result_id, is_correct FROM pairs")
 def merge_last_results(spark: S, d: str) -> DataFrame:
-    r = runs(spark, d).select("sample_id", "config_id", "result_id", "is_correct", "ingested_at")
+    r = runs(spark, d, "sample_id", "config_id", "is_correct", "ingested_at").select("sample_id", "config_id", "result_id", "is_correct", "ingested_at")
     return results.last_by(r, ["sample_id", "config_id"], ["ingested_at", "result_id"]).select("sample_id", "config_id", "result_id", "is_correct")
 
 
@@ -63,22 +63,22 @@ SELECT k.sample_id, coalesce(a.v, b.v, c.v, 0) AS value,
 FROM (SELECT sample_id FROM verdict UNION SELECT sample_id FROM judged UNION SELECT sample_id FROM raw) k
 LEFT JOIN verdict a USING (sample_id) LEFT JOIN judged b USING (sample_id) LEFT JOIN raw c USING (sample_id)""")
 def signal_precedence(spark: S, d: str) -> DataFrame:
-    verdict = notes(spark, d).where("tier in (1, 2, 3)").select("sample_id", "tier")
+    verdict = notes(spark, d, "tier").where("tier in (1, 2, 3)").select("sample_id", "tier")
     judged = table(spark, d, "judge_scores").where("vds between 1 and 4").groupBy("sample_id").agg(F.max("vds").alias("vds"))
-    raw = samples(spark, d).select("sample_id", "num_pages")
+    raw = samples(spark, d, "num_pages").select("sample_id", "num_pages")
     return results.first_signal([("verdict", verdict, "tier"), ("judge", judged, "vds"), ("raw", raw, "num_pages")], ["sample_id"], F.lit(0))
 
 
 @query("SELECT p.sample_id, p.config_id, coalesce(s.task_type, '') AS task_type, coalesce(s.num_pages, 0) AS num_pages FROM pairs p LEFT JOIN samples s USING (sample_id)")
 def lookup_with_defaults(spark: S, d: str) -> DataFrame:
     r = merge_last_results(spark, d).select("sample_id", "config_id")
-    return results.with_defaults(r, samples(spark, d), "sample_id", {"task_type": "", "num_pages": 0})
+    return results.with_defaults(r, samples(spark, d, "task_type", "num_pages"), "sample_id", {"task_type": "", "num_pages": 0})
 
 
 @query("SELECT s.sample_id, coalesce(n.composite, CAST(s.num_pages AS DOUBLE)) AS composite FROM samples s JOIN notes n USING (sample_id)")
 def overlay_scores(spark: S, d: str) -> DataFrame:
-    base = samples(spark, d).select("sample_id", F.col("num_pages").cast("double").alias("composite"))
-    return results.overlay(base, notes(spark, d).select("sample_id", "composite"), "sample_id")
+    base = samples(spark, d, "num_pages").select("sample_id", F.col("num_pages").cast("double").alias("composite"))
+    return results.overlay(base, notes(spark, d, "composite").select("sample_id", "composite"), "sample_id")
 
 
 _KEY = r"md5(trim(regexp_replace(regexp_replace(lower(coalesce(query,'')), '[!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]', '', 'g'), '\s+', ' ', 'g')))"
@@ -86,7 +86,7 @@ _KEY = r"md5(trim(regexp_replace(regexp_replace(lower(coalesce(query,'')), '[!\"
 
 @query(f"SELECT sample_id, {_KEY} AS text_key FROM samples")
 def text_keys(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).select("sample_id", text_key(F.col("query")).alias("text_key"))
+    return samples(spark, d, "query").select("sample_id", text_key(F.col("query")).alias("text_key"))
 
 
 _RANK = "CASE regexp_replace(lower(source_dataset), '[\\s\\-_]+', '', 'g') WHEN 'docvqa' THEN 3 WHEN 'infographicvqa' THEN 2 WHEN 'chartqa' THEN 1 ELSE 0 END"
@@ -100,14 +100,14 @@ def _priority():
 @query(f""", keyed AS (SELECT *, {_KEY} AS k, {_RANK} AS p FROM samples)
 SELECT sample_id, n_rows FROM (SELECT sample_id, count(*) OVER (PARTITION BY k) AS n_rows, row_number() OVER (PARTITION BY k ORDER BY p DESC, sample_id) AS r FROM keyed) WHERE r = 1""")
 def dedup_by_priority(spark: S, d: str) -> DataFrame:
-    return results.priority_dedup(samples(spark, d), [text_key(F.col("query"))], _priority(), ["sample_id"], "sample_id")
+    return results.priority_dedup(samples(spark, d, "query", "source_dataset"), [text_key(F.col("query"))], _priority(), ["sample_id"], "sample_id")
 
 
 @query(f""", keyed AS (SELECT *, {_KEY} AS k, {_RANK} AS p, coalesce(source_dataset, '') AS label FROM samples),
 won AS (SELECT k, label AS winner, sample_id AS wid FROM keyed QUALIFY row_number() OVER (PARTITION BY k ORDER BY p DESC, sample_id) = 1)
 SELECT w.winner, x.label AS loser, count(*) AS n FROM keyed x JOIN won w USING (k) WHERE x.sample_id <> w.wid GROUP BY ALL""")
 def dedup_losses(spark: S, d: str) -> DataFrame:
-    return results.duplicate_counts(samples(spark, d), [text_key(F.col("query"))], _priority(), ["sample_id"], "source_dataset")
+    return results.duplicate_counts(samples(spark, d, "query", "source_dataset"), [text_key(F.col("query"))], _priority(), ["sample_id"], "source_dataset")
 
 
 @query(r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(coalesce(query,''))) < 5 THEN 'query_too_short'
@@ -119,7 +119,7 @@ def quality_gate(spark: S, d: str) -> DataFrame:
 
     q, a = strip(F.coalesce("query", F.lit(""))), strip(F.coalesce("gt_answer", F.lit("")))
     reason = F.when(F.length(q) < 5, "query_too_short").when(a == "", "answer_empty").when(q == a, "query_equals_answer").when(F.lower(a).isin("n/a", "none", "unknown", "null", "unanswerable", "not stated"), "uninformative_answer").otherwise("kept")
-    return samples(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return samples(spark, d, "query", "gt_answer").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT result_id, unnest(list_filter([CASE WHEN regexp_matches(coalesce(predicted_answer,''), '^[ \t\r\n]*$') THEN 'empty_answer' END,
@@ -128,7 +128,7 @@ def quality_gate(spark: S, d: str) -> DataFrame:
  CASE WHEN total_cost_usd > 0.2 THEN 'cost_out_of_range' END, CASE WHEN latency_ms > 90000 THEN 'slow' END], lambda x: x IS NOT NULL)) AS flag
 FROM runs WHERE result_type = 'observed' AND NOT coalesce(isnan(total_cost_usd), false)""")
 def record_checks(spark: S, d: str) -> DataFrame:
-    r = runs(spark, d).where((F.col("result_type") == "observed") & ~F.coalesce(F.isnan("total_cost_usd"), F.lit(False)))
+    r = runs(spark, d, "result_type", "total_cost_usd", "predicted_answer", "reasoning_tokens", "config_id", "latency_ms").where((F.col("result_type") == "observed") & ~F.coalesce(F.isnan("total_cost_usd"), F.lit(False)))
     flags = F.array_compact(F.array(
         F.when(F.coalesce("predicted_answer", F.lit("")).rlike(r"^[ \t\r\n]*$"), "empty_answer"),
         F.when((F.coalesce("reasoning_tokens", F.lit(0)) == 0) & F.right("config_id", F.lit(2)).isin("B2", "B3"), "no_reasoning"),
@@ -141,7 +141,7 @@ def record_checks(spark: S, d: str) -> DataFrame:
 
 @query("SELECT CASE WHEN in_anchor_set THEN 'anchor' WHEN in_validation_set THEN 'validation' ELSE 'remaining' END AS split, count(*) AS n FROM samples GROUP BY 1")
 def split_sizes(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).groupBy(F.when(F.col("in_anchor_set"), "anchor").when(F.col("in_validation_set"), "validation").otherwise("remaining").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    return samples(spark, d, "in_anchor_set", "in_validation_set").groupBy(F.when(F.col("in_anchor_set"), "anchor").when(F.col("in_validation_set"), "validation").otherwise("remaining").alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT sample_id FROM matrix GROUP BY 1 HAVING count(*) >= 12")
@@ -154,21 +154,21 @@ def well_covered_samples(spark: S, d: str) -> DataFrame:
 
 @query("SELECT upper(trim(task_type)) AS task, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (), 6) AS share FROM samples GROUP BY 1")
 def task_overview(spark: S, d: str) -> DataFrame:
-    g = samples(spark, d).groupBy(F.upper(F.trim("task_type")).alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    g = samples(spark, d, "task_type").groupBy(F.upper(F.trim("task_type")).alias("task")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
 @query("""SELECT upper(trim(task_type)) AS task, n.tier AS tier, count(*) AS n, grouping(upper(trim(task_type))) * 2 + grouping(n.tier) AS level
 FROM samples s JOIN notes n USING (sample_id) WHERE n.tier IN (1,2,3) AND task_type IS NOT NULL GROUP BY CUBE (upper(trim(task_type)), n.tier)""")
 def task_by_tier_cube(spark: S, d: str) -> DataFrame:
-    j = samples(spark, d).where("task_type is not null").join(notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
+    j = samples(spark, d, "task_type").where("task_type is not null").join(notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
     return j.withColumn("task", F.upper(F.trim("task_type"))).cube("task", "tier").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
 @query("""SELECT upper(trim(task_type)) AS task, count(*) FILTER (WHERE n.tier = 1) AS tier_1, count(*) FILTER (WHERE n.tier = 2) AS tier_2, count(*) FILTER (WHERE n.tier = 3) AS tier_3
 FROM samples s JOIN notes n USING (sample_id) WHERE n.tier IN (1,2,3) AND task_type IS NOT NULL GROUP BY 1""")
 def task_by_tier_pivot(spark: S, d: str) -> DataFrame:
-    j = samples(spark, d).where("task_type is not null").join(notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
+    j = samples(spark, d, "task_type").where("task_type is not null").join(notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
     p = j.groupBy(F.upper(F.trim("task_type")).alias("task")).pivot("tier", [1, 2, 3]).count()
     return p.select("task", *[F.coalesce(F.col(str(t)), F.lit(0)).alias(f"tier_{t}") for t in (1, 2, 3)])
 
@@ -185,7 +185,7 @@ _TASKS = ", acc AS (SELECT model_name, upper(trim(task_type)) AS task, avg(CASE
 
 def _task_accuracy(spark: S, d: str) -> DataFrame:
     right = F.coalesce(F.col("is_correct"), F.lit(False)).cast("double")
-    tasks = samples(spark, d).where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"))
+    tasks = samples(spark, d, "task_type").where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"))
     return matrix(spark, d).join(tasks, "sample_id").groupBy("model_name", "task").agg(F.avg(right).alias("a"))
 
 
@@ -199,7 +199,7 @@ def accuracy_spread_by_task(spark: S, d: str) -> DataFrame:
 SELECT model_name, round(a1, 6) AS easy, round(a3, 6) AS hard, CASE WHEN a1 - a3 > .15 THEN 'strong' WHEN a1 - a3 > .07 THEN 'moderate' ELSE 'weak' END AS drop_class FROM wide""")
 def accuracy_drop_by_tier(spark: S, d: str) -> DataFrame:
     right = F.coalesce(F.col("is_correct"), F.lit(False)).cast("double")
-    grade = notes(spark, d).where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("t"))
+    grade = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("t"))
     wide = matrix(spark, d).join(grade, "sample_id").groupBy("model_name").pivot("t", [1, 3]).agg(F.avg(right))
     gap = F.col("1") - F.col("3")
     return wide.select("model_name", F.round("1", 6).alias("easy"), F.round("3", 6).alias("hard"), F.when(gap > 0.15, "strong").when(gap > 0.07, "moderate").otherwise("weak").alias("drop_class"))
@@ -219,8 +219,8 @@ def gain_by_budget(spark: S, d: str) -> DataFrame:
 SELECT model_name, task, round(avg(a), 6) AS mean_of_means, count(*) AS tiers FROM acc GROUP BY 1, 2""")
 def mean_of_tier_means(spark: S, d: str) -> DataFrame:
     right = F.coalesce(F.col("is_correct"), F.lit(False)).cast("double")
-    tasks = samples(spark, d).where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"))
-    grade = notes(spark, d).where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("t"))
+    tasks = samples(spark, d, "task_type").where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"))
+    grade = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("t"))
     acc = matrix(spark, d).join(tasks, "sample_id").join(grade, "sample_id").groupBy("model_name", "task", "t").agg(F.avg(right).alias("a"))
     return acc.groupBy("model_name", "task").agg(F.round(F.avg("a"), 6).alias("mean_of_means"), F.count(F.lit(1)).alias("tiers"))
 
@@ -288,7 +288,7 @@ def cascade_labels(spark: S, d: str) -> DataFrame:
  ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY coalesce(is_correct, false) DESC, tier, cost, config_id) AS r FROM open)
 SELECT sample_id, CASE WHEN is_correct THEN config_id END AS config_id, CASE WHEN is_correct THEN tier END AS tier FROM ranked WHERE r = 1""")
 def cascade_with_stop(spark: S, d: str) -> DataFrame:
-    grade = notes(spark, d).where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("stop"))
+    grade = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("stop"))
     return routing.cascade(matrix(spark, d).join(grade, "sample_id"), F.col("stop")).select("sample_id", "config_id", "tier")
 
 
@@ -312,7 +312,7 @@ def dominance_rate(spark: S, d: str) -> DataFrame:
 
 @query(_DOMINANCE + f", t AS (SELECT n.tier AS stratum, CAST(sum(violated) AS BIGINT) AS violated, CAST(sum(pairs) AS BIGINT) AS pairs, sum(violated) * 1.0 / sum(pairs) AS p, CAST(sum(pairs) AS DOUBLE) AS n FROM v JOIN notes n USING (sample_id) WHERE n.tier IN (1,2,3) GROUP BY 1) SELECT stratum, violated, pairs, round(p, 6) AS rate, {_WILSON} FROM t")
 def dominance_rate_by_tier(spark: S, d: str) -> DataFrame:
-    grade = notes(spark, d).where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("stratum"))
+    grade = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", F.col("tier").alias("stratum"))
     return routing.violation_rate(matrix(spark, d).join(grade, "sample_id"), by="stratum")
 
 
@@ -352,7 +352,7 @@ _MODE = ", lab AS (SELECT sample_id, tier FROM (SELECT *, row_number() OVER (PAR
 @query(_MODE + "SELECT task, target FROM (SELECT task, target, row_number() OVER (PARTITION BY task ORDER BY count(*) DESC, target) AS r FROM keyed GROUP BY 1, 2) WHERE r = 1")
 def tier_mode_map(spark: S, d: str) -> DataFrame:
     lab = routing.cascade(matrix(spark, d)).where("tier is not null").select("sample_id", F.col("tier").alias("target"))
-    tasks = samples(spark, d).where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"))
+    tasks = samples(spark, d, "task_type").where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"))
     return routing.mode_map(lab.join(tasks, "sample_id"), ["task"], "target")
 
 
@@ -372,7 +372,7 @@ def calls_saved(spark: S, d: str) -> DataFrame:
  SELECT config_id, predicted_answer, count(*) AS c, count(*) FILTER (WHERE is_correct) AS k FROM runs WHERE predicted_answer IS NOT NULL GROUP BY 1, 2) GROUP BY 1)""")
 def batch_checks(spark: S, d: str) -> DataFrame:
     right = F.count_if(F.coalesce("is_correct", F.lit(False)))
-    per = runs(spark, d).where("predicted_answer is not null").groupBy("config_id", "predicted_answer").agg(F.count(F.lit(1)).alias("c"), right.alias("k"))
+    per = runs(spark, d, "predicted_answer", "config_id", "is_correct").where("predicted_answer is not null").groupBy("config_id", "predicted_answer").agg(F.count(F.lit(1)).alias("c"), right.alias("k"))
     g = per.groupBy("config_id").agg(F.sum("c").alias("n"), (F.sum("k") / F.sum("c")).alias("a"), (F.max("c") / F.sum("c")).alias("top"))
     return g.select("config_id", "n", F.round("a", 6).alias("accuracy"), ((F.col("top") > 0.4) & (F.col("n") >= 100)).alias("one_answer"))
 

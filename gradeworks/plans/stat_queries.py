@@ -24,9 +24,10 @@ def accuracy_intervals(spark: S, d: str) -> DataFrame:
     return g.select("config_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(stats.all_right_bound(F.col("n")), 6).alias("all_right"))
 
 
-_BOOT = """, flags AS (SELECT sample_id, CASE WHEN bool_or(coalesce(is_correct, false)) THEN 1 ELSE 0 END AS f FROM matrix GROUP BY 1),
- reps AS (SELECT r.b, sum(f * w) * 1.0 / sum(w) AS p FROM (SELECT b, f, CAST(('0x' || substr(md5(sample_id || ':' || b), 1, 4)) AS INT) AS u FROM flags, (SELECT unnest(range(200)) AS b)) r,
-  LATERAL (SELECT CASE WHEN u < 24109 THEN 0 WHEN u < 48219 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64292 THEN 3 WHEN u < 65296 THEN 4 ELSE 5 END AS w) GROUP BY r.b)
+_WEIGHT = "CASE WHEN u < 24109 THEN 0 WHEN u < 48219 THEN 1 WHEN u < 60273 THEN 2 WHEN u < 64292 THEN 3 WHEN u < 65296 THEN 4 ELSE 5 END"
+_BOOT = f""", flags AS (SELECT sample_id, CASE WHEN bool_or(coalesce(is_correct, false)) THEN 1 ELSE 0 END AS f FROM matrix GROUP BY 1),
+ buckets AS (SELECT substr(md5(sample_id), 1, 3) AS k, sum(f) AS t, count(*) AS n FROM flags GROUP BY 1),
+ reps AS (SELECT b, sum(t * w) * 1.0 / sum(n * w) AS p FROM (SELECT b, t, n, {_WEIGHT} AS w FROM (SELECT b, t, n, CAST(('0x' || substr(md5(k || ':' || b), 1, 4)) AS INT) AS u FROM buckets, (SELECT unnest(range(200)) AS b))) GROUP BY b)
 SELECT round(avg(p), 6) AS mean, round(quantile_cont(p, 0.025), 6) AS low, round(quantile_cont(p, 0.975), 6) AS high FROM reps"""
 
 
@@ -39,25 +40,25 @@ def bootstrap_routable_share(spark: S, d: str) -> DataFrame:
 @query("""SELECT round(max(abs(fa - fb)), 6) AS ks FROM (SELECT x, sum(a) OVER (ORDER BY x) * 1.0 / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY x) * 1.0 / sum(b) OVER () AS fb FROM (
  SELECT image_bytes_size AS x, count(*) FILTER (WHERE in_anchor_set) AS a, count(*) FILTER (WHERE NOT in_anchor_set) AS b FROM samples WHERE image_bytes_size IS NOT NULL GROUP BY 1))""")
 def ks_anchor_sizes(spark: S, d: str) -> DataFrame:
-    return statistics.ks_statistic(samples(spark, d), "image_bytes_size", F.col("in_anchor_set"))
+    return statistics.ks_statistic(samples(spark, d, "image_bytes_size", "in_anchor_set"), "image_bytes_size", F.col("in_anchor_set"))
 
 
 @query("""SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb
  FROM (SELECT input_tokens AS a, total_cost_usd AS b FROM runs WHERE input_tokens IS NOT NULL AND total_cost_usd IS NOT NULL AND NOT isnan(total_cost_usd) AND total_cost_usd >= 0))""")
 def spearman_tokens_cost(spark: S, d: str) -> DataFrame:
-    r = runs(spark, d).where("input_tokens is not null and total_cost_usd is not null and not isnan(total_cost_usd) and total_cost_usd >= 0")
+    r = runs(spark, d, "input_tokens", "total_cost_usd").where("input_tokens is not null and total_cost_usd is not null and not isnan(total_cost_usd) and total_cost_usd >= 0")
     return statistics.spearman(r, "input_tokens", "total_cost_usd")
 
 
 @query("""SELECT round((sum(r) FILTER (WHERE y) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc FROM (SELECT y, r, count(*) FILTER (WHERE y) OVER () AS n1, count(*) FILTER (WHERE NOT y) OVER () AS n0 FROM (
  SELECT is_correct AS y, rank() OVER (ORDER BY inference_confidence) + (count(*) OVER (PARTITION BY inference_confidence) - 1) / 2.0 AS r FROM runs WHERE inference_confidence IS NOT NULL AND is_correct IS NOT NULL)) GROUP BY n1, n0""")
 def auc_of_confidence(spark: S, d: str) -> DataFrame:
-    return statistics.auc(runs(spark, d).where("inference_confidence is not null and is_correct is not null"), "inference_confidence", F.col("is_correct"))
+    return statistics.auc(runs(spark, d, "inference_confidence", "is_correct").where("inference_confidence is not null and is_correct is not null"), "inference_confidence", F.col("is_correct"))
 
 
 @query(", t AS (SELECT output_tokens AS x, latency_ms AS y FROM runs WHERE result_type = 'observed' AND output_tokens IS NOT NULL AND latency_ms >= 0) SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept, round(regr_r2(y, x), 6) AS r2 FROM t")
 def latency_regression(spark: S, d: str) -> DataFrame:
-    t = runs(spark, d).where("result_type = 'observed' and output_tokens is not null and latency_ms >= 0")
+    t = runs(spark, d, "result_type", "output_tokens", "latency_ms").where("result_type = 'observed' and output_tokens is not null and latency_ms >= 0")
     return t.agg(F.round(F.regr_slope("latency_ms", "output_tokens"), 6).alias("slope"), F.round(F.regr_intercept("latency_ms", "output_tokens"), 4).alias("intercept"), F.round(F.regr_r2("latency_ms", "output_tokens"), 6).alias("r2"))
 
 
@@ -90,7 +91,7 @@ _RANDOM = "md5(sample_id || ':42')"
 
 @query(f"SELECT sample_id FROM samples WHERE source_dataset IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_dataset ORDER BY {_RANDOM}, sample_id) <= 20")
 def quota_per_source(spark: S, d: str) -> DataFrame:
-    s = samples(spark, d).where("source_dataset is not null").select("sample_id", "source_dataset")
+    s = samples(spark, d, "source_dataset").where("source_dataset is not null").select("sample_id", "source_dataset")
     return sampling.per_group(s, "source_dataset", 20, "sample_id").select("sample_id")
 
 
@@ -100,20 +101,20 @@ def quota_per_source(spark: S, d: str) -> DataFrame:
  w AS (SELECT *, coalesce(sum(raw) OVER (ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, tier = max(tier) OVER () AS l FROM q)
 SELECT g.sample_id, g.tier FROM g JOIN w USING (tier) QUALIFY row_number() OVER (PARTITION BY g.tier ORDER BY {_RANDOM}, g.sample_id) <= CASE WHEN max(w.total) OVER () <= 300 THEN w.n WHEN w.l THEN 300 - w.b ELSE w.raw END""")
 def proportional_tiers(spark: S, d: str) -> DataFrame:
-    g = samples(spark, d).select("sample_id").join(notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
+    g = samples(spark, d, "ingested_at").select("sample_id").join(notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier"), "sample_id")
     return sampling.proportional(g, "tier", 300, [sampling.hash_order("sample_id"), "sample_id"])
 
 
 @query(f"SELECT sample_id FROM samples WHERE source_dataset IS NOT NULL AND task_type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_dataset, task_type ORDER BY {_RANDOM}, sample_id) <= greatest(1, floor(count(*) OVER (PARTITION BY source_dataset, task_type) * 0.1))")
 def stratified_tenth(spark: S, d: str) -> DataFrame:
-    s = samples(spark, d).where("source_dataset is not null and task_type is not null").select("sample_id", "source_dataset", "task_type")
+    s = samples(spark, d, "source_dataset", "task_type").where("source_dataset is not null and task_type is not null").select("sample_id", "source_dataset", "task_type")
     return sampling.stratified(s, ["source_dataset", "task_type"], 0.1, "sample_id").select("sample_id")
 
 
 @query(f""", g AS (SELECT sample_id, tier FROM notes WHERE tier IN (1,2,3)), r AS (SELECT *, {_RANDOM} AS h, row_number() OVER (PARTITION BY tier ORDER BY {_RANDOM}, sample_id) AS k FROM g)
 SELECT sample_id, tier FROM r ORDER BY k <= CASE tier WHEN 1 THEN 60 WHEN 2 THEN 90 ELSE 50 END DESC, h, sample_id LIMIT 200""")
 def validation_sample(spark: S, d: str) -> DataFrame:
-    g = notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier")
+    g = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier")
     return sampling.weighted_tiers(g, "tier", 200, {1: 0.3, 2: 0.45, 3: 0.25}, "sample_id")
 
 
@@ -125,13 +126,13 @@ def spend_guard(spark: S, d: str) -> DataFrame:
 
 @query()
 def diverse_selection(spark: S, d: str) -> DataFrame:
-    s = samples(spark, d).where("task_type is not null").withColumn("task", F.upper(F.trim("task_type"))).join(notes(spark, d).select("sample_id", "composite", "tier"), "sample_id")
+    s = samples(spark, d, "task_type", "source_dataset", "doc_type", "has_table", "has_chart", "has_figure", "num_pages").where("task_type is not null").withColumn("task", F.upper(F.trim("task_type"))).join(notes(spark, d, "composite", "tier").select("sample_id", "composite", "tier"), "sample_id")
     return sampling.diverse(s, "task", ["source_dataset", "doc_type", "has_table", "has_chart", "has_figure", "num_pages", "tier"], "composite", "sample_id", quota=25)
 
 
 @query()
 def facility_location(spark: S, d: str) -> DataFrame:
-    graded = notes(spark, d).where("tier in (1,2,3) and vds is not null and rds is not null and ses is not null")
+    graded = notes(spark, d, "tier", "vds", "rds", "ses").where("tier in (1,2,3) and vds is not null and rds is not null and ses is not null")
     vector = F.concat(features.one_hot(F.col("tier").cast("string"), ("1", "2", "3")), F.array(F.col("vds") / 4, F.col("rds") / 4, F.col("ses") / 4))
     return sampling.facility_location(graded.select("sample_id", vector.alias("v")), "v", "sample_id", 30, 1.0)
 
@@ -166,7 +167,7 @@ def neighbour_vote(spark: S, d: str) -> DataFrame:
 
 def _fingerprints(spark: S, d: str) -> DataFrame:
     words = F.array_distinct(F.split(F.lower("query"), r"\s+"))
-    return samples(spark, d).where("query is not null").select("sample_id", F.conv(similarity.simhash(words), 16, -10).cast("long").alias("h"))
+    return samples(spark, d, "query").where("query is not null").select("sample_id", F.conv(similarity.simhash(words), 16, -10).cast("long").alias("h"))
 
 
 @query()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import results, studies
-from ..operators.sampling import per_group
 from ..sources.tables import table
 from .base import matrix, notes, query, runs, samples
 
@@ -53,7 +52,7 @@ _PERM = " UNION ALL ".join(f"SELECT '{a}-{b}-{c}' AS axes, round(corr({a}*CAST(0
 
 @query(f", g AS (SELECT vds, rds, ses, tier FROM notes WHERE tier IN (1,2,3) AND vds IS NOT NULL AND rds IS NOT NULL AND ses IS NOT NULL) {_PERM}")
 def axis_permutations(spark: S, d: str) -> DataFrame:
-    g = notes(spark, d).where("tier in (1,2,3) and vds is not null and rds is not null and ses is not null")
+    g = notes(spark, d, "vds", "rds", "ses", "tier").where("tier in (1,2,3) and vds is not null and rds is not null and ses is not null")
     return studies.permuted_correlations(g, ("vds", "rds", "ses"), (0.3, 0.45, 0.25), "tier")
 
 
@@ -65,7 +64,7 @@ _ONE = _TIER.format(n="((p IS NOT NULL)::INT)", k="(coalesce(p::INT, 0))")
 
 
 def _probes(spark: S, d: str) -> DataFrame:
-    m = matrix(spark, d).join(notes(spark, d).select("sample_id", "composite"), "sample_id")
+    m = matrix(spark, d).join(notes(spark, d, "composite").select("sample_id", "composite"), "sample_id")
     return m.groupBy("sample_id").agg(*[F.bool_or(F.when(F.col("config_id") == c, F.col("is_correct"))).alias(n) for n, c in (("p", "a1_flint_B1"), ("q", "c1_onyx_B2"))], F.max("composite").alias("c"))
 
 
@@ -80,35 +79,63 @@ def ablation_stability(spark: S, d: str) -> DataFrame:
     return _probes(spark, d).where("p is not null and q is not null").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((both == one).cast("double")), 6).alias("unchanged"))
 
 
-@query(_PROBES + f""", base AS (SELECT *, {_BOTH} AS t0 FROM probes), drawn AS (SELECT sample_id, c, t0, trial,
- CASE WHEN CAST(('0x' || substr(md5(sample_id || ':p:' || trial), 1, 4)) AS INT) < 6553 THEN NOT p ELSE p END AS p,
- CASE WHEN CAST(('0x' || substr(md5(sample_id || ':q:' || trial), 1, 4)) AS INT) < 6553 THEN NOT q ELSE q END AS q FROM base, (SELECT unnest(range(100)) AS trial) WHERE t0 IS NOT NULL),
- per AS (SELECT trial, avg(CASE WHEN {_BOTH} = t0 THEN 1.0 ELSE 0.0 END) AS s FROM drawn GROUP BY 1)
-SELECT round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS deviation, round(min(s), 6) AS least, round(max(s), 6) AS most FROM per""")
+_SHOWN = "CASE WHEN c < 2.5 THEN 2.4 WHEN c < 2.8 THEN 2.6 ELSE 2.9 END"
+_FLIPS = " + ".join(
+    f"(CASE WHEN t00 IS NOT DISTINCT FROM t{a}{b} THEN {'(CASE WHEN p IS NULL THEN ' + ('0.0' if a else '1.0') + ' ELSE ' + ('0.1' if a else '0.9') + ' END)'} * {'(CASE WHEN q IS NULL THEN ' + ('0.0' if b else '1.0') + ' ELSE ' + ('0.1' if b else '0.9') + ' END)'} ELSE 0.0 END)"
+    for a in (0, 1)
+    for b in (0, 1)
+)
+
+
+@query(
+    _PROBES
+    + ", flipped AS (SELECT p, q, "
+    + ", ".join(f"(SELECT {_BOTH} FROM (SELECT {'NOT o.p' if a else 'o.p'} AS p, {'NOT o.q' if b else 'o.q'} AS q, o.c AS c)) AS t{a}{b}" for a in (0, 1) for b in (0, 1))
+    + f""" FROM probes o WHERE c IS NOT NULL), chances AS (SELECT CAST({_FLIPS} AS DOUBLE) AS s FROM flipped WHERE t00 IS NOT NULL)
+SELECT round(sum(s) / count(*), 6) AS mean, round(sqrt(sum(s * (1 - s))) / count(*), 6) AS deviation FROM chances"""
+)
 def perturbation_stability(spark: S, d: str) -> DataFrame:
-    return studies.perturbed(_probes(spark, d), "sample_id", ["p", "q"], "c")
+    return studies.perturbed(_probes(spark, d), ["p", "q"], "c")
 
 
 @query()
+def perturbation_trials(spark: S, d: str) -> DataFrame:
+    """Drawn by a generator that SQL lacks; tests hold it against the exact moments."""
+    return studies.perturbation_trials(_probes(spark, d), ["p", "q"], "c")
+
+
+_SEEDED = """, g AS (SELECT n.sample_id, n.tier, upper(trim(s.task_type)) AS task FROM notes n JOIN samples s USING (sample_id) WHERE n.tier IN (1,2,3) AND s.task_type IS NOT NULL),
+ c AS (SELECT tier, task, count(*) AS n, 60.0 * count(*) / sum(count(*)) OVER () AS e FROM g GROUP BY 1, 2),
+ o AS (SELECT *, least(n, greatest(1, floor(e))) AS own FROM c), l AS (SELECT *, 60 - sum(own) OVER () AS l, own < n AS room FROM o),
+ q AS (SELECT *, own + CASE WHEN room AND row_number() OVER (ORDER BY room DESC, floor(e) - e, tier, task) <= l THEN 1 ELSE 0 END AS quota FROM l)
+SELECT sample_id, tier, task FROM (SELECT g.*, q.quota, row_number() OVER (PARTITION BY g.tier, g.task ORDER BY md5(g.sample_id || ':42'), g.sample_id) AS r FROM g JOIN q USING (tier, task)) WHERE r <= quota"""
+
+
+@query(_SEEDED)
 def seed_sample(spark: S, d: str) -> DataFrame:
-    g = notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier").join(samples(spark, d).where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task")), "sample_id")
+    g = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier").join(samples(spark, d, "task_type").where("task_type is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task")), "sample_id")
     return studies.seeds(g, ["tier", "task"], 60, "sample_id")
 
 
 @query()
 def constrained_sample(spark: S, d: str) -> DataFrame:
-    g = notes(spark, d).where("tier in (1,2,3)").select("sample_id", "tier").join(samples(spark, d).where("task_type is not null and source_dataset is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"), "source_dataset"), "sample_id")
+    g = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier").join(samples(spark, d, "task_type", "source_dataset").where("task_type is not null and source_dataset is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"), "source_dataset"), "sample_id")
     return studies.constrained(g, [("task", 10), ("tier", 25), ("source_dataset", 5)], "sample_id")
 
 
-@query()
+@query(""", g AS (SELECT n.sample_id, s.source_dataset AS src FROM notes n JOIN samples s USING (sample_id) WHERE n.composite IS NOT NULL AND s.source_dataset IS NOT NULL),
+ c AS (SELECT src, count(*) AS n, CAST(200 AS DOUBLE) * count(*) / sum(count(*)) OVER () AS e FROM g GROUP BY 1),
+ o AS (SELECT *, least(n, floor(e)) AS own FROM c), l AS (SELECT *, 200 - sum(own) OVER () AS l, own < n AS room FROM o),
+ q AS (SELECT src, n, CAST(own + CASE WHEN room AND row_number() OVER (ORDER BY room DESC, floor(e) - e, src) <= l THEN 1 ELSE 0 END AS BIGINT) AS quota FROM l),
+ w AS (SELECT *, greatest(quota, least(15, n)) AS want, greatest(0, quota - 15) AS above FROM q),
+ x AS (SELECT *, CASE WHEN sum(above) OVER () > 0 THEN least(sum(want - quota) OVER (), sum(above) OVER ()) * CAST(above AS DOUBLE) / sum(above) OVER () ELSE 0.0 END AS e FROM w),
+ y AS (SELECT *, round(sum(e) OVER ()) - sum(floor(e)) OVER () AS l FROM x),
+ z AS (SELECT src, want - floor(e) - CASE WHEN row_number() OVER (ORDER BY floor(e) - e, src) <= l THEN 1 ELSE 0 END AS quota FROM y)
+SELECT sample_id, src AS source_dataset FROM (SELECT g.*, z.quota, row_number() OVER (PARTITION BY src ORDER BY md5(g.sample_id || ':42'), g.sample_id) AS r FROM g JOIN z USING (src)) WHERE r <= quota""")
 def floored_sample(spark: S, d: str) -> DataFrame:
-    """The best-graded rows of each source, with a floor of 15 rows a source inside one total."""
-    g = notes(spark, d).where("composite is not null").select("sample_id", "composite").join(samples(spark, d).where("source_dataset is not null").select("sample_id", "source_dataset"), "sample_id")
-    have = {r["source_dataset"]: r["n"] for r in g.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n")).collect()}
-    dealt = studies.with_floor({k: (min(n, studies.largest_remainder(have, 200).get(k, 0)), n) for k, n in have.items()}, 15)
-    quota = spark.createDataFrame(list(dealt.items()), "source_dataset string, quota long")
-    return per_group(g.join(F.broadcast(quota), "source_dataset"), "source_dataset", F.col("quota"), "sample_id", most=max(dealt.values(), default=0)).select("sample_id", "source_dataset")
+    """Rows of each source by largest remainder, with a floor of 15 rows a source inside one total."""
+    g = notes(spark, d, "composite").where("composite is not null").select("sample_id").join(samples(spark, d, "source_dataset").where("source_dataset is not null").select("sample_id", "source_dataset"), "sample_id")
+    return studies.floored(g, "source_dataset", 200, 15, "sample_id").select("sample_id", "source_dataset")
 
 
 @query("""SELECT name, arg_min(c.source_dataset, (CASE WHEN c.source_dataset = name THEN 0 WHEN lower(c.source_dataset) = lower(name) THEN 1 ELSE 2 END) || c.source_dataset) AS catalogue
@@ -121,5 +148,5 @@ def catalogue_names(spark: S, d: str) -> DataFrame:
 
 @query("SELECT n, count(*) AS samples FROM (SELECT sample_id, count(DISTINCT config_id) AS n FROM runs GROUP BY 1) GROUP BY 1")
 def coverage_histogram(spark: S, d: str) -> DataFrame:
-    per = runs(spark, d).groupBy("sample_id").agg(F.count_distinct("config_id").alias("n"))
+    per = runs(spark, d, "sample_id", "config_id").groupBy("sample_id").agg(F.count_distinct("config_id").alias("n"))
     return per.groupBy("n").agg(F.count(F.lit(1)).alias("samples"))

@@ -18,8 +18,8 @@ _PAIR = """, graded AS (SELECT r.result_id, r.predicted_answer AS p, s.gt_answer
 
 
 def _graded(spark: S, d: str, distinct: bool = True) -> DataFrame:
-    r = runs(spark, d).where("result_type = 'observed' and predicted_answer is not null").select("result_id", "sample_id", F.col("predicted_answer").alias("p"))
-    s = samples(spark, d).where("gt_answer is not null")
+    r = runs(spark, d, "sample_id", "result_type", "predicted_answer").where("result_type = 'observed' and predicted_answer is not null").select("result_id", "sample_id", F.col("predicted_answer").alias("p"))
+    s = samples(spark, d, "gt_answer", "gt_answer_aliases", "source_dataset", "query", "correctness_metric").where("gt_answer is not null")
     given = scores.answers(F.col("gt_answer"), F.col("gt_answer_aliases"))
     refs = F.array_distinct(given) if distinct else given
     return r.join(s.select("sample_id", F.col("gt_answer").alias("g"), F.col("source_dataset").alias("src"), F.col("query").alias("q"), F.lower("correctness_metric").alias("m"), refs.alias("refs")), "sample_id")
@@ -158,21 +158,21 @@ def score_tables(spark: S, d: str) -> DataFrame:
 @query()
 def grade_answers(spark: S, d: str) -> DataFrame:
     """Every run under its sample's own metric."""
-    r = runs(spark, d).where("result_type = 'observed'").select("result_id", "sample_id", "predicted_answer", "is_correct")
-    s = samples(spark, d).select("sample_id", "gt_answer", "gt_answer_aliases", "correctness_metric", "source_dataset", "query")
+    r = runs(spark, d, "sample_id", "result_type", "predicted_answer", "is_correct").where("result_type = 'observed'").select("result_id", "sample_id", "predicted_answer", "is_correct")
+    s = samples(spark, d, "gt_answer", "gt_answer_aliases", "source_dataset", "query", "correctness_metric").select("sample_id", "gt_answer", "gt_answer_aliases", "correctness_metric", "source_dataset", "query")
     graded = scores.is_correct(*[F.col(c) for c in ("correctness_metric", "predicted_answer", "gt_answer", "gt_answer_aliases", "source_dataset", "query")])
     return r.join(s.where("correctness_metric is not null"), "sample_id").select("result_id", "is_correct", graded.alias("graded"))
 
 
 @query()
 def extracted_answers(spark: S, d: str) -> DataFrame:
-    r = runs(spark, d).where("result_type = 'observed'")
+    r = runs(spark, d, "result_type", "predicted_answer").where("result_type = 'observed'")
     return r.select("result_id", text.extract_answer(F.col("predicted_answer")).alias("answer"))
 
 
 @query(r"SELECT sample_id, len(list_filter(regexp_split_to_array(coalesce(query, ''), '\s+'), lambda w: w <> '')) AS words FROM samples")
 def query_words(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).select("sample_id", text.word_count(F.col("query")).cast("long").alias("words"))
+    return samples(spark, d, "query").select("sample_id", text.word_count(F.col("query")).cast("long").alias("words"))
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -188,7 +188,7 @@ _PRIOR = f"""SELECT sample_id, CASE WHEN has_chart AND has_figure THEN 4 WHEN ha
 
 @query(f", raw AS ({_PRIOR}) SELECT sample_id, vds, rds, ses, CAST(round(0.30*vds + 0.45*rds + 0.25*ses, 4) AS DOUBLE) AS composite FROM raw")
 def prior_scores(spark: S, d: str) -> DataFrame:
-    s = samples(spark, d).select("sample_id", features.visual_score().alias("vds"), features.reasoning_score().alias("rds"), features.extent_score().alias("ses"))
+    s = samples(spark, d, "query", "has_chart", "has_figure", "has_table", "num_pages").select("sample_id", features.visual_score().alias("vds"), features.reasoning_score().alias("rds"), features.extent_score().alias("ses"))
     return s.withColumn("composite", features.composite(F.col("vds"), F.col("rds"), F.col("ses")))
 
 
@@ -197,7 +197,7 @@ SELECT sample_id, CASE WHEN src = 'tabfact' THEN greatest(rds, 2) WHEN src IN ('
  CASE WHEN src = 'mpdocvqa' THEN 4 ELSE ses END AS ses_est,
  CASE WHEN src = 'rvlcdip' THEN 1 WHEN src = 'mpdocvqa' THEN greatest(t0, 2) WHEN src = 'slidevqa' AND counts THEN greatest(t0, 2) WHEN src IN ('slidevqa', 'cord', 'sroie') THEN least(t0, 2) ELSE t0 END AS tier_prior FROM t""")
 def prior_tiers(spark: S, d: str) -> DataFrame:
-    p = samples(spark, d).select("sample_id", "source_dataset", "query", features.visual_score().alias("v"), features.reasoning_score().alias("r"), features.extent_score().alias("s"))
+    p = samples(spark, d, "query", "has_chart", "has_figure", "has_table", "num_pages", "source_dataset").select("sample_id", "source_dataset", "query", features.visual_score().alias("v"), features.reasoning_score().alias("r"), features.extent_score().alias("s"))
     tier = features.tier_of(features.composite(F.col("v"), F.col("r"), F.col("s")))
     _, rds, ses, out = features.source_rules(F.col("v"), F.col("r"), F.col("s"), tier, F.col("source_dataset"), F.col("query"))
     return p.select("sample_id", rds.alias("rds_est"), ses.alias("ses_est"), out.alias("tier_prior"))
@@ -213,12 +213,12 @@ def soft_tiers(spark: S, d: str) -> DataFrame:
 
 @query("SELECT sample_id, [CASE WHEN upper(trim(task_type)) = t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END FOR t IN ['T1','T2','T3','T4','T5','T6']] AS one_hot FROM samples")
 def task_vectors(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).select("sample_id", features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("one_hot"))
+    return samples(spark, d, "task_type").select("sample_id", features.one_hot(F.upper(F.trim("task_type")), features.TASKS).alias("one_hot"))
 
 
 @query("SELECT result_id, round(coalesce(input_tokens,0)/1e6*cost_per_1m_input + coalesce(output_tokens,0)/1e6*cost_per_1m_output + coalesce(reasoning_tokens,0)/1e6*cost_per_1m_reasoning, 8) AS expected_cost FROM runs JOIN model_configs USING (config_id)")
 def token_costs(spark: S, d: str) -> DataFrame:
-    j = runs(spark, d).join(table(spark, d, "model_configs"), "config_id")
+    j = runs(spark, d, "config_id", "input_tokens", "output_tokens", "reasoning_tokens").join(table(spark, d, "model_configs"), "config_id")
     rates = [F.col(f"cost_per_1m_{k}") for k in ("input", "output", "reasoning")]
     return j.select("result_id", features.token_cost(rates, [F.col(f"{k}_tokens") for k in ("input", "output", "reasoning")]).alias("expected_cost"))
 
@@ -231,9 +231,9 @@ def json_fields(spark: S, d: str) -> DataFrame:
 
 @query(r"SELECT sample_id, regexp_extract(lower(image_path), '\.([a-z0-9]+)([?#].*)?$', 1) AS extension FROM samples WHERE image_path IS NOT NULL AND image_path NOT LIKE '%..%'")
 def image_extensions(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).where("image_path is not null and image_path not like '%..%'").select("sample_id", F.regexp_extract(F.lower("image_path"), r"\.([a-z0-9]+)([?#].*)?$", 1).alias("extension"))
+    return samples(spark, d, "image_path").where("image_path is not null and image_path not like '%..%'").select("sample_id", F.regexp_extract(F.lower("image_path"), r"\.([a-z0-9]+)([?#].*)?$", 1).alias("extension"))
 
 
 @query(r"""SELECT sample_id, alias FROM (SELECT sample_id, unnest(gt_answer_aliases) AS alias FROM samples) WHERE trim(alias) <> ''""")
 def alias_rows(spark: S, d: str) -> DataFrame:
-    return samples(spark, d).select("sample_id", F.explode("gt_answer_aliases").alias("alias")).where(F.trim("alias") != "")
+    return samples(spark, d, "gt_answer_aliases").select("sample_id", F.explode("gt_answer_aliases").alias("alias")).where(F.trim("alias") != "")
