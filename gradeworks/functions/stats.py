@@ -31,8 +31,14 @@ def bayes(prior: Column, likelihoods: Sequence[Column]) -> Column:
     out = prior
     for one in likelihoods:
         out = F.when(one.isNull(), out).otherwise(F.zip_with(out, one, lambda a, b: a * b))
-    total = F.aggregate(out, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(out, lambda x: F.when(total > 0, x / total).otherwise(1.0 / F.size(prior)))
+    # The product is bound to a variable first: inside a function over its entries nothing of it is evaluated again.
+    even = 1.0 / F.size(prior)
+
+    def normalised(whole: Column) -> Column:
+        total = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x)
+        return F.transform(whole, lambda x: F.when(total > 0, x / total).otherwise(even))
+
+    return F.flatten(F.transform(F.array(out), normalised))
 
 
 def expected_rank(soft: Column) -> Column:
