@@ -90,7 +90,7 @@ class LogisticConfigRouter:
         self.configs, self.rounds, self.model = list(configs), rounds, None
 
     def fit(self, train: DataFrame) -> LogisticConfigRouter:
-        label = F.array_position(F.array(*map(F.lit, self.configs)), F.col("target")) - 1
+        label = F.array_position(F.array(*map(F.lit, self.configs)).cast("array<string>"), F.col("target")) - 1
         known = train.where("target is not null").withColumn("label", label.cast("double")).where("label >= 0")
         if not known.isEmpty():
             self.scaler = _scaled(known)
@@ -98,7 +98,7 @@ class LogisticConfigRouter:
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        listed = F.array(*map(F.lit, self.configs))
+        listed = F.array(*map(F.lit, self.configs)).cast("array<string>")
         if self.model is None:
             return rows.select("sample_id", F.get(listed, F.lit(0)).alias("config_id"))
         out = self.model.transform(self.scaler.transform(rows.withColumn("__v", array_to_vector("x"))))
@@ -181,7 +181,7 @@ class CostSensitiveNetwork:
 
     def fit(self, train: DataFrame) -> CostSensitiveNetwork:
         self.train = train
-        at = (F.array_position(F.array(*map(F.lit, self.configs)), F.col("target")) - 1).cast("int") if self.configs else F.lit(None).cast("int")
+        at = (F.array_position(F.array(*map(F.lit, self.configs)).cast("array<string>"), F.col("target")) - 1).cast("int") if self.configs else F.lit(None).cast("int")
         known = standardised(train, train.where("target is not null").select("sample_id", "x", at.alias("y")), self.width).where("y >= 0")
         self.layers = networks.train(materialize(known, "network"), "x", self.layers, networks.class_loss(self.weights, "y"), self.rounds)
         return self

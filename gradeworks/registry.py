@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import feature_queries, learn_queries, result_queries, router_queries, stat_queries, stream_queries, study_queries, text_queries  # noqa: F401
+from .plans import feature_queries, learn_queries, result_queries, router_queries, router_study_queries, stat_queries, stream_queries, study_queries, text_queries  # noqa: F401
 from .plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeworks import registry
 from gradeworks.sources.tables import table
 
-MODULES = [importlib.import_module(f"gradeworks.plans.{m}") for m in ("base", "result_queries", "stat_queries", "study_queries", "text_queries", "learn_queries")]
+MODULES = [importlib.import_module(f"gradeworks.plans.{m}") for m in ("base", "result_queries", "stat_queries", "study_queries", "text_queries", "learn_queries", "feature_queries", "router_queries", "router_study_queries")]
 BATCH = sorted(n for n in registry.QUERIES if not n.startswith("stream"))
 
 
