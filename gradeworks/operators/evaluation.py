@@ -89,7 +89,7 @@ def metrics(rows: DataFrame, priced: DataFrame, name: str, by: Sequence[str] = (
         F.coalesce(F.sum(F.when(r, F.col("best_price"))), F.lit(0.0)).alias("__oracle"),
     )
     top = priced.agg(F.max("price").alias("__top"))
-    saved = (F.col("n_routable") * F.col("__top") - F.col("__paid")) / (F.col("n_routable") * F.col("__top") - F.col("__oracle"))
+    saved = F.try_divide(F.col("n_routable") * F.col("__top") - F.col("__paid"), F.col("n_routable") * F.col("__top") - F.col("__oracle"))
     efficiency = F.when(F.col("n_routable") * F.col("__top") > F.col("__oracle"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 * saved))).otherwise(0.0)
     return sums.join(F.broadcast(top)).select(
         F.lit(name).alias("router"),
@@ -97,10 +97,10 @@ def metrics(rows: DataFrame, priced: DataFrame, name: str, by: Sequence[str] = (
         "n_total",
         "n_correct",
         "n_routable",
-        F.round(F.col("n_correct") / F.col("n_total"), 6).alias("accuracy"),
+        F.round(F.try_divide(F.col("n_correct"), F.col("n_total")), 6).alias("accuracy"),
         F.round(F.coalesce(F.try_divide(F.col("__right"), F.col("n_routable")), F.lit(0.0)), 6).alias("accuracy_routable"),
         F.round("__cost", 6).alias("total_cost"),
-        F.round(F.col("__cost") / F.col("n_total"), 8).alias("avg_cost"),
+        F.round(F.try_divide(F.col("__cost"), F.col("n_total")), 8).alias("avg_cost"),
         F.round(F.try_divide(F.col("__cost"), F.col("n_correct")), 8).alias("cost_per_correct"),
         F.round("__paid", 6).alias("total_cost_routable"),
         F.round(efficiency, 4).alias("oracle_efficiency"),
