@@ -6,7 +6,10 @@ differently are found by candidates; rows without an answer are dropped where th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import importlib
+import time
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from ..functions.scores import CLAIMS, CLASSES
 from ..functions.features import region
 from ..functions.text import sample_id, strip
 from ..functions.trees import Tree
+from . import shapes
 
 SAMPLE = ("sample_id", "source_dataset", "task_type", "query", "gt_answer", "gt_answer_aliases", "correctness_metric")
 
@@ -26,11 +30,16 @@ def first_of(df: DataFrame, names: Sequence[str], kind: str = "string") -> Colum
     return F.coalesce(*here, F.lit(None).cast(kind))
 
 
-def to_samples(df: DataFrame, name: str, task: str, metric: str, query: Column, answers: Column, split: str = "val", order: str = "idx") -> DataFrame:
-    """Samples from queries and arrays of answers: the first answer leads, blanks are dropped."""
+def to_samples(df: DataFrame, name: str, task: str, metric: str, query: Column, answers: Column, split: str = "val", order: str = "idx", part: str | None = None) -> DataFrame:
+    """Samples from queries and arrays of answers: the first answer leads, blanks are dropped.
+
+    An id is that of the record; ``part`` names a column that tells several samples of a record apart.
+    """
     kept = F.filter(F.coalesce(answers, F.array().cast("array<string>")), lambda a: a.isNotNull() & (strip(a) != ""))
     rows = df.withColumn("__q", query).withColumn("__a", kept).where(F.size("__a") > 0)
     made = sample_id(F.lit(name.lower().replace("-", "")), F.lit(split), F.col(order))
+    if part:
+        made = F.concat_ws("_", made, F.col(part).cast("string"))
     return rows.select(made.alias("sample_id"), F.lit(name).alias("source_dataset"), F.lit(task).alias("task_type"), F.col("__q").alias("query"), F.col("__a")[0].alias("gt_answer"), F.col("__a").alias("gt_answer_aliases"), F.lit(metric).alias("correctness_metric"))
 
 
@@ -66,8 +75,8 @@ def most_common_answer(df: DataFrame, name: str = "TextVQA", task: str = "T2") -
 
 def nested_questions(df: DataFrame, name: str = "ST-VQA", task: str = "T2", metric: str = "anls") -> DataFrame:
     """One row per question in an array of (question, answers)."""
-    rows = df.select("idx", F.posexplode("qas").alias("n", "qa")).withColumn("idx", F.col("idx") * 1000 + F.col("n"))
-    return to_samples(rows, name, task, metric, F.col("qa.question"), F.col("qa.answers"))
+    rows = df.select("idx", F.posexplode("qas").alias("n", "qa"))
+    return to_samples(rows, name, task, metric, F.col("qa.question"), F.col("qa.answers"), part="n")
 
 
 def plain_questions(df: DataFrame, name: str, task: str, metric: str) -> DataFrame:
@@ -117,10 +126,62 @@ def page_elements(df: DataFrame) -> DataFrame:
     where = region((F.col("a.box")[0] + F.col("a.box")[2]) / 2, (F.col("a.box")[1] + F.col("a.box")[3]) / 2)
     asked = to_samples(rows, "PubLayNet", "T3", "exact_match", F.concat(F.lit("What kind of element lies at the "), where, F.lit(" of the page?")), F.array(F.col("a.label")))
     text = F.format_string("[%.4f, %.4f, %.4f, %.4f]", *[F.col("b.box")[i] for i in range(4)])
-    boxed = to_samples(rows.withColumn("idx", F.col("idx") + 500_000), "PubLayNet", "T6", "iou", F.concat(F.lit("Give the box of the "), F.col("b.label"), F.lit(".")), F.array(text))
+    boxed = to_samples(rows.withColumn("part", F.lit("box")), "PubLayNet", "T6", "iou", F.concat(F.lit("Give the box of the "), F.col("b.label"), F.lit(".")), F.array(text), part="part")
     return asked.unionByName(boxed)
 
 
+def nested_fields(df: DataFrame) -> DataFrame:
+    """Nested fields of receipts, unwrapped and flattened to dotted names, as JSON; records without any are dropped."""
+    leaves = shapes.unwrapped(first_of(df, ["ground_truth", "gt_parse", "annotation"]))
+    rows = df.withColumn("__leaves", leaves).where(F.size("__leaves") > 0)
+    names = F.array_join(F.map_keys("__leaves"), ", ")
+    return to_samples(rows, "CORD", "T2", "field_f1", F.concat(F.lit("Extract the following fields: "), names), F.array(F.to_json("__leaves")), "test")
+
+
+def page_text(df: DataFrame) -> DataFrame:
+    """All words of a page as its text, from nested paragraphs or from listed words."""
+    words = [shapes.paragraph_words(F.col("paragraphs"))] if "paragraphs" in df.columns else []
+    words += [shapes.listed_words(first_of(df, ["words_text", "output_json_dumpsed"]))]
+    found = F.coalesce(*[F.when(F.size(w) > 0, w) for w in words])
+    rows = df.withColumn("__text", F.array_join(found, " "))
+    return to_samples(rows, "HierText", "T2", "anls", F.lit("What text is on this page?"), F.array("__text"))
+
+
+def page_roles(df: DataFrame) -> DataFrame:
+    """Tagged tokens of pages to one question about the role of an excerpt, by the most telling role there is."""
+    tokens, labels = (F.col(next(c for c in names if c in df.columns)) for names in (("tokens", "token", "words", "word"), ("tags", "labels", "tag", "label")))
+    rows = df.where((F.size(tokens) > 0) & (F.size(labels) > 0)).withColumn("__label", shapes.telling_label(labels))
+    own = shapes.excerpt(tokens, labels, F.col("__label"))
+    rows = rows.withColumn("__text", F.when(own != "", own).otherwise(F.array_join(F.slice(tokens, 1, 6), " ")))
+    return to_samples(rows, "DocBank", "T3", "exact_match", F.concat(F.lit("Which part of a paper is this: "), F.col("__text"), F.lit("?")), F.array("__label"), "test")
+
+
+#: The fields of disclosure forms and the names they go by.
+FORM_FIELDS = {
+    "advertiser": ("advertiser", "Advertiser", "advertiser_name", "political_committee", "committee"),
+    "contract_start_date": ("contract_start_date", "start_date", "ContractStartDate", "from_date", "period_start"),
+    "contract_end_date": ("contract_end_date", "end_date", "ContractEndDate", "to_date", "period_end"),
+    "total_amount": ("total_amount", "amount", "TotalAmount", "gross_amount", "contract_amount", "total"),
+}
+
+
+def disclosure_fields(df: DataFrame) -> DataFrame:
+    """Four fields of disclosure forms under any of their names, as JSON with null for those not found."""
+    values = [F.nullif(strip(F.coalesce(first_of(df, [n for n in names if n in df.columns]), F.lit(""))), F.lit("")).alias(field) for field, names in FORM_FIELDS.items()]
+    return to_samples(df, "DeepForm", "T5", "field_f1", F.lit("Extract the fields as JSON."), F.array(F.to_json(F.struct(*values), {"ignoreNullFields": "false"})), "test")
+
+
+def layout_pages(df: DataFrame) -> DataFrame:
+    """Layout records of either form to the questions of :func:`page_elements`.
+
+    Input: idx, width, height, and objects (category_id, label, box) or boxes and labels.
+    """
+    made = shapes.zipped_elements(F.col("boxes"), F.col("labels"), F.col("width"), F.col("height")) if "boxes" in df.columns else shapes.layout_elements(F.col("objects"), F.col("width"), F.col("height"))
+    # Corners in the unit square, as x, y, width and height of a page of size 1.
+    plain = F.transform(made, lambda e: F.struct(e["label"].alias("label"), F.array(e["box"][0], e["box"][1], e["box"][2] - e["box"][0], e["box"][3] - e["box"][1]).alias("box")))
+    return page_elements(df.select("idx", F.lit(1.0).alias("width"), F.lit(1.0).alias("height"), plain.alias("elements")))
+
+
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rvlcdip": page_classes,
     "textvqa": most_common_answer,
@@ -131,13 +192,16 @@ ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "visualmrc": lambda df: plain_questions(df, "VisualMRC", "T4", "rouge_cider"),
     "mpdocvqa": lambda df: plain_questions(df, "MP-DocVQA", "T5", "anls"),
     "slidevqa": lambda df: plain_questions(df, "SlideVQA", "T5", "slidevqa_em"),
-    "cord": lambda df: plain_questions(df, "CORD", "T2", "field_f1"),
+    "cord": nested_fields,
     "sroie": receipt_fields,
-    "hiertext": lambda df: plain_questions(df, "HierText", "T2", "anls"),
-    "funsd": lambda df: to_samples(form_pairs(df).withColumn("idx", F.row_number().over(Window.partitionBy("form").orderBy("question", "answer")) + F.col("form") * 1000), "FUNSD", "T2", "field_f1", F.concat(F.lit("What is the value of "), F.col("question"), F.lit("?")), F.array("answer")),
+    "hiertext": page_text,
+    "funsd": lambda df: to_samples(form_pairs(df).withColumn("idx", F.col("form")).withColumn("n", F.row_number().over(Window.partitionBy("form").orderBy("question", "answer"))), "FUNSD", "T2", "field_f1", F.concat(F.lit("What is the value of "), F.col("question"), F.lit("?")), F.array("answer"), part="n"),
     "tabfact": table_claims,
     "wtq": table_answers,
     "publaynet": page_elements,
+    "doclaynet": layout_pages,
+    "docbank": page_roles,
+    "deepform": disclosure_fields,
 }
 
 
@@ -148,6 +212,32 @@ def adapt(name: str, raw: DataFrame) -> DataFrame:
     return ADAPTERS[name](raw)
 
 
+def load_adapter(path: str) -> Callable[[DataFrame], DataFrame]:
+    """An adapter by its dotted path, such as ``package.module.function``."""
+    module, _, name = path.rpartition(".")
+    return getattr(importlib.import_module(module), name)
+
+
+def run_adapter(name: str, raw: Callable[[], DataFrame], out: str, adapter: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, object]:
+    """Read a source, adapt it and append its samples to a folder; what came of it: status, count, seconds, error."""
+    began = time.monotonic()
+    told: dict[str, object] = {"dataset": name, "status": "success", "count": 0, "error": None}
+    try:
+        made = (adapter or ADAPTERS[name])(raw())
+        path = f"{out}/{name}"
+        made.write.mode("overwrite").json(path)
+        told["count"] = made.sparkSession.read.schema(made.schema).json(path).count()
+    except Exception as e:  # noqa: BLE001
+        told |= {"status": "error", "error": f"{type(e).__name__}: {e}"[:500]}
+    return told | {"elapsed_s": round(time.monotonic() - began, 1)}
+
+
+def run_adapters(sources: Mapping[str, Callable[[], DataFrame]], out: str, at_once: int = 4) -> list[dict[str, object]]:
+    """:func:`run_adapter` for several sources, ``at_once`` of them side by side in one application; one failing stops no other."""
+    with ThreadPoolExecutor(max_workers=max(1, at_once)) as pool:
+        return sorted(pool.map(lambda item: run_adapter(item[0], item[1], out), sources.items()), key=lambda r: str(r["dataset"]))
+
+
 class HtmlTables(DataSource):
     """A source of table cells in HTML files: ``spark.read.format("html_tables").load(folder)``."""
 

@@ -39,3 +39,8 @@ def model_pool(spark: SparkSession, path: str, tier: str | None = None) -> DataF
             rates = [float(m.get(f"cost_per_1m_{k}") or 0.0) for k in ("input", "output", "reasoning")]
             rows.append((f"{key}_{level}", key, m.get("provider"), str(m.get("tier", "")), level, int(amount or 0), *rates))
     return spark.createDataFrame(sorted(rows), POOL)
+
+
+def raw_models(path: str) -> dict[str, dict]:
+    """The models of a configuration document as they are written, by key."""
+    return {k: dict(m or {}) for k, m in (_load(path).get("models") or {}).items()}

@@ -45,3 +45,35 @@ def images(spark, path: str) -> DataFrame:
     """Files of a folder: path, size, MD5 of the bytes, and the bytes in base 64."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.col("length").alias("size"), F.md5("content").alias("md5"), F.base64("content").alias("base64"))
+
+
+#: Clients by the name of their provider, as registered by the application.
+PROVIDERS: dict[str, Callable[..., Client]] = {}
+
+
+def register(provider: str, make: Callable[..., Client]) -> None:
+    """Make a provider known: ``make`` takes its options and gives a client."""
+    PROVIDERS[provider] = make
+
+
+def client_of(provider: str, **options: object) -> Client:
+    """The client of a provider; an unknown one raises."""
+    if provider not in PROVIDERS:
+        raise ValueError(f"no client for {provider}")
+    return PROVIDERS[provider](**options)
+
+
+class Progress:
+    """How far a job of known size has come, and when it may end."""
+
+    def __init__(self, total: int, clock: Callable[[], float] = time.monotonic) -> None:
+        self.total, self.done, self.clock, self.began = total, 0, clock, clock()
+
+    def tick(self, n: int = 1) -> tuple[int, str]:
+        """Count ``n`` more; how many are done and the time left, in minutes or hours."""
+        self.done += n
+        elapsed = self.clock() - self.began
+        if not self.done or elapsed <= 0:
+            return self.done, "unknown"
+        left = max(0, self.total - self.done) * elapsed / self.done
+        return self.done, f"{left / 60:.1f}min" if left < 3600 else f"{left / 3600:.1f}h"

@@ -34,8 +34,8 @@ def read_optional(spark: SparkSession, path: str, schema: StructType) -> DataFra
 def read_many(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
     """All files of a pattern with ``file``, ``block`` and ``line``: ordered by them, records come as a reader of files by name meets them.
 
-    ``line`` orders the records of a block and says nothing more: files are split and read in
-    parallel.  Malformed and blank lines are dropped.  Raises if no file matches.
+    ``block`` is where a split of a file starts and orders the splits of a file; ``line`` orders the
+    records of a split, which one task reads in order, and says nothing between splits.  Malformed and blank lines are dropped.  Raises if no file matches.
     """
     if not exists(spark, pattern):
         raise FileNotFoundError(pattern)
@@ -51,6 +51,27 @@ def read_document(spark: SparkSession, path: str, schema: StructType) -> DataFra
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``sample_id`` of a JSON document that is a list of ids; its count is that of the rows."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.explode(F.from_json("value", "array<string>")).alias("sample_id"))
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of named figures as JSON documents in one file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_text(report: DataFrame, path: str, title: str) -> str:
+    """A report table of bounded size as aligned text: written to a folder and given back."""
+    names = report.columns
+    rows = [["" if v is None else str(v) for v in r] for r in report.limit(1000).collect()]
+    wide = [max(len(x[i]) for x in [names, *rows]) for i in range(len(names))]
+    lines = [title, "=" * len(title), *["  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in [names, *rows]]]
+    report.sparkSession.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return "\n".join(lines)
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines that are not blank."""
     return spark.read.text(path).where(F.trim("value") != "").count()
