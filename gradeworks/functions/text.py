@@ -151,26 +151,17 @@ def _leaves_of(value: object, path: str) -> list[tuple[str, str]]:
 
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
-def deep_leaves(documents: pd.Series) -> pd.Series:
-    """:func:`json_leaves` for objects of any depth; null for null."""
-    return pd.Series([None if t is None else dict(_leaves_of(json.loads(t), "")) for t in documents], dtype=object)
+def json_leaves(documents: pd.Series) -> pd.Series:
+    """Map of dotted paths to the leaf values of a JSON object of any depth.
 
-
-def json_leaves(document: Column, depth: int = 3) -> Column:
-    """Map of dotted paths to the leaf values of a JSON object; blank and null leaves are dropped.
-
-    Objects within ``depth`` levels are read by expressions; only documents that go deeper are passed to Python.
+    Numbers stay as they are written and arrays as JSON text; blank and null leaves are dropped, and
+    what is no JSON object has no leaves, so null.
     """
-    def entries(text: Column, prefix: Column | None, level: int) -> Column:
-        fields = F.from_json(text, "map<string,string>")
-
-        def leaf(key: Column, value: Column) -> Column:
-            path = key if prefix is None else F.concat_ws(".", prefix, key)
-            own = F.array(F.struct(path.alias("key"), strip(value).alias("value")))
-            return F.when(strip(value).startswith("{"), entries(value, path, level - 1)).otherwise(own) if level > 1 else own
-
-        return F.flatten(F.transform(F.map_entries(fields), lambda e: leaf(e["key"], e["value"])))
-
-    found = F.filter(entries(document, None, depth), lambda e: e["value"].isNotNull() & (e["value"] != ""))
-    deep = F.exists(found, lambda e: e["value"].startswith("{")) & F.try_parse_json(document).isNotNull()
-    return F.when(deep, deep_leaves(F.when(deep, document))).otherwise(F.map_from_entries(found))
+    def leaves(text: str | None) -> dict[str, str] | None:
+        try:
+            value = None if text is None else json.loads(text, parse_float=str, parse_int=str)
+        except (ValueError, RecursionError):
+            return None
+        return dict(_leaves_of(value, "")) if isinstance(value, dict) else None
+
+    return pd.Series([leaves(t) for t in documents], dtype=object)
