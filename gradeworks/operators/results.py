@@ -85,3 +85,39 @@ def duplicate_counts(df: DataFrame, keys: Sequence[Column], priority: Column, or
     counted = rows.groupBy(*names, F.col("__label").alias("loser")).agg(F.count(F.lit(1)).alias("n"))
     pairs = counted.join(won, names).select("winner", "loser", (F.col("n") - (F.col("winner") == F.col("loser")).cast("long")).alias("n"))
     return pairs.groupBy("winner", "loser").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def image_key(path: Column, phash: Column | None = None, md5: Column | None = None) -> Column:
+    """What tells images apart: a perceptual hash, else the MD5 of the bytes, else that of the path; null without a path."""
+    known = path.isNotNull() & (F.trim(path) != "")
+    hashes = [h for h in (phash, md5) if h is not None]
+    return F.when(known, F.coalesce(*hashes, F.md5(F.lower(F.trim(path)))))
+
+
+def two_signal_dedup(df: DataFrame, text: Column, image: Column, priority: Column, identity: str) -> DataFrame:
+    """The winner of every group of samples with the same text and the same image, and how many rows it stands for.
+
+    The same text over another image is no duplicate, nor is the same image with another text.  A
+    sample without an image cannot be told from the others of its text and counts with those of the
+    least image key there.  The highest priority wins, then the smaller id.  ``image`` may be the
+    class of near-equal fingerprints.
+    """
+    rows = df.select(text.alias("__t"), image.alias("__i"), F.struct((-priority).alias("p"), F.col(identity).alias("id")).alias("__r"))
+    exact = rows.groupBy("__t", "__i").agg(F.min("__r").alias("__r"), F.count(F.lit(1)).alias("__n"))
+    # The images of a text were counted: their least is one aggregate over distinct pairs.
+    least = exact.groupBy("__t").agg(F.min("__i").alias("__least"))
+    named = exact.where("__i is null").join(least, "__t").select("__t", F.col("__least").alias("__i"), "__r", "__n")
+    won = exact.where("__i is not null").unionByName(named).groupBy("__t", "__i").agg(F.min("__r").alias("__r"), F.sum("__n").alias("n_rows"))
+    return won.select(F.col("__r.id").alias(identity), "n_rows")
+
+
+def check_claims(figures: DataFrame, claims: Sequence[tuple[str, str, float, float]]) -> DataFrame:
+    """Claims about named figures: name, kind, expected, tolerance, what was found, and whether it holds.
+
+    A kind is ``near`` (within the tolerance), ``least`` or ``most``; a figure that is missing or null fails.
+    """
+    said = figures.sparkSession.createDataFrame(list(claims), "name string, kind string, expected double, tolerance double")
+    found = figures.groupBy("name").agg(F.max("value").alias("value"))
+    off = F.col("value") - F.col("expected")
+    holds = F.when(F.col("kind") == "near", F.abs(off) <= F.col("tolerance")).when(F.col("kind") == "least", off >= -F.col("tolerance")).when(F.col("kind") == "most", off <= F.col("tolerance"))
+    return F.broadcast(said).join(found, "name", "left").select("name", "kind", "expected", "tolerance", "value", F.coalesce(holds, F.lit(False)).alias("holds"))

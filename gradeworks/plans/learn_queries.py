@@ -138,10 +138,13 @@ def sample_holdout(spark: S, d: str) -> DataFrame:
     return samples(spark, d, "ingested_at").select("sample_id", learn.held_out(F.col("sample_id"), 0.2, 42).alias("held_out"))
 
 
-@query("""SELECT m.sample_id, max(is_correct::INT) FILTER (WHERE config_id = 'a1_flint_B1') AS a1_flint_B1, max(is_correct::INT) FILTER (WHERE config_id = 'c1_onyx_B2') AS c1_onyx_B2 FROM matrix m GROUP BY 1""")
+@query("SELECT sample_id, config_id, max(is_correct::INT) AS entry FROM matrix WHERE is_correct IS NOT NULL GROUP BY 1, 2")
 def pivoted_matrix(spark: S, d: str) -> DataFrame:
-    names = ["a1_flint_B1", "c1_onyx_B2"]
-    return matrix(spark, d).groupBy("sample_id").agg(*[F.max(F.when(F.col("config_id") == n, F.col("is_correct").cast("int"))).alias(n) for n in names])
+    """The wide matrix of all configurations read back as entries."""
+    wide = whole_matrix(spark, d).drop("observed")
+    names = [c for c in wide.columns if c != "sample_id"]
+    each = [F.struct(F.lit(c).alias("config_id"), F.col(f"`{c}`").alias("entry")) for c in names] or [F.struct(F.lit("").alias("config_id"), F.lit(None).cast("int").alias("entry"))]
+    return wide.select("sample_id", F.inline(F.array(*each))).where("entry is not null")
 
 
 @query()

@@ -110,6 +110,14 @@ def dedup_losses(spark: S, d: str) -> DataFrame:
     return results.duplicate_counts(samples(spark, d, "query", "source_dataset"), [text_key(F.col("query"))], _priority(), ["sample_id"], "source_dataset")
 
 
+@query(f""", keyed AS (SELECT sample_id, {_KEY} AS k, {_RANK} AS p, CASE WHEN trim(image_path) <> '' THEN md5(lower(trim(image_path))) END AS i FROM samples),
+ grouped AS (SELECT *, coalesce(i, min(i) OVER (PARTITION BY k)) AS g FROM keyed)
+SELECT sample_id, n_rows FROM (SELECT sample_id, count(*) OVER (PARTITION BY k, g) AS n_rows, row_number() OVER (PARTITION BY k, g ORDER BY p DESC, sample_id) AS r FROM grouped) WHERE r = 1""")
+def dedup_by_two_signals(spark: S, d: str) -> DataFrame:
+    s = samples(spark, d, "query", "source_dataset", "image_path")
+    return results.two_signal_dedup(s, text_key(F.col("query")), results.image_key(F.col("image_path")), _priority(), "sample_id")
+
+
 @query(r"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(coalesce(query,''))) < 5 THEN 'query_too_short'
  WHEN trim(coalesce(gt_answer,'')) = '' THEN 'answer_empty' WHEN trim(query) = trim(gt_answer) THEN 'query_equals_answer'
  WHEN lower(trim(gt_answer)) IN ('n/a','none','unknown','null','unanswerable','not stated') THEN 'uninformative_answer' ELSE 'kept' END AS reason FROM (
@@ -205,13 +213,18 @@ def accuracy_drop_by_tier(spark: S, d: str) -> DataFrame:
     return wide.select("model_name", F.round("1", 6).alias("easy"), F.round("3", 6).alias("hard"), F.when(gap > 0.15, "strong").when(gap > 0.07, "moderate").otherwise("weak").alias("drop_class"))
 
 
+#: The budget levels in order.
+LEVELS = ("B0", "B1", "B2", "B3")
+
+
 @query(""", acc AS (SELECT model_name, budget_level, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS a FROM matrix GROUP BY 1, 2)
-SELECT model_name, budget_level, round(a, 6) AS accuracy, round(a - lag(a) OVER (PARTITION BY model_name ORDER BY budget_level), 6) AS gain FROM acc""")
+SELECT a.model_name, a.budget_level, round(a.a, 6) AS accuracy, round(a.a - b.a, 6) AS gain FROM acc a LEFT JOIN acc b ON b.model_name = a.model_name AND b.budget_level = 'B' || (CAST(substr(a.budget_level, 2) AS INT) - 1)""")
 def gain_by_budget(spark: S, d: str) -> DataFrame:
+    """Accuracy of every budget level and its gain over the level below; null where that was not tried."""
     right = F.coalesce(F.col("is_correct"), F.lit(False)).cast("double")
-    acc = matrix(spark, d).groupBy("model_name", "budget_level").agg(F.avg(right).alias("a"))
-    before = F.lag("a").over(Window.partitionBy("model_name").orderBy("budget_level"))
-    return acc.select("model_name", "budget_level", F.round("a", 6).alias("accuracy"), F.round(F.col("a") - before, 6).alias("gain"))
+    wide = matrix(spark, d).groupBy("model_name").pivot("budget_level", list(LEVELS)).agg(F.avg(right))
+    each = [F.struct(F.lit(x).alias("budget_level"), F.col(x).alias("a"), (F.col(LEVELS[i - 1]) if i else F.lit(None).cast("double")).alias("b")) for i, x in enumerate(LEVELS)]
+    return wide.select("model_name", F.inline(F.array(*each))).where("a is not null").select("model_name", "budget_level", F.round("a", 6).alias("accuracy"), F.round(F.col("a") - F.col("b"), 6).alias("gain"))
 
 
 @query(""", acc AS (SELECT model_name, upper(trim(task_type)) AS task, n.tier AS t, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS a
@@ -383,6 +396,12 @@ def samples_all_wrong(spark: S, d: str) -> DataFrame:
     return g.where("models >= 5 and not any").select("sample_id", "models")
 
 
-@query("SELECT judge_id, count(*) AS n, count(DISTINCT sample_id) AS samples, round(avg(vds), 6) AS mean_vds FROM judge_scores WHERE vds BETWEEN 1 AND 4 GROUP BY ROLLUP (judge_id)", base=False)
+_RATED = "SELECT judge_id, sample_id, unnest(['vds', 'rds', 'ses']) AS axis, unnest([vds, rds, ses]) AS score FROM judge_scores"
+
+
+@query(f"SELECT judge_id, axis, count(*) AS n, count(DISTINCT sample_id) AS samples, round(avg(score), 6) AS mean_score FROM ({_RATED}) WHERE score BETWEEN 1 AND 4 GROUP BY GROUPING SETS ((judge_id, axis), (axis), ())", base=False)
 def judge_summary(spark: S, d: str) -> DataFrame:
-    return table(spark, d, "judge_scores").where("vds between 1 and 4").rollup("judge_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("samples"), F.round(F.avg("vds"), 6).alias("mean_vds"))
+    """Ratings of every judge on every axis, of each axis, and of all."""
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("score")) for a in ("vds", "rds", "ses")])).alias("x")
+    long = table(spark, d, "judge_scores").select("judge_id", "sample_id", axes).select("judge_id", "sample_id", "x.*").where("score between 1 and 4")
+    return long.groupingSets([["judge_id", "axis"], ["axis"], []], "judge_id", "axis").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("samples"), F.round(F.avg("score"), 6).alias("mean_score"))

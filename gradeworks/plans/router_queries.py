@@ -279,3 +279,45 @@ def confidence_sweep(spark: S, d: str) -> DataFrame:
     from .base import runs
 
     return evaluation.confidence_sweep(runs(spark, d, "inference_confidence", "is_correct").where("inference_confidence is not null"), "inference_confidence", "is_correct")
+
+
+@query("SELECT name, kind, holds FROM (VALUES ('oracle', 'least', true), ('gap', 'least', true), ('cheapest_cost', 'most', true), ('missing', 'near', false)) t(name, kind, holds)", base=False)
+def claim_checks(spark: S, d: str) -> DataFrame:
+    """Claims that hold on any input: the oracle beats every router, the cheapest costs no more than the dearest."""
+    from ..operators import results
+
+    rows = router_metrics(spark, d)
+    one = {k: F.max(F.when(F.col("router") == k, F.col("accuracy"))) for k in ("oracle", "tier")}
+    cost = {k: F.max(F.when(F.col("router") == k, F.col("total_cost"))) for k in ("cheapest", "dearest")}
+    wide = rows.agg((one["oracle"] - F.max("accuracy")).alias("oracle"), (one["oracle"] - one["tier"]).alias("gap"), (cost["cheapest"] - cost["dearest"]).alias("cheapest_cost"))
+    figures = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("oracle", "gap", "cheapest_cost")])))
+    claims = [("oracle", "least", 0.0, 1e-9), ("gap", "least", 0.0, 1e-9), ("cheapest_cost", "most", 0.0, 1e-9), ("missing", "near", 0.0, 1.0)]
+    return results.check_claims(figures, claims).select("name", "kind", "holds")
+
+
+_CASCADED = """, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY coalesce(is_correct, false) DESC, tier, cost, config_id) AS r FROM matrix) WHERE r = 1),
+ l AS (SELECT b.sample_id, CASE WHEN b.is_correct THEN b.config_id END AS config_id, coalesce(s.in_anchor_set, false) AS anchor,
+ (SELECT count(*) FROM matrix m WHERE m.sample_id = b.sample_id AND (coalesce(s.in_anchor_set, false) OR NOT coalesce(b.is_correct, false) OR m.tier <= b.tier)) AS calls FROM b LEFT JOIN samples s USING (sample_id))"""
+
+
+@query(_CASCADED + _DOM.replace(", v AS", ", v AS", 1) + " SELECT count(*) AS samples, count(config_id) AS routable, CAST(sum(calls) AS BIGINT) AS calls, round(1 - sum(calls) * 1.0 / (SELECT count(*) FROM matrix), 6) AS calls_saved, round((SELECT sum(violated) * 1.0 / sum(pairs) FROM v), 6) AS violation_rate FROM l")
+def cascade_pipeline(spark: S, d: str) -> DataFrame:
+    """The stages from the matrix to checked labels, each written and read again."""
+    from ..workspace import scratch_path
+    from . import pipeline
+
+    m = matrix(spark, d).select("sample_id", "config_id", "is_correct", "cost", "tier")
+    splits = samples(spark, d, "in_anchor_set").select("sample_id", F.when(F.col("in_anchor_set"), "anchor").otherwise("rest").alias("split"))
+    folder = scratch_path(spark, "cascade")
+    pipeline.run(spark, pipeline.cascade_stages(), folder, {"matrix": m, "splits": splits})
+    return spark.read.parquet(f"{folder}/validated")
+
+
+@query()
+def anchor_selection(spark: S, d: str) -> DataFrame:
+    """150 anchors: minima per task, tier and source, then representatives of all embeddings."""
+    from . import pipeline
+
+    s = samples(spark, d, "task_type", "source_dataset", "has_table", "has_chart").join(notes(spark, d, "tier", "vds", "rds", "ses"), "sample_id")
+    rows = s.where("tier in (1, 2, 3) and task_type is not null and source_dataset is not null").withColumn("task", F.upper(F.trim("task_type")))
+    return pipeline.selected_anchors(rows, 150, [("task", 10), ("tier", 20)])

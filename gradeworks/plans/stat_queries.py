@@ -62,18 +62,15 @@ def latency_regression(spark: S, d: str) -> DataFrame:
     return t.agg(F.round(F.regr_slope("latency_ms", "output_tokens"), 6).alias("slope"), F.round(F.regr_intercept("latency_ms", "output_tokens"), 4).alias("intercept"), F.round(F.regr_r2("latency_ms", "output_tokens"), 6).alias("r2"))
 
 
-@query(""", lik AS (SELECT sample_id, list(is_correct ORDER BY result_id) AS o FROM matrix WHERE model_name IN (SELECT min(model_name) FROM model_configs) AND is_correct IS NOT NULL GROUP BY 1),
- post AS (SELECT sample_id, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(o, lambda y: CASE WHEN y THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END)), lambda a, b: a * b) AS a,
-  list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(o, lambda y: CASE WHEN y THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END)), lambda a, b: a * b) AS b, list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(o, lambda y: CASE WHEN y THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END)), lambda a, b: a * b) AS c FROM lik)
-SELECT sample_id, round((a + 2*b + 3*c) / (a + b + c), 6) AS difficulty FROM post""")
+@query(""", k AS (SELECT sample_id, model_name, count(*) FILTER (WHERE is_correct) AS k, count(*) AS n FROM matrix WHERE is_correct IS NOT NULL GROUP BY 1, 2),
+ p AS (SELECT *, pow(CAST(0.9 AS DOUBLE), k) * pow(CAST(1 AS DOUBLE) - 0.9, n - k) AS a, pow(CAST(0.7 AS DOUBLE), k) * pow(CAST(1 AS DOUBLE) - 0.7, n - k) AS b, pow(CAST(0.3 AS DOUBLE), k) * pow(CAST(1 AS DOUBLE) - 0.3, n - k) AS c FROM k)
+SELECT sample_id, model_name, round((a + 2*b + 3*c) / (a + b + c), 6) AS difficulty FROM p""")
 def bayes_difficulty(spark: S, d: str) -> DataFrame:
-    """Chances of three tiers after the outcomes of one model, as one product per tier."""
-    m = matrix(spark, d)
-    first = table(spark, d, "model_configs").agg(F.min("model_name").alias("model_name"))
-    right = m.where("is_correct is not null").join(F.broadcast(first), "model_name").groupBy("sample_id").agg(F.count_if("is_correct").alias("k"), F.count(F.lit(1)).alias("n"))
+    """Expected tier of every sample after the outcomes of each model, as one product per tier."""
+    right = matrix(spark, d).where("is_correct is not null").groupBy("sample_id", "model_name").agg(F.count_if("is_correct").alias("k"), F.count(F.lit(1)).alias("n"))
     chance = F.array(*[F.pow(F.lit(p), F.col("k")) * F.pow(F.lit(1 - p), F.col("n") - F.col("k")) for p in (0.9, 0.7, 0.3)])
     soft = stats.bayes(F.array(*[F.lit(1.0 / 3)] * 3), [chance])
-    return right.select("sample_id", F.round(stats.expected_rank(soft), 6).alias("difficulty"))
+    return right.select("sample_id", "model_name", F.round(stats.expected_rank(soft), 6).alias("difficulty"))
 
 
 @query("""SELECT label, round(sqrt(sum((x - c) * (x - c)) / count(DISTINCT vec_id)), 5) AS spread FROM (SELECT vec_id, label, i, CAST(x AS DOUBLE) AS x, avg(CAST(x AS DOUBLE)) OVER (PARTITION BY label, i) AS c FROM (
@@ -182,7 +179,8 @@ def near_fingerprint_members(spark: S, d: str) -> DataFrame:
     return similarity.near_members(_fingerprints(spark, d), "sample_id", "h", 8)
 
 
-@query()
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(vec_id || ':42'), vec_id LIMIT 2000)
+SELECT round(sqrt(median(list_sum(list_transform(list_zip(a.e, b.e), lambda z: pow(z[1] - z[2], 2))))), 6) AS sigma FROM v a JOIN v b ON a.vec_id < b.vec_id""", base=False)
 def kernel_width(spark: S, d: str) -> DataFrame:
     return similarity.kernel_width(table(spark, d, "embeddings"), "vec_id", "embedding")
 

@@ -36,15 +36,19 @@ def tier_shifts(spark: S, d: str) -> DataFrame:
     return g.groupBy(F.format_string("T%d->T%d", "a", "b").alias("shift")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(""", last AS (SELECT * FROM judge_scores QUALIFY row_number() OVER (PARTITION BY sample_id, judge_id ORDER BY rated_at DESC, ingested_at DESC) = 1),
- j AS (SELECT a.vds AS v1, b.vds AS v2, a.rds AS r1, b.rds AS r2, a.ses AS s1, b.ses AS s2 FROM last a JOIN last b USING (sample_id) WHERE a.judge_id = 'judge_03' AND b.judge_id = 'judge_06')
-SELECT axis, count(*) AS compared, count(*) FILTER (WHERE x = y) AS equal FROM (SELECT 'vds' AS axis, v1 AS x, v2 AS y FROM j UNION ALL SELECT 'rds', r1, r2 FROM j UNION ALL SELECT 'ses', s1, s2 FROM j) WHERE x BETWEEN 1 AND 4 AND y BETWEEN 1 AND 4 GROUP BY 1""")
+_LAST = """ last AS (SELECT * FROM judge_scores WHERE judge_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample_id, judge_id ORDER BY rated_at DESC, ingested_at DESC) = 1),
+ long AS (SELECT sample_id, judge_id, unnest(['vds', 'rds', 'ses']) AS axis, unnest([vds, rds, ses]) AS score FROM last)"""
+
+
+@query(f"WITH {_LAST} SELECT a.axis, count(*) AS compared, count(*) FILTER (WHERE a.score = b.score) AS equal FROM long a JOIN long b ON a.sample_id = b.sample_id AND a.axis = b.axis AND a.judge_id < b.judge_id WHERE a.score BETWEEN 1 AND 4 AND b.score BETWEEN 1 AND 4 GROUP BY 1", base=False)
 def axis_agreement(spark: S, d: str) -> DataFrame:
-    last = results.last_by(table(spark, d, "judge_scores").select("sample_id", "judge_id", "rated_at", "ingested_at", "vds", "rds", "ses"), ["sample_id", "judge_id"], ["rated_at", "ingested_at"])
-    a, b = (last.where(F.col("judge_id") == j).select("sample_id", *[F.col(x).alias(f"{x}{i}") for x in ("vds", "rds", "ses")]) for i, j in enumerate(("judge_03", "judge_06")))
-    both = F.explode(F.array(*[F.struct(F.lit(x).alias("axis"), F.col(f"{x}0").alias("x"), F.col(f"{x}1").alias("y")) for x in ("vds", "rds", "ses")])).alias("p")
-    long = a.join(b, "sample_id").select(both).select("p.*").where("x between 1 and 4 and y between 1 and 4")
-    return long.groupBy("axis").agg(F.count(F.lit(1)).alias("compared"), F.count_if(F.col("x") == F.col("y")).alias("equal"))
+    """Over all pairs of judges of a sample: how many there are and how many agree, by counts of scores instead of pairs."""
+    last = results.last_by(table(spark, d, "judge_scores").where("judge_id is not null and sample_id is not null").select("sample_id", "judge_id", "rated_at", "ingested_at", "vds", "rds", "ses"), ["sample_id", "judge_id"], ["rated_at", "ingested_at"])
+    long = last.select("sample_id", F.explode(F.array(*[F.struct(F.lit(x).alias("axis"), F.col(x).alias("score")) for x in ("vds", "rds", "ses")])).alias("p")).select("sample_id", "p.*").where("score between 1 and 4")
+    same = long.groupBy("axis", "sample_id", "score").agg(F.count(F.lit(1)).alias("n"))
+    per = same.groupBy("axis", "sample_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("e"))
+    found = per.where("n > 1").groupBy("axis").agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("c"), F.sum("e").alias("e"))
+    return found.select("axis", (F.col("c") / 2).cast("long").alias("compared"), (F.col("e") / 2).cast("long").alias("equal"))
 
 
 _PERM = " UNION ALL ".join(f"SELECT '{a}-{b}-{c}' AS axes, round(corr({a}*CAST(0.3 AS DOUBLE) + {b}*CAST(0.45 AS DOUBLE) + {c}*CAST(0.25 AS DOUBLE), tier), 6) AS correlation FROM g" for a, b, c in (("vds", "rds", "ses"), ("vds", "ses", "rds"), ("rds", "vds", "ses"), ("rds", "ses", "vds"), ("ses", "vds", "rds"), ("ses", "rds", "vds")))

@@ -229,9 +229,9 @@ def json_fields(spark: S, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", leaves["k"].cast("long").alias("k"))
 
 
-@query(r"SELECT sample_id, regexp_extract(lower(image_path), '\.([a-z0-9]+)([?#].*)?$', 1) AS extension FROM samples WHERE image_path IS NOT NULL AND image_path NOT LIKE '%..%'")
+@query(r"SELECT sample_id, regexp_extract(lower(image_path), '\.([a-z0-9]+)([?#].*)?$', 1) AS extension FROM samples WHERE image_path IS NOT NULL")
 def image_extensions(spark: S, d: str) -> DataFrame:
-    return samples(spark, d, "image_path").where("image_path is not null and image_path not like '%..%'").select("sample_id", F.regexp_extract(F.lower("image_path"), r"\.([a-z0-9]+)([?#].*)?$", 1).alias("extension"))
+    return samples(spark, d, "image_path").where("image_path is not null").select("sample_id", F.regexp_extract(F.lower("image_path"), r"\.([a-z0-9]+)([?#].*)?$", 1).alias("extension"))
 
 
 @query(r"""SELECT sample_id, alias FROM (SELECT sample_id, unnest(gt_answer_aliases) AS alias FROM samples) WHERE trim(alias) <> ''""")
