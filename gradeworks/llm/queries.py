@@ -141,11 +141,16 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
+def p9_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of every document that are not blank, as the chunked counts add them up."""
+    return quality.counts(table(spark, d, "documents"), 1 << 13).select("doc_id", F.col("lines").alias("line_count"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         *(p1_found, p1_reliability, p1_agreement, p1_convergence, p2_daily_percentiles, p2_config_percentiles, p2_rank_bounds),
         *(p3_found, p3_splits, p3_split_checks, p4_found, p4_skipping, p5_found, p5_draw, p5_checks, p5_shortfalls, p6_found, p7_found, p7_containers, p7_checks),
-        *(p8_found, p8_cleaned, p9_found, p9_statistics),
+        *(p8_found, p8_cleaned, p9_found, p9_statistics, p9_lines),
     )
 }
