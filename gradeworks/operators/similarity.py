@@ -16,9 +16,13 @@ from ..workspace import materialize
 
 
 def simhash(words: Column) -> Column:
-    """A 64-bit fingerprint of an array of words as 16 hex digits; like texts get like ones."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(F.transform(words, lambda w: F.when(F.getbit(F.xxhash64(w), i) == 1, 1).otherwise(-1)), F.lit(0), lambda s, x: s + x))
-    return F.lpad(F.lower(F.conv(F.array_join(F.transform(F.reverse(bits), lambda b: F.when(b > 0, F.lit("1")).otherwise(F.lit("0"))), ""), 2, 16)), 16, "0")
+    """A 64-bit fingerprint of an array of words as a signed number; like texts get like ones.
+
+    A bit is set where more than half of the words' MD5 hashes have it set.
+    """
+    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 16), 16, -10).cast("long"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
+    return F.conv(F.array_join(F.transform(F.reverse(bits), lambda b: F.when(b > 0, F.lit("1")).otherwise(F.lit("0"))), ""), 2, -10).cast("long")
 
 
 def _blocks_kept(values: int, distance: int, most_keys: int = 500) -> int:

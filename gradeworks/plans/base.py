@@ -32,12 +32,13 @@ matrix AS (
 """
 
 
-def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
+def query(sql: str | None = None, base: bool = True, recursive: bool = False) -> Callable[[Query], Query]:
     """Register a query under its name, with the SQL that gives the same rows."""
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (WITH if base else "") + sql
+            start = WITH.replace("WITH", "WITH RECURSIVE", 1) if recursive else WITH
+            SQL[f.__name__] = (start if base else "") + sql
         return f
 
     return add

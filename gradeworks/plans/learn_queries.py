@@ -103,7 +103,11 @@ def mean_baselines(spark: S, d: str) -> DataFrame:
     return found.select("result_id", "is_correct", *[F.round(c, 6).alias(c) for c in ("global", "by_sample_id", "by_config_id")])
 
 
-@query()
+@query(""", p AS (SELECT m.sample_id, coalesce(bool_or(is_correct AND m.tier = 1), false) AS t1, coalesce(bool_or(is_correct AND m.tier = 2), false) AS t2, coalesce(bool_or(is_correct AND m.tier = 3), false) AS t3, max(n.composite) AS s FROM matrix m JOIN notes n USING (sample_id) GROUP BY 1),
+ span AS (SELECT min(s) AS low, max(s) AS high FROM p), c AS (SELECT least(19, CAST(floor((s - low) / greatest(high - low, 1e-12) * 20) AS INT)) AS c, t1, t2, t3 FROM p, span WHERE s IS NOT NULL),
+ cuts AS (SELECT i, j FROM (SELECT unnest(range(21)) AS i) a JOIN (SELECT unnest(range(21)) AS j) b ON j >= i),
+ hits AS (SELECT i, j, sum(CASE WHEN c < i THEN t1::INT WHEN c < j THEN t2::INT ELSE t3::INT END) AS h, count(*) AS n FROM c, cuts GROUP BY 1, 2)
+SELECT round(low + i * ((high - low) / 20), 6) AS first_cut, round(low + j * ((high - low) / 20), 6) AS second_cut, round(h / CAST(n AS DOUBLE), 6) AS accuracy FROM hits, span ORDER BY h DESC, i, j LIMIT 1""")
 def threshold_router(spark: S, d: str) -> DataFrame:
     right = F.coalesce(F.col("is_correct"), F.lit(False))
     per = matrix(spark, d).groupBy("sample_id").agg(*[F.bool_or(right & (F.col("tier") == t)).alias(f"t{t}") for t in (1, 2, 3)])

@@ -164,16 +164,28 @@ def neighbour_vote(spark: S, d: str) -> DataFrame:
 
 def _fingerprints(spark: S, d: str) -> DataFrame:
     words = F.array_distinct(F.split(F.lower("query"), r"\s+"))
-    return samples(spark, d, "query").where("query is not null").select("sample_id", F.conv(similarity.simhash(words), 16, -10).cast("long").alias("h"))
+    return samples(spark, d, "query").where("query is not null").select("sample_id", similarity.simhash(words).alias("h"))
 
 
-@query()
+_PRINTS = r""", words AS (SELECT sample_id, unnest(list_distinct(regexp_split_to_array(lower(query), '\s+'))) AS w FROM samples WHERE query IS NOT NULL),
+ halves AS (SELECT sample_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) AS hi, CAST(('0x' || substr(md5(w), 9, 8)) AS BIGINT) AS lo FROM words),
+ bits AS (SELECT sample_id, i, sum(CASE WHEN ((CASE WHEN i >= 32 THEN hi ELSE lo END) >> (i % 32)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM halves, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2),
+ prints AS (SELECT sample_id, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS h FROM (SELECT sample_id, sum(CASE WHEN s > 0 THEN CAST(pow(2, i) AS HUGEINT) ELSE 0 END) AS u FROM bits GROUP BY 1)),
+ links AS (SELECT a.h AS a, b.h AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM (SELECT DISTINCT h FROM prints) a JOIN (SELECT DISTINCT h FROM prints) b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 8)"""
+
+
+@query(_PRINTS + " SELECT a, b, distance FROM links")
 def near_fingerprints(spark: S, d: str) -> DataFrame:
     """Links between the fingerprints of different queries that differ in up to 8 of 64 bits."""
     return similarity.near_hashes(_fingerprints(spark, d), "sample_id", "h", 8)
 
 
-@query()
+@query(
+    (_PRINTS + """, ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(v, r) AS (SELECT DISTINCT a, a FROM ways UNION SELECT x.v, y.b FROM reach x JOIN ways y ON x.r = y.a),
+ classes AS (SELECT v, min(r) AS c FROM reach GROUP BY 1), counts AS (SELECT a, count(*) AS n FROM ways GROUP BY 1)
+SELECT p.sample_id, p.h AS fingerprint, coalesce(c.c, p.h) AS class, coalesce(n.n, 0) AS links FROM prints p LEFT JOIN classes c ON c.v = p.h LEFT JOIN counts n ON n.a = p.h"""),
+    recursive=True,
+)
 def near_fingerprint_members(spark: S, d: str) -> DataFrame:
     """Per sample its fingerprint, its class over those links and how many links its fingerprint has."""
     return similarity.near_members(_fingerprints(spark, d), "sample_id", "h", 8)

@@ -29,7 +29,7 @@ def stream_flags(spark: S, d: str) -> DataFrame:
     return monitor.run_to_end(found, "append", "flags")
 
 
-@query()
+@query("SELECT start, event_type, n, total FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE", base=False)
 def stream_windows(spark: S, d: str) -> DataFrame:
     """Windows that the watermark has closed by the end of the log."""
     return monitor.run_to_end(monitor.windowed_counts(_events(spark, d), "ts", "event_type", "value"), "append", "windows")

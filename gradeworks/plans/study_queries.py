@@ -121,7 +121,15 @@ def seed_sample(spark: S, d: str) -> DataFrame:
     return studies.seeds(g, ["tier", "task"], 60, "sample_id")
 
 
-@query()
+_MINIMA = """, g AS (SELECT n.sample_id, n.tier, upper(trim(s.task_type)) AS task, s.source_dataset, md5(n.sample_id || ':42') AS h FROM notes n JOIN samples s USING (sample_id) WHERE n.tier IN (1,2,3) AND s.task_type IS NOT NULL AND s.source_dataset IS NOT NULL),
+ a AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY task ORDER BY h, sample_id) <= 10),
+ b AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY h, sample_id) AS r FROM g WHERE sample_id NOT IN (SELECT sample_id FROM a)) f WHERE r <= 25 - (SELECT count(*) FROM a WHERE a.tier = f.tier)),
+ ab AS (SELECT sample_id, tier, task, source_dataset FROM a UNION ALL SELECT sample_id, tier, task, source_dataset FROM b),
+ c AS (SELECT f.* FROM (SELECT *, row_number() OVER (PARTITION BY source_dataset ORDER BY h, sample_id) AS r FROM g WHERE sample_id NOT IN (SELECT sample_id FROM ab)) f WHERE r <= 5 - (SELECT count(*) FROM ab WHERE ab.source_dataset = f.source_dataset))
+SELECT * FROM ab UNION ALL SELECT sample_id, tier, task, source_dataset FROM c"""
+
+
+@query(_MINIMA)
 def constrained_sample(spark: S, d: str) -> DataFrame:
     g = notes(spark, d, "tier").where("tier in (1,2,3)").select("sample_id", "tier").join(samples(spark, d, "task_type", "source_dataset").where("task_type is not null and source_dataset is not null").select("sample_id", F.upper(F.trim("task_type")).alias("task"), "source_dataset"), "sample_id")
     return studies.constrained(g, [("task", 10), ("tier", 25), ("source_dataset", 5)], "sample_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, scores, text
+from ..functions import text as text_functions
 from ..sources.tables import table
 from .base import query, runs, samples
 
@@ -164,7 +165,22 @@ def grade_answers(spark: S, d: str) -> DataFrame:
     return r.join(s.where("correctness_metric is not null"), "sample_id").select("result_id", "is_correct", graded.alias("graded"))
 
 
-@query()
+def _extracted() -> str:
+    text = _STRIP.format("regexp_replace(" + _STRIP.format("regexp_replace(coalesce(predicted_answer, ''), '<think>.*?</think>', '', 'gis')") + r", '\*\*|__', '', 'g')")
+    forms = (r"^(?:the\s+)?(?:final\s+)?answer\s*(?:is\s*:?|:)\s*", r"^ans(?:wer)?\s*:\s*", r"^a\s*:\s*", r"^looking at (?:the )?[^,]{1,60},\s*", r"^(?:based on|according to) [^,]{1,60},\s*", r"^(?:it is|this is|that is)\s+", r"^result\s*:\s*")
+    bare = "line"
+    for form in forms:
+        bare = f"regexp_replace({bare}, '{form}', '', 'i')"
+    listed = f"list_filter(list_transform(regexp_split_to_array(t, '\\r?\\n'), lambda x: {_STRIP.format('x')}), lambda x: x <> '')"
+    binary = ", ".join(f"'{b}'" for b in text_functions.BINARY)
+    head = _STRIP.format("regexp_extract(bare, '^([^,.;!?]*)[,.;!?]', 1)")
+    return f""", raw AS (SELECT result_id, {text} AS t FROM runs WHERE result_type = 'observed'),
+ lines AS (SELECT result_id, CASE WHEN starts_with(t, '{{') AND json_valid(t) THEN json_extract_string(t, '$.answer') END AS boxed, coalesce({listed}[1], '') AS line FROM raw),
+ bares AS (SELECT result_id, boxed, {_STRIP.format(bare)} AS bare FROM lines)
+SELECT result_id, regexp_replace(coalesce(boxed, CASE WHEN lower({head}) IN ({binary}) THEN {head} ELSE bare END), '^["''`]+|["''`]+$', '', 'g') AS answer FROM bares"""
+
+
+@query(_extracted())
 def extracted_answers(spark: S, d: str) -> DataFrame:
     r = runs(spark, d, "result_type", "predicted_answer").where("result_type = 'observed'")
     return r.select("result_id", text.extract_answer(F.col("predicted_answer")).alias("answer"))
