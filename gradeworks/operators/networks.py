@@ -92,8 +92,8 @@ def choice_and_budget_loss(models: int, target: str, budgets: str, row_weight: s
         value = float(-(own * known * np.log(np.maximum(p[np.arange(len(y)), at], 1e-12))).sum())
         p[np.arange(len(y)), at] -= 1
         want = np.stack(frame[budgets].to_numpy()).astype(float)
-        off = np.where(np.isnan(want), 0.0, out[:, models:] - np.nan_to_num(want)) * own[:, None]
-        return value + share * float((off * off).sum()), np.concatenate([p * (own * known)[:, None], 2 * share * off], axis=1)
+        off = np.where(np.isnan(want), 0.0, out[:, models:] - np.nan_to_num(want))
+        return value + share * float((own[:, None] * off * off).sum()), np.concatenate([p * (own * known)[:, None], 2 * share * own[:, None] * off], axis=1)
 
     return loss
 
