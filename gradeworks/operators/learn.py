@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import outer_product
+from .sampling import ranked_in_groups
 
 
 def held_out(identity: Column, share: float, seed: int) -> Column:
@@ -99,13 +100,19 @@ def first_correct_budget(matrix: DataFrame, key: str = "sample_id") -> DataFrame
 def factor_completion(observed: DataFrame, target: DataFrame, label: str, rank: int = 8, rounds: int = 10, seed: int = 42) -> DataFrame:
     """``target`` with ``chance`` from low-rank factors of samples and configurations.
 
-    Ids are hashed to the 31 bits that the factorisation takes; a sample or configuration that was
+    Ids get dense numbers, since the factorisation takes 31 bits; a sample or configuration that was
     never observed has the mean of the observed labels.
     """
+    seen = observed.where(F.col(label).isNotNull())
+    # One row per id: its place among all, by ranges of ids, without one task that sees them all.
+    numbers = {c: ranked_in_groups(seen.where(F.col(c).isNotNull()).select(c).distinct().withColumn("__all", F.lit(1)), ["__all"], [F.col(c)]).select(F.col(c).alias(f"__id_{c}"), F.col("__rank").cast("int").alias(f"__{c}")) for c in ("sample_id", "config_id")}
+
     def numbered(df: DataFrame) -> DataFrame:
-        return df.withColumns({f"__{c}": F.pmod(F.xxhash64(c), F.lit((1 << 31) - 1)).cast("int") for c in ("sample_id", "config_id")})
+        for c, ids in numbers.items():
+            df = df.join(ids, F.col(c) == F.col(f"__id_{c}"), "left").withColumn(f"__{c}", F.coalesce(f"__{c}", F.lit(-1))).drop(f"__id_{c}")
+        return df
 
-    known = numbered(observed.where(F.col(label).isNotNull())).select("__sample_id", "__config_id", F.col(label).cast("float").alias("__y"))
+    known = numbered(seen).select("__sample_id", "__config_id", F.col(label).cast("float").alias("__y"))
     if known.isEmpty():
         return target.withColumn("chance", F.lit(None).cast("double"))
     mean = known.agg(F.avg("__y").alias("__mean"))

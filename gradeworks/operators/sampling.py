@@ -64,7 +64,7 @@ def proportional(df: DataFrame, stratum: str, size: int, order: Sequence[Column
     left = F.greatest(F.lit(0), F.lit(size) - F.col("__before"))
     quotas = shared.select(stratum, F.when(F.col("__total") <= size, F.col("__n")).otherwise(F.least(F.when(F.col("__last"), left).otherwise(F.col("__raw")), F.col("__n"), left)).alias("__quota"))
     ranked = Window.partitionBy(stratum).orderBy(*order)
-    return df.join(F.broadcast(quotas), stratum).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= F.lit(size)).where(F.col("__rank") <= F.col("__quota")).select(*df.columns)
+    return df.join(quotas, stratum).withColumn("__rank", F.row_number().over(ranked)).where(F.col("__rank") <= F.lit(size)).where(F.col("__rank") <= F.col("__quota")).select(*df.columns)
 
 
 def stratified(df: DataFrame, strata: Sequence[str], share: float, identity: str, seed: int = 42) -> DataFrame:
