@@ -20,9 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import materialize
+from ..workspace import forget, materialize
 from .dedupe import last_delivery
 from .quality import COMMON
+from .refusals import ANSWERS, EXAMPLES, RefusalModel, features
 from .text import words
 
 #: Frequent words of languages of which the documents hold no texts.
@@ -45,7 +46,7 @@ LEXICON = {
 #: Queries that ask for what is printed, word for word.
 QUOTES = re.compile(r"exactly as (?:it is )?(?:printed|written)|as (?:they|it) stands?\b|\bquote\b|\bverbatim\b|word for word|what does the (?:notice|sign|label|note|stamp)\b.*\bsay|what is (?:written|printed) (?:in|on|above|below|under|beside)|wortwörtlich|im wortlaut|mot à mot|textuellement|tal cual|literalmente|al pie de la letra", re.I)
 _TASK = r"(?:help|assist|answer|determine|read|view|see|provide|give|transcribe|access|process|identify|tell|say|guess|extract|share|comply|make out|do (?:that|this)|open|look|discuss|disclose|respond|complete|fulfil|analy[sz]e|recogni[sz]e|describe|reveal|state|report|name|decline|interpret|confirm|offer|supply)"
-#: How models decline, by language.
+#: A plain form in which models decline, which labels responses for the classifier and is one of its features.
 REFUSALS = re.compile(
     r"\bi(?:['’]m| am| was|['’]d)?\s+(?:sorry[,.]?\s+)?(?:but\s+)?(?:i\s+)?(?:afraid\s+)?(?:(?:can(?:no|['’])?t|can not|cannot|could not|couldn['’]t|won['’]t|will not|would not|wouldn['’]t|am not able to|['’]m not able to|not able to|unable to|am unable to|do not wish to|don['’]t want to|must decline to|must refuse to|(?:have to|need to) (?:decline|refuse)|decline to|refuse to|rather not|would rather not|prefer not to|not allowed to|not permitted to|not in a position to|not comfortable)\s*(?:really\s+|currently\s+|reliably\s+|to\s+)?" + _TASK + r"\b)"
     r"|\bi(?:['’]m| am) (?:not comfortable|not authori[sz]ed)\b"
@@ -285,15 +286,30 @@ def other_language(found: list[str], asked: np.ndarray, said: np.ndarray, margin
     return not shared.any()
 
 
-#: Words of which a refusal has at least one: a cheap test before the patterns.
+#: Words of which a response in that form has at least one: a cheap test before the patterns.
 _HINTS = frozenset("i me i'm i’m i'd i’d i've my ai assistant ich mir je j no puedo prefiero debo imposible posible я не non não ik m'est m’est".split())
 
 
+def has_form(core: str) -> bool:
+    """Whether a response has the plain form of declining."""
+    return (not _HINTS.isdisjoint(core.lower().split()) or not core.isascii()) and REFUSALS.search(core) is not None
+
+
+def refusal_features(core: str) -> set[str]:
+    """The features of a response for the classifier of refusals."""
+    return features(tokens(core.replace("’", "'")), has_form(core))
+
+
+def example_features() -> tuple[list[set[str]], list[set[str]]]:
+    """The features of the labelled examples: refusals and answers."""
+    return tuple([refusal_features(text) for texts in listed.values() for text in texts] for listed in (EXAMPLES, ANSWERS))
+
+
 class Tester:
     """Finds the defect of pairs; keeps what it learnt about texts and queries it met before."""
 
-    def __init__(self, ends: EndModel, model: LanguageModel, keep: int = 50_000) -> None:
-        self.ends, self.model, self.keep = ends, model, keep
+    def __init__(self, ends: EndModel, model: LanguageModel, refusals: RefusalModel, keep: int = 50_000) -> None:
+        self.ends, self.model, self.refusals, self.keep = ends, model, refusals, keep
         self.texts: dict[str | None, tuple] = {}
         self.queries: dict[str, tuple] = {}
 
@@ -304,8 +320,7 @@ class Tester:
             if is_empty(core):
                 known = (core, "empty", False, [], None)
             else:
-                hinted = not _HINTS.isdisjoint(core.lower().split()) or not core.isascii()
-                refused = hinted and REFUSALS.search(core) is not None
+                refused = self.refusals.declines(refusal_features(core))
                 found = language_words(core)
                 known = (core, "refusal" if refused else None, broken or self.ends.breaks_off(core), found, self.model.score(found) if found else None)
             if len(self.texts) >= self.keep:
@@ -335,9 +350,8 @@ class Tester:
         quotes, theirs, asked = self._query(query or "")
         look = page_key(core) if quotes else None
         if quotes and page is not None:
-            own, refused, *_ = self._text(page)
-            own = page_key(own)
-            if len(own) > 2 and not refused:
+            own = page_key(self._text(page)[0])
+            if len(own) > 2 and not has_form(own):
                 if look == own:
                     return None, None
                 bare = re.sub(re.escape(own), "Value", core, flags=re.I)
@@ -461,6 +475,38 @@ def fit_ends(texts: DataFrame, text: str, most: int = 4, least: int = 15) -> End
     return EndModel.of_counts(*counts["end"], *counts["start"], most, least)
 
 
+def fit_refusals(responses: DataFrame, correct: int = 20_000, wrong: int = 200_000) -> RefusalModel:
+    """The classifier of refusals, from a bounded sample of labelled responses.
+
+    ``responses`` has response and right.  Answers are distinct responses marked correct; refusals are
+    distinct responses never marked correct that have the plain form of declining; ``correct`` and
+    ``wrong`` bound how many of either are looked at, those with the smallest hashes.  Features are
+    counted in the cluster.
+    """
+    texts = responses.where(F.col("response").isNotNull() & (F.col("response") != "")).groupBy("response").agg(F.max(F.coalesce("right", F.lit(False))).alias("right"))
+    texts = materialize(texts, "responses")
+    picked = smallest_hashes(texts.where("right"), "response", correct).unionByName(smallest_hashes(texts.where("not right"), "response", wrong))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            seen: dict[str, Counter] = {"refused": Counter(), "answered": Counter()}
+            for text, right in zip(frame["response"], frame["right"], strict=True):
+                core, _ = unwrap(text)
+                if core and right != has_form(core):
+                    kind = "answered" if right else "refused"
+                    seen[kind].update(refusal_features(core))
+                    seen[kind]["\x1d"] += 1
+            yield pd.DataFrame([(kind, g, n, 0) for kind, c in seen.items() for g, n in c.items()], columns=COUNTED.names)
+
+    counts: dict[str, Counter] = {"refused": Counter(), "answered": Counter()}
+    for kind, key, n in picked.select("response", "right").mapInPandas(count, COUNTED).groupBy("kind", "key").agg(F.sum("n")).collect():
+        counts[kind][key] = n
+    forget(texts)
+    refused, answered = counts["refused"], counts["answered"]
+    n, m = refused.pop("\x1d", 0), answered.pop("\x1d", 0)
+    return RefusalModel.of(refused, answered, n, m, example_features())
+
+
 FOUND = T.StructType([T.StructField(c, T.StringType()) for c in ("origin", "pair_key", "defect", "look")])
 
 
@@ -471,10 +517,10 @@ def pairs(samples: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]
     inferred results are no pairs.
     """
     gold = last_delivery(samples.where(F.col("sample_id").isNotNull()), ["sample_id"], ["ingested_at"], ["sample_id", "query", "gt_answer"])
-    runs = last_delivery(results.where((F.col("result_type") == "observed") & F.col("result_id").isNotNull()), ["result_id"], ["ingested_at"], ["result_id", "sample_id", "predicted_answer"])
+    runs = last_delivery(results.where((F.col("result_type") == "observed") & F.col("result_id").isNotNull()), ["result_id"], ["ingested_at"], ["result_id", "sample_id", "predicted_answer", "is_correct"])
     asked = runs.join(gold, "sample_id")
-    one = gold.select(F.lit("gold").alias("origin"), F.col("sample_id").alias("pair_key"), "query", F.col("gt_answer").alias("response"), F.lit(None).cast("string").alias("page"))
-    two = asked.select(F.lit("run").alias("origin"), F.col("result_id").cast("string").alias("pair_key"), "query", F.col("predicted_answer").alias("response"), F.when(_quoting(F.col("query")), F.col("gt_answer")).alias("page"))
+    one = gold.select(F.lit("gold").alias("origin"), F.col("sample_id").alias("pair_key"), "query", F.col("gt_answer").alias("response"), F.lit(None).cast("string").alias("page"), F.lit(None).cast("boolean").alias("right"))
+    two = asked.select(F.lit("run").alias("origin"), F.col("result_id").cast("string").alias("pair_key"), "query", F.col("predicted_answer").alias("response"), F.when(_quoting(F.col("query")), F.col("gt_answer")).alias("page"), F.col("is_correct").alias("right"))
     return one, two
 
 
@@ -490,7 +536,7 @@ def page_texts(samples: DataFrame) -> DataFrame:
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [page_key(unwrap(t)[0]) for t in frame["gt_answer"]]
-            yield pd.DataFrame({"look": [k for k in found if len(k) > 2 and not REFUSALS.search(k)]}, dtype=object)
+            yield pd.DataFrame({"look": [k for k in found if len(k) > 2 and not has_form(k)]}, dtype=object)
 
     return borne.mapInPandas(keys, "look string").distinct()
 
@@ -499,7 +545,7 @@ def broken_pairs(samples: DataFrame, results: DataFrame, documents: DataFrame) -
     """``(origin, pair_key, defect)`` of every broken pair, at most one defect each.
 
     The end model is fitted on the responses of all pairs, the language model extended by all their
-    queries.  In answers to queries that ask for a quotation, what the sample's own gold answer says
+    queries, the classifier of refusals fitted on a bounded sample of labelled responses.  In answers to queries that ask for a quotation, what the sample's own gold answer says
     counts as a name; a response that is itself a page text, being the gold answer of several such
     queries, is no case.  Page texts are met by a join of the few pairs found with all of them.
     Every pair is tested, a null query like an empty one.
@@ -509,15 +555,17 @@ def broken_pairs(samples: DataFrame, results: DataFrame, documents: DataFrame) -
     both = materialize(one.unionByName(two), "pairs")
     ends = fit_ends(both, "response")
     model = with_queries(training_words(documents), samples.select("query"))
+    refusals = fit_refusals(both.where("origin = 'run'").select("response", "right"))
     # As plain values, since a broadcast travels without this package.
-    shared = spark.sparkContext.broadcast((ends.__dict__, {"names": model.names, "unseen": model.unseen, "logs": model.logs}))
+    shared = spark.sparkContext.broadcast((ends.__dict__, {"names": model.names, "unseen": model.unseen, "logs": model.logs}, refusals.__dict__))
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end_state, model_state = shared.value
-        ends, model = EndModel.__new__(EndModel), LanguageModel.__new__(LanguageModel)
+        end_state, model_state, refusal_state = shared.value
+        ends, model, refusals = EndModel.__new__(EndModel), LanguageModel.__new__(LanguageModel), RefusalModel.__new__(RefusalModel)
         ends.__dict__.update(end_state)
         model.__dict__.update(model_state, words={})
-        tester = Tester(ends, model)
+        refusals.__dict__.update(refusal_state)
+        tester = Tester(ends, model, refusals)
         for frame in frames:
             told = [tester.defect(q, t, p) for q, t, p in zip(frame["query"], frame["response"], frame["page"], strict=True)]
             found = pd.DataFrame({"origin": frame["origin"], "pair_key": frame["pair_key"], "defect": [d for d, _ in told], "look": [x for _, x in told]}, dtype=object)

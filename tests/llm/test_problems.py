@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -283,7 +284,11 @@ def tester():
     words = {"en": ("the shown on page is answer what which price date count unit due of printed give read and report " * 30).split(), "de": ("der die das auf dem dokument steht welche angabe zeigt blatt in letzten zeile wert " * 30).split()}
     for lang, listed in pairs.LEXICON.items():
         words.setdefault(lang, []).extend(listed.split() * 3)
-    return pairs.Tester(pairs.EndModel(texts), pairs.LanguageModel(words))
+    answered = Counter(g for t in texts for g in pairs.refusal_features(t))
+    declined = [f"{a} {b} the {c}." for a in ("I cannot", "I'm sorry, but I cannot", "I am unable to") for b in ("read", "see", "describe") for c in ("image", "page", "table", "form")]
+    refused = Counter(g for t in declined for g in pairs.refusal_features(t))
+    refusals = pairs.RefusalModel.of(refused, answered, len(declined), len(texts), pairs.example_features())
+    return pairs.Tester(pairs.EndModel(texts), pairs.LanguageModel(words), refusals)
 
 
 @pytest.mark.parametrize(
@@ -305,6 +310,10 @@ def tester():
         ("What does the notice beside the page say?", "Nur für den internen Gebrauch", None),
         ("What does the notice beside the page say?", "We are unable to accept cash", None),
         ("What does the notice beside the page say?", "I cannot read the notice.", "refusal"),
+        ("What is the unit price shown on the page?", "Nie mogę odpowiedzieć na to pytanie, bo obraz jest zbyt ciemny.", "refusal"),
+        ("What is the unit price shown on the page?", "Üzgünüm, bu soruyu yanıtlayamam.", "refusal"),
+        ("What is the unit price shown on the page?", "我无法回答这个问题", "refusal"),
+        ("What is the unit price shown on the page?", "Jag kan inte svara på frågan.", "refusal"),
         (None, "memo", None),
         ("", "", "empty"),
     ],
@@ -316,7 +325,7 @@ def test_defects(tester, query, text, want):
 
 def test_broken_pairs_on_nulls_and_empty_tables(spark):
     samples = spark.createDataFrame([("a", "What is it?", None, DAY), ("b", None, "x", DAY), (None, "q", "x", DAY)], "sample_id string, query string, gt_answer string, ingested_at timestamp")
-    results = spark.createDataFrame([(1, "a", "", "observed", DAY), (2, "zz", "", "observed", DAY), (3, "a", None, "inferred", DAY), (1, "a", "5", "observed", DAY - datetime.timedelta(1))], "result_id long, sample_id string, predicted_answer string, result_type string, ingested_at timestamp")
+    results = spark.createDataFrame([(1, "a", "", "observed", DAY), (2, "zz", "", "observed", DAY), (3, "a", None, "inferred", DAY), (1, "a", "5", "observed", DAY - datetime.timedelta(1))], "result_id long, sample_id string, predicted_answer string, result_type string, ingested_at timestamp").withColumn("is_correct", F.lit(None).cast("boolean"))
     documents = spark.createDataFrame([(1, None, "en"), (2, "the page is the page", " EN")], "doc_id long, text string, lang string")
     got = {tuple(r) for r in pairs.broken_pairs(samples, results, documents).collect()}
     assert got == {("gold", "a", "empty"), ("run", "1", "empty")}
@@ -328,16 +337,16 @@ def test_page_texts_are_no_cases_however_many(spark):
     ids = spark.range(6000)
     pages = F.concat(F.lit("We cannot accept bill number "), F.floor(F.col("id") / 2), F.lit(" und das ist nicht mein Problem"))
     samples = ids.select(F.concat(F.lit("s"), "id").alias("sample_id"), F.lit("What is written in the box exactly as printed?").alias("query"), pages.alias("gt_answer"), F.lit(DAY).alias("ingested_at"))
-    results = ids.select(F.col("id").alias("result_id"), F.concat(F.lit("s"), (F.col("id") + 2) % 6000).alias("sample_id"), pages.alias("predicted_answer"), F.lit("observed").alias("result_type"), F.lit(DAY).alias("ingested_at"))
+    results = ids.select(F.col("id").alias("result_id"), F.concat(F.lit("s"), (F.col("id") + 2) % 6000).alias("sample_id"), pages.alias("predicted_answer"), F.lit("observed").alias("result_type"), F.lit(DAY).alias("ingested_at"), F.lit(True).alias("is_correct"))
     documents = spark.createDataFrame([(2, "the page is the page", "en")], "doc_id long, text string, lang string")
-    refused = spark.createDataFrame([(9000, "s1", "I cannot answer that.", "observed", DAY)], results.schema)
+    refused = spark.createDataFrame([(9000, "s1", "I cannot answer that.", "observed", DAY, False)], results.schema)
     assert [tuple(r) for r in pairs.broken_pairs(samples, results.unionByName(refused), documents).collect()] == [("run", "9000", "refusal")]
 
 
 def test_end_model_counts_every_response(spark):
     """21 of 200,000 responses have this context: a sample of them would not know it."""
     rare = F.when(F.col("id") < 20, "see the zorp marked below now").when(F.col("id") == 20, "see the zorp").otherwise("The answer is 5.")
-    results = spark.range(200_000).select(F.col("id").alias("result_id"), F.lit("a").alias("sample_id"), rare.alias("predicted_answer"), F.lit("observed").alias("result_type"), F.lit(DAY).alias("ingested_at"))
+    results = spark.range(200_000).select(F.col("id").alias("result_id"), F.lit("a").alias("sample_id"), rare.alias("predicted_answer"), F.lit("observed").alias("result_type"), F.lit(DAY).alias("ingested_at"), F.lit(True).alias("is_correct"))
     samples = spark.createDataFrame([("a", "What is it?", "5", DAY)], "sample_id string, query string, gt_answer string, ingested_at timestamp")
     documents = spark.createDataFrame([(2, "the page is the page", "en")], "doc_id long, text string, lang string")
     assert [tuple(r) for r in pairs.broken_pairs(samples, results, documents).collect()] == [("run", "20", "truncated")]
