@@ -89,17 +89,18 @@ def _bag(t: str) -> str:
     return f"list_filter(string_split({_SQUEEZE.format(plain)}, ' '), lambda w: w <> '')"
 
 
-@query(_PAIR + f""", bags AS (SELECT result_id, {_bag('p')} AS a, {_bag('g')} AS b FROM graded WHERE m = 'field_f1' AND p NOT LIKE '{{%' AND g NOT LIKE '{{%' AND p NOT LIKE '[%'),
+def _leaves(t: str) -> str:
+    """The leaf values of JSON with spaces between; any other text as it is."""
+    told = "CASE j.type WHEN 'NULL' THEN '' WHEN 'BOOLEAN' THEN CASE WHEN CAST(j.atom AS VARCHAR) = 'true' THEN 'True' ELSE 'False' END ELSE json_extract_string(j.atom, '$') END"
+    is_json = f"(regexp_matches({t}, '^\\s*[\\[{{]') AND json_valid({t}))"
+    return f"CASE WHEN {is_json} THEN coalesce((SELECT string_agg({told}, ' ' ORDER BY j.id) FROM json_tree(CASE WHEN {is_json} THEN {t} ELSE 'null' END) j WHERE j.type NOT IN ('OBJECT', 'ARRAY')), '') ELSE {t} END"
+
+
+@query(_PAIR + f""", plain AS (SELECT result_id, {_leaves('p')} AS p, {_leaves('g')} AS g FROM graded WHERE m = 'field_f1'), bags AS (SELECT result_id, {_bag('p')} AS a, {_bag('g')} AS b FROM plain),
  s AS (SELECT result_id, len(a) AS x, len(b) AS y, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda v: v = w)), len(list_filter(b, lambda v: v = w))))) AS c FROM bags)
 SELECT result_id, round(CASE WHEN x = 0 AND y = 0 THEN 1.0 WHEN coalesce(c, 0) = 0 THEN 0.0 ELSE 2.0 * c / (x + y) END, 6) AS score FROM s""")
 def score_field_f1(spark: S, d: str) -> DataFrame:
-    g = _graded(spark, d).where("m = 'field_f1' and p not like '{%' and g not like '{%' and p not like '[%'")
-    return g.select("result_id", F.round(scores.word_f1(F.col("p"), F.col("g")), 6).alias("score"))
-
-
-@query()
-def score_field_f1_all(spark: S, d: str) -> DataFrame:
-    """Every pair, JSON among them, of which the words of the leaves count; SQL lacks that rule."""
+    """Every pair; of JSON the words of the leaves count."""
     g = _graded(spark, d).where("m = 'field_f1'").withColumns({c: scores.leaf_text(F.col(c)) for c in ("p", "g")})
     return g.select("result_id", F.round(scores.bag_f1(scores.plain_words(F.col("p")), scores.plain_words(F.col("g"))), 6).alias("score"))
 
@@ -219,7 +220,34 @@ def prior_tiers(spark: S, d: str) -> DataFrame:
     return p.select("sample_id", rds.alias("rds_est"), ses.alias("ses_est"), out.alias("tier_prior"))
 
 
-@query()
+def _soft() -> str:
+    def num(x: float) -> str:
+        return f"CAST({x} AS DOUBLE)"
+
+    low, high = map(num, features.BOUNDS)
+    (a1, b1, c1), (f2, m2, l2), (c3, b3, a3) = (tuple(map(num, features.BASE[t])) for t in (1, 2, 3))
+
+    def top(own: str, distance: str) -> str:
+        return f"least({num(0.95)}, greatest({num(0.5)}, {own} + least({num(0.1)}, greatest({num(-0.1)}, ({distance}) * {num(0.1)}))))"
+
+    def move(gap: str) -> str:
+        return f"CASE WHEN {gap} < 0.5 THEN least({num(0.1)}, ({num(0.5)} - ({gap})) * {num(0.2)}) ELSE {num(0)} END"
+
+    def part(which: str, share: str) -> str:
+        return f"round((1.0 - {which}) * ({share}), 4)"
+
+    raised = ", ".join(f"CASE WHEN {m} > 0 THEN least({num(0.4)}, {b} + {m}) ELSE {b} END AS {n}" for m, b, n in (("to_low", f2, "first"), ("to_high", l2, "last")))
+    return f""", p AS ({_PRIOR}), c AS (SELECT sample_id, CAST(round(0.30*vds + 0.45*rds + 0.25*ses, 4) AS DOUBLE) AS s FROM p),
+ t AS (SELECT *, CASE WHEN s < {low} THEN 1 WHEN s < {high} THEN 2 ELSE 3 END AS tier, {top(a1, f"{low} - s")} AS top1, {top(a3, f"s - {high}")} AS top3, {move(f"s - {low}")} AS to_low, {move(f"{high} - s")} AS to_high FROM c),
+ u AS (SELECT *, {raised}, CASE WHEN to_low > 0 THEN greatest({num(0.4)}, {m2} - to_low) ELSE {m2} END AS once FROM t),
+ v AS (SELECT *, CASE WHEN to_high > 0 THEN greatest({num(0.4)}, once - to_high) ELSE once END AS middle FROM u),
+ w AS (SELECT sample_id, tier, CASE tier WHEN 1 THEN [top1, {part("top1", f"{b1} / ({b1} + {c1})")}, {part("top1", f"{c1} / ({b1} + {c1})")}] WHEN 2 THEN [first, middle, last]
+  ELSE [{part("top3", f"{c3} / ({b3} + {c3})")}, {part("top3", f"{b3} / ({b3} + {c3})")}, top3] END AS x FROM v),
+ y AS (SELECT sample_id, tier, [round(x[1] / (x[1] + x[2] + x[3]), 4), round(x[2] / (x[1] + x[2] + x[3]), 4), round(x[3] / (x[1] + x[2] + x[3]), 4)] AS q FROM w)
+SELECT sample_id, tier, [round(q[i] + CASE WHEN i = list_position(q, list_max(q)) THEN round(1.0 - (q[1] + q[2] + q[3]), 4) ELSE 0 END, 4) FOR i IN [1, 2, 3]] AS soft FROM y"""
+
+
+@query(_soft())
 def soft_tiers(spark: S, d: str) -> DataFrame:
     """Chances of the three tiers from the prior scores."""
     c = features.composite(F.col("vds"), F.col("rds"), F.col("ses"))

@@ -157,5 +157,5 @@ def test_field_f1_of_every_pair(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"s{i}", p, g) for i, (p, g, _) in enumerate(cases)], "result_id long, sample_id string, predicted_answer string, gt_answer string")
     rows.select("result_id", "sample_id", "predicted_answer", F.lit("observed").alias("result_type"), now.alias("ingested_at")).write.parquet(f"{tmp_path}/eval_results.parquet")
     rows.select("sample_id", "gt_answer", F.array().cast("array<string>").alias("gt_answer_aliases"), F.lit("x").alias("source_dataset"), F.lit("q").alias("query"), F.lit("field_f1").alias("correctness_metric"), now.alias("ingested_at")).write.parquet(f"{tmp_path}/bench_samples.parquet")
-    got = {r["result_id"]: r["score"] for r in text_queries.score_field_f1_all(spark, str(tmp_path)).collect()}
+    got = {r["result_id"]: r["score"] for r in text_queries.score_field_f1(spark, str(tmp_path)).collect()}
     assert got == pytest.approx({i: want for i, (_, _, want) in enumerate(cases)}, abs=1e-6)
