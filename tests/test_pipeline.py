@@ -43,11 +43,17 @@ def test_clients(spark, tmp_path):
     assert (one["size"], one["md5"], one["base64"]) == (3, "900150983cd24fb0d6963f7d28e17f72", "YWJj")
 
 
-def test_quotas():
-    assert studies.largest_remainder({"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
-    assert studies.largest_remainder({"a": 1, "b": 99}, 10) == {"a": 1, "b": 9}
-    assert studies.largest_remainder({}, 10) == {}
-    assert studies.with_floor({"a": (90, 100), "b": (5, 50), "c": (5, 6)}, 10) == {"a": 84, "b": 10, "c": 6}
+def test_quotas(spark):
+    def shares(counts, size):
+        return {r["g"]: r["quota"] for r in studies.shares_of(spark.createDataFrame(list(counts.items()), "g string, n long"), size).collect()}
+
+    assert shares({"a": 50, "b": 30, "c": 20}, 10) == {"a": 5, "b": 3, "c": 2}
+    assert shares({"a": 1, "b": 99}, 10) == {"a": 1, "b": 9}
+    assert shares({}, 10) == {}
+    # Of 100 rows 90, 5 and 5 fall to the groups; the small ones are raised to 10, or to what they have, and the large one gives.
+    rows = [(f"{g}{i}", g) for g, n in (("a", 1800), ("b", 100), ("c", 6)) for i in range(n)]
+    floored = studies.floored(spark.createDataFrame(rows, "id string, g string"), "g", 100, 10, "id").groupBy("g").count().collect()
+    assert {r["g"]: r["count"] for r in floored} == {"a": 84, "b": 10, "c": 6}
 
 
 def test_constrained_and_names(spark):
