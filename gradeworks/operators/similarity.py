@@ -21,7 +21,12 @@ def simhash(words: Column) -> Column:
     A bit is set where more than half of the words' MD5 hashes have it set.
     """
     hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 16), 16, -10).cast("long"))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
+
+    def votes(bound: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(bound, F.lit(0), lambda s, h: s + F.when(F.getbit(h, i) == 1, 1).otherwise(-1)))
+
+    # The hashes are bound to a variable: the words are hashed once, not once for each bit.
+    bits = F.flatten(F.transform(F.array(hashes), votes))
     return F.conv(F.array_join(F.transform(F.reverse(bits), lambda b: F.when(b > 0, F.lit("1")).otherwise(F.lit("0"))), ""), 2, -10).cast("long")
 
 
