@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,38 +29,98 @@ def simhash(words: Column) -> Column:
     return F.conv(F.array_join(F.transform(F.reverse(bits), lambda b: F.when(b > 0, F.lit("1")).otherwise(F.lit("0"))), ""), 2, -10).cast("long")
 
 
-def _blocks_kept(values: int, distance: int, most_keys: int = 500) -> int:
-    """How many of the blocks of a 64-bit value a key should keep, so that keys and pairs met are fewest."""
-    def cost(keep: int) -> float:
-        keys = math.comb(distance + keep, keep)
-        return math.inf if keys > most_keys else keys * (values + values * values / 2.0 ** (64 * keep / (distance + keep)))
+#: Values that are compared all with all before they are cut further, and how many comparisons are held at once.
+_WHOLE, _HELD = 4096, 1 << 18
 
-    return min(range(1, 9), key=cost)
+
+def _close(values: np.ndarray, rest: list[int], apart: list[int], more: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of distinct ``values`` within the distance that differ in every block of ``apart``: smaller, larger, distance.
+
+    Many values are cut by the first block of ``rest`` that a pair agrees in, up to ``more`` times.
+    """
+    if more and len(values) > _WHOLE:
+        for i in range(len(rest) - more + 1):
+            part = values & np.int64(rest[i])
+            order = np.argsort(part)
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            for own in np.split(values[order], cuts):
+                if len(own) > 1:
+                    yield from _close(own, rest[i + 1 :], apart + rest[:i], more - 1, distance)
+        return
+    values = np.sort(values)
+    bits = values.view(np.uint64)
+    step = max(1, _HELD // len(values))
+    for at in range(0, len(values) - 1, step):
+        off = bits[at : at + step, None] ^ bits[None, at + 1 :]
+        row, column = np.nonzero(np.bitwise_count(off) <= distance)
+        upper = column >= row
+        row, column = row[upper], column[upper]
+        found = off[row, column]
+        for mask in apart:
+            good = found & np.uint64(mask % (1 << 64)) != 0
+            row, column, found = row[good], column[good], found[good]
+        if len(found):
+            yield values[at + row], values[at + 1 + column], np.bitwise_count(found).astype(np.int32)
 
 
 def near_hashes(hashes: DataFrame, identity: str, value: str, distance: int = 8, keep: int | None = None) -> DataFrame:
     """Links between distinct 64-bit values within a Hamming distance: smaller value, larger, distance.
 
-    Values are cut into ``distance + keep`` blocks; two within the distance agree in ``keep`` of them,
-    so an equi-join on every choice of ``keep`` blocks finds every pair.  More blocks mean longer keys
-    and fewer chance meetings but more keys: their number follows that of the values and changes no
-    result.  A pair is told by its first agreeing blocks alone, so none is found twice.  Equal values
-    are one node: their rows are its members.
+    Values are cut into ``distance + keep`` blocks; two within the distance agree in ``keep`` of them.
+    Values that share a block, or two blocks where there are more than a million values, lie together
+    in a partition and are compared there; where they are many they are first cut by further blocks,
+    up to ``keep`` (3 unless given), which changes no result.  Nothing is broadcast: the shuffle holds
+    each value a fixed number of times, a task those of one key at a time, eight bytes each.  A pair
+    is told by its first agreeing blocks alone, so none is found twice.  Equal values are one node:
+    their rows are its members.
     """
     nodes = materialize(hashes.where(F.col(value).isNotNull()).select(F.col(value).alias("v")).distinct(), "hashes")
-    keep = keep or _blocks_kept(nodes.count(), distance)
-    blocks = distance + keep
+    keep = keep or 3
+    spark, number, blocks = hashes.sparkSession, nodes.count(), distance + keep
+    first = min(keep, 1 if number <= 1_000_000 else 2)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(blocks)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    choices = list(itertools.combinations(range(blocks), keep))
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(signed(sum(masks[b] for b in chosen)))).alias("part")) for t, chosen in enumerate(choices)])
-    cut = nodes.select("v", F.explode(keys).alias("k")).select("v", "k.t", "k.part")
-    off = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = cut.withColumnRenamed("v", "a").join(cut.withColumnRenamed("v", "b"), ["t", "part"]).where(F.col("a") < F.col("b")).where(F.bit_count(off) <= distance)
-    agree = F.slice(F.array_compact(F.array(*[F.when(off.bitwiseAND(F.lit(signed(m))) == 0, F.lit(b)) for b, m in enumerate(masks)])), 1, keep)
-    listed = F.array(*[F.array(*map(F.lit, chosen)) for chosen in choices])
-    return pairs.where(F.get(listed, F.col("t")) == agree).select("a", "b", F.bit_count(off).alias("distance"))
+    masks = [signed(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i]) for i in range(blocks)]
+    choices = list(itertools.combinations(range(distance + first), first))
+    # Comparing takes the time, not the bytes: partitions follow the cores and the rows.
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), number * len(choices) // 2_000_000)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("v").bitwiseAND(F.lit(sum(masks[b] for b in chosen))).alias("part")) for t, chosen in enumerate(choices)])
+    cut = nodes.repartition(width, "v").select("v", F.explode(keys).alias("k")).select("v", "k.t", "k.part")
+    close = _close
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(t: int, values: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            last = choices[t][-1]
+            yield from close(np.concatenate(values), masks[last + 1 :], [masks[b] for b in range(last) if b not in choices[t]], keep - first, distance)
+
+        def groups() -> Iterator[tuple[int, list[np.ndarray]]]:
+            key, held = None, []
+            for frame in frames:
+                t, part, v = (frame[c].to_numpy() for c in ("t", "part", "v"))
+                starts = np.r_[0, np.flatnonzero((np.diff(t) != 0) | (part[1:] != part[:-1])) + 1, len(v)]
+                for a, b in itertools.pairwise(starts.tolist()):
+                    if a == b:
+                        continue
+                    if key != (now := (int(t[a]), int(part[a]))):
+                        if key:
+                            yield key[0], held
+                        key, held = now, []
+                    held.append(v[a:b])
+            if key:
+                yield key[0], held
+
+        told, rows = [], 0
+        for t, values in groups():
+            for some in found(t, values):
+                told.append(some)
+                rows += len(some[0])
+                if rows >= 1 << 17:
+                    yield pd.DataFrame(dict(zip(("a", "b", "distance"), map(np.concatenate, zip(*told, strict=True)), strict=True)))
+                    told, rows = [], 0
+        if told:
+            yield pd.DataFrame(dict(zip(("a", "b", "distance"), map(np.concatenate, zip(*told, strict=True)), strict=True)))
+
+    return cut.repartition(width, "t", "part").sortWithinPartitions("t", "part").mapInPandas(pairs, "a long, b long, distance int")
 
 
 def near_members(hashes: DataFrame, identity: str, value: str, distance: int = 8) -> DataFrame:

@@ -177,6 +177,23 @@ def test_hash_links_do_not_depend_on_blocks(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+def test_hash_links_are_not_broadcast(spark):
+    """Every value meets others by many keys: a plan that broadcasts them holds them all in the driver."""
+    rng = np.random.default_rng(11)
+    half = rng.integers(0, 1 << 32, 6000) << np.int64(31)  # all agree in the low blocks: one group is cut further
+    flips = np.int64(1) << rng.integers(31, 63, (6000, 5))
+    values = np.unique(np.concatenate([half, half ^ np.bitwise_xor.reduce(flips, axis=1)]))
+    want = set()
+    for i in range(len(values)):
+        near = np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 8)
+        want |= {(int(values[i]), int(values[i + 1 + j])) for j in near}
+    links = similarity.near_hashes(spark.createDataFrame(list(enumerate(values.tolist())), "id long, h long"), "id", "h", 8)
+    assert "Broadcast" not in links._jdf.queryExecution().toString()
+    got = links.collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    assert all(r["distance"] == (r["a"] ^ r["b"]).bit_count() for r in got)
+
+
 def test_neighbours_in_blocks_of_queries(spark):
     rng = np.random.default_rng(10)
     frame = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=6)]) for i in range(80)], "id long, v array<double>")
