@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..workspace import materialize
+from ..workspace import forget, materialize
 
 
 def simhash(words: Column) -> Column:
@@ -123,29 +123,49 @@ def near_hashes(hashes: DataFrame, identity: str, value: str, distance: int = 8,
     return cut.repartition(width, "t", "part").sortWithinPartitions("t", "part").mapInPandas(pairs, "a long, b long, distance int")
 
 
+def _roots(up: DataFrame) -> DataFrame:
+    """Every ``v`` with the end of its chain of ``up``, each of which is a ``v``; chains halve in every round."""
+    while True:
+        far = up.select(F.col("v").alias("at"), F.col("up").alias("far"))
+        jumped = materialize(up.join(far, up["up"] == far["at"]).select("v", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), "roots")
+        forget(up)
+        up = jumped
+        if up.where("moved").isEmpty():
+            return up
+
+
 def near_members(hashes: DataFrame, identity: str, value: str, distance: int = 8) -> DataFrame:
     """One row per member: identity, its value, the class of its value and how many links its value has.
 
     The class is the smallest value reached over links; members of one value are in one class
-    without a link between them.  Classes come from label passing with shortcuts, until none changes.
+    without a link between them.  Every value hooks on to its least neighbour, chains of hooks are
+    followed to their ends, and links between ends are all that the next round reads: links are read
+    by the first round alone.
     """
-    rows = hashes.where(F.col(value).isNotNull()).select(F.col(identity), F.col(value))
+    rows = materialize(hashes.where(F.col(value).isNotNull()).select(F.col(identity), F.col(value)), "prints")
     links = materialize(near_hashes(rows, identity, value, distance), "links")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counts = both.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    label = materialize(counts.select(F.col("a").alias("v"), F.col("a").alias("class")), "classes")
+    told: DataFrame | None = None
     while True:
-        near = both.join(label, both["b"] == label["v"]).groupBy("a").agg(F.min("class").alias("near"))
-        step = label.join(near, label["v"] == near["a"]).select("v", F.least("class", "near").alias("next"), F.col("class").alias("was"))
-        # The class of the class: chains halve in every round.
-        far = label.select(F.col("v").alias("at"), F.col("class").alias("far"))
-        jumped = materialize(step.join(far, step["next"] == far["at"]).select("v", F.least("next", "far").alias("class"), "was"), "classes")
-        label = jumped.select("v", "class")
-        if jumped.where(F.col("class") != F.col("was")).isEmpty():
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        own = materialize(both.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("links")).select(F.col("a").alias("v"), F.least("a", "least").alias("up"), "links"), "hooks")
+        ends = _roots(own.select("v", "up"))
+        if told is None:
+            told = materialize(own.join(ends.select("v", F.col("up").alias("class")), "v").select("v", "class", "links"), "classes")
+        else:
+            end = ends.select(F.col("v").alias("class"), "up")
+            moved = materialize(told.join(end, "class", "left").select("v", F.coalesce("up", "class").alias("class"), "links"), "classes")
+            forget(told)
+            told = moved
+        low, high = (ends.select(F.col("v").alias(c), F.col("up").alias(f"{c}_end")) for c in ("a", "b"))
+        left = materialize(links.join(low, "a").join(high, "b").where("a_end != b_end").select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), "links")
+        forget(links, own, ends)
+        links = left
+        if links.isEmpty():
             break
-    told = rows.join(counts.withColumnRenamed("a", "__v"), F.col(value) == F.col("__v"), "left").drop("__v")
-    told = told.join(label.withColumnRenamed("v", "__v"), F.col(value) == F.col("__v"), "left").drop("__v")
-    return told.select(F.col(identity), F.col(value).alias("fingerprint"), F.coalesce("class", value).alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    forget(links)
+    told = told.withColumnRenamed("v", "__v")
+    named = rows.join(told, F.col(value) == F.col("__v"), "left")
+    return named.select(F.col(identity), F.col(value).alias("fingerprint"), F.coalesce("class", value).alias("class"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def neighbours(queries: DataFrame, base: DataFrame, identity: str, vector: str, k: int, block: int = 2048, most: int = 100_000) -> DataFrame:

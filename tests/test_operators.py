@@ -250,6 +250,38 @@ def test_near_members(spark):
     assert {(r["id"], r["fingerprint"], r["class"], r["links"]) for r in got} == {(i, v, kind[v], len(linked[v])) for i, v in enumerate(values)}
 
 
+def test_near_members_read_links_once(spark, monkeypatch):
+    """Long chains whose ends are far apart: classes without reading all links again in every round."""
+    rng = random.Random(12)
+    values = []
+    for _ in range(3):
+        v = rng.getrandbits(63)
+        values.append(v)
+        for _ in range(60):
+            for bit in rng.sample(range(63), 6):
+                v ^= 1 << bit
+            values.append(v)
+    whole = sorted(set(values))
+    linked = {v: [u for u in whole if u != v and (u ^ v).bit_count() <= 8] for v in whole}
+    kind = {}
+    for v in whole:
+        todo = [v]
+        while todo:
+            u = todo.pop()
+            if u not in kind:
+                kind[u] = v
+                todo += linked[u]
+    written = []
+    keep = similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    monkeypatch.setattr(similarity, "forget", lambda *tables: None, raising=False)
+    got = similarity.near_members(spark.createDataFrame(list(enumerate(values)), "id long, h long"), "id", "h", 8)
+    assert {(r["id"], r["fingerprint"], r["class"], r["links"]) for r in got.collect()} == {(i, v, kind[v], len(linked[v])) for i, v in enumerate(values)}
+    # Each round has fewer links than the one before, and the last none.
+    sizes = [df.count() for label, df in written if label == "links"]
+    assert sizes[0] == sum(map(len, linked.values())) // 2 and sizes[-1] == 0 and all(x > y for x, y in zip(sizes, sizes[1:], strict=False))
+
+
 def test_diverse_looks_at_every_row(spark):
     rows = [(i, "g", "a", 1.0) for i in range(5100)] + [(9000, "g", "b", 0.9), (9001, "g", "b", None)]
     got = sampling.diverse(spark.createDataFrame(rows, "id long, grp string, f string, p double"), "grp", ["f"], "p", "id", 3).orderBy("pick").collect()
