@@ -13,10 +13,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import materialize
 from .dedupe import last_delivery
 
 
@@ -70,12 +71,23 @@ class Summary:
         """The value at rank ``ceil(q * n)``, within the counted error; NaN of nothing."""
         if not self.n:
             return [math.nan] * len(q)
+        values, upto = self._cumulated()
+        return [float(x) for x in values[np.minimum(np.searchsorted(upto, _ranks(q, self.n)), len(values) - 1)]]
+
+    def brackets(self, q: Sequence[float]) -> tuple[list[float], list[float]]:
+        """Below and above: the value at rank ``ceil(q * n)`` is certainly greater than the one and not greater than the other."""
+        values, upto = self._cumulated()
+        # Of equal values the last one has the rank of them all.
+        last = np.flatnonzero(np.r_[values[1:] != values[:-1], np.ones(min(1, len(values)), dtype=bool)])
+        ends, ranks = np.r_[-math.inf, values[last], math.inf], _ranks(q, self.n)
+        return [float(x) for x in ends[np.searchsorted(upto[last], ranks - self.error)]], [float(x) for x in ends[1 + np.searchsorted(upto[last], ranks + self.error)]]
+
+    def _cumulated(self) -> tuple[np.ndarray, np.ndarray]:
+        """The values held, sorted, and how many values stand up to each."""
         values = np.concatenate([*self.tail, *[b for bs in self.full.values() for b in bs]])
         weights = np.concatenate([*[np.ones(len(t), dtype=np.int64) for t in self.tail], *[np.full(len(b), 1 << lv, dtype=np.int64) for lv, bs in self.full.items() for b in bs]])
         order = np.argsort(values, kind="stable")
-        upto = np.cumsum(weights[order])
-        ranks = np.maximum(1, np.ceil(np.asarray(q) * self.n - 1e-9))
-        return [float(x) for x in values[order][np.minimum(np.searchsorted(upto, ranks), len(values) - 1)]]
+        return values[order], np.cumsum(weights[order])
 
     def held(self) -> int:
         """How many values the summary holds."""
@@ -97,6 +109,10 @@ class Summary:
         return out
 
 
+def _ranks(q: Sequence[float], n: int) -> np.ndarray:
+    return np.maximum(1, np.ceil(np.asarray(q) * n - 1e-9))
+
+
 def _schema(frame: DataFrame, keys: Sequence[str]) -> T.StructType:
     fields = [frame.schema[c] for c in keys]
     return T.StructType([*fields, T.StructField("metric", T.StringType()), T.StructField("part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("error", T.LongType()), T.StructField("levels", T.ArrayType(T.IntegerType())), T.StructField("vals", T.ArrayType(T.DoubleType()))])
@@ -211,21 +227,62 @@ def roll_up(found: DataFrame, keys: Sequence[str], k: int = 4096, fan_in: int =
 
 def read_quantiles(found: DataFrame, keys: Sequence[str], q: Sequence[float] = (0.5, 0.9, 0.95, 0.99), k: int = 4096) -> DataFrame:
     """``keys``, metric, n, one column per quantile, and ``rank_error``: ranks are off by no more."""
-    keys, names = list(keys), [f"p{round(100 * x)}" for x in q]
-    schema = T.StructType([*[found.schema[c] for c in [*keys, "metric", "n"]], *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("rank_error", T.LongType())])
+    return _told(found, list(keys), q, k).drop("below", "above")
+
+
+def _told(found: DataFrame, keys: list[str], q: Sequence[float], k: int) -> DataFrame:
+    """The columns of :func:`read_quantiles`, and ``below`` and ``above``: the brackets of a summary with an error, else null."""
+    names, doubles = [f"p{round(100 * x)}" for x in q], T.ArrayType(T.DoubleType())
+    schema = T.StructType([*[found.schema[c] for c in [*keys, "metric", "n"]], *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("rank_error", T.LongType()), T.StructField("below", doubles), T.StructField("above", doubles)])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = frame[[*keys, "metric", "n"]].copy()
-            got = [Summary.load(k, n, e, lv, np.asarray(v, dtype=float)).quantiles(q) for n, e, lv, v in zip(frame["n"], frame["error"], frame["levels"], frame["vals"], strict=True)]
+            held = [Summary.load(k, n, e, lv, np.asarray(v, dtype=float)) for n, e, lv, v in zip(frame["n"], frame["error"], frame["levels"], frame["vals"], strict=True)]
+            got = [s.quantiles(q) for s in held]
             for i, name in enumerate(names):
                 out[name] = [g[i] for g in got]
             out["rank_error"] = frame["error"]
+            ends = [s.brackets(q) if s.error else (None, None) for s in held]
+            for i, name in enumerate(("below", "above")):
+                out[name] = pd.Series([e[i] for e in ends], index=out.index, dtype=object)
             yield out
 
     return found.select(*keys, "metric", "n", "error", "levels", "vals").mapInPandas(read, schema)
 
 
+def exact_quantiles(rows: DataFrame, found: DataFrame, keys: Sequence[str], metrics: Sequence[str], q: Sequence[float] = (0.5, 0.9, 0.95, 0.99), k: int = 4096) -> DataFrame:
+    """As :func:`read_quantiles` with ``rank_error`` 0: where a summary has one, its rows are counted once more.
+
+    A summary tells between which two values each quantile lies.  Values in no such bracket count as
+    the next lower end of one, so few distinct values of a group are cumulated, however many its rows.
+    ``rows`` are those that ``found`` summarises.
+    """
+    keys, names = list(keys), [f"p{round(100 * x)}" for x in q]
+    told = materialize(_told(found, keys, q, k), "brackets")
+    sure = told.where("rank_error = 0").drop("below", "above")
+    rough = told.where("rank_error > 0").select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("metric").alias("__metric"), "n", "below", "above")
+    if rough.isEmpty():
+        return sure
+    same = F.col("metric") == F.col("__metric")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    inside = F.lit(False)
+    for i in range(len(names)):
+        inside = inside | ((F.col("v") > F.col("below")[i]) & (F.col("v") <= F.col("above")[i]))
+    # No lower end that a value is raised to lies in a bracket of a smaller quantile, so every count up to a value in a bracket stays right.
+    cell = F.when(inside, F.col("v")).otherwise(F.array_min(F.filter("below", lambda x: x >= F.col("v"))))
+    counted = _long(rows, keys, metrics).join(rough, same).groupBy(*keys, "metric", "n", cell.alias("v")).agg(F.count(F.lit(1)).alias("m")).where("v is not null")
+    upto = counted.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys, "metric").orderBy("v")))
+    exact = upto.groupBy(*keys, "metric", "n").agg(*[F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(x) - F.lit(1e-9))), F.col("v"))).alias(name) for x, name in zip(q, names, strict=True)])
+    return sure.unionByName(exact.withColumn("rank_error", F.lit(0).cast("long")))
+
+
+def _long(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """``keys``, metric, v: a row per known value."""
+    return rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(*keys, "x.metric", "x.v").where("v >= 0 and not isnan(v) and v < double('infinity')")
+
+
 def within_bounds(rows: DataFrame, read: DataFrame, keys: Sequence[str], metrics: Sequence[str], q: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """``keys``, metric, n, ``within``: whether the true ranks of all quantiles read lie within ``rank_error``.
 
@@ -233,11 +290,10 @@ def within_bounds(rows: DataFrame, read: DataFrame, keys: Sequence[str], metrics
     """
     keys, names = list(keys), [f"p{round(100 * x)}" for x in q]
     told = read.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("metric").alias("__metric"), F.col("n").alias("__n"), F.col("rank_error").alias("__error"), *[F.col(c).alias(f"__{c}") for c in names])
-    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(*keys, "x.metric", "x.v").where("v >= 0 and not isnan(v) and v < double('infinity')")
     same = F.col("metric") == F.col("__metric")
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    counted = long.join(told, same).groupBy(*keys, "metric", "__n", "__error").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, c in enumerate(names) for k, f, x in (("b", F.count_if, F.col("v") < F.col(f"__{c}")), ("u", F.count_if, F.col("v") <= F.col(f"__{c}")))])
+    counted = _long(rows, keys, metrics).join(told, same).groupBy(*keys, "metric", "__n", "__error").agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, c in enumerate(names) for k, f, x in (("b", F.count_if, F.col("v") < F.col(f"__{c}")), ("u", F.count_if, F.col("v") <= F.col(f"__{c}")))])
     good = F.col("n") == F.col("__n")
     for i, x in enumerate(q):
         rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(x) - F.lit(1e-9)))

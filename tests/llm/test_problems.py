@@ -123,6 +123,43 @@ def test_summaries_are_exact_when_small_and_combine(spark):
     assert all(r["within"] for r in quantiles.within_bounds(frame, small, ["g"], ["v"]).collect())
 
 
+def test_exact_quantiles_where_summaries_have_an_error(spark):
+    rng = random.Random(3)
+    rows = [("c1" if i % 3 else None, float(rng.randint(0, 40)) if i % 2 else rng.lognormvariate(0, 2)) for i in range(4000)] + [("c2", 1.0)] * 500 + [("c3", 2.0), ("c3", None), ("c3", -1.0)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = quantiles.summaries(frame, ["g"], ["v"], k=16).cache()
+    assert {r["g"] for r in found.where("error > 0").collect()} == {"c1", "c2", None}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(frame, found, ["g"], ["v"], k=16).collect()}
+    assert set(got) == {"c1", "c2", "c3", None}
+    for g, r in got.items():
+        own = sorted(v for x, v in rows if x == g and v is not None and v >= 0)
+        assert (r["n"], r["rank_error"]) == (len(own), 0)
+        assert [r[f"p{p}"] for p in (50, 90, 95, 99)] == [own[-(-p * len(own) // 100) - 1] for p in (50, 90, 95, 99)]
+
+
+def test_brackets_hold_the_value_at_the_rank():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 700, 9000):
+        for values in (rng.lognormal(size=n), rng.integers(0, 5, n).astype(float), np.zeros(n)):
+            s, q = quantiles.Summary(16), (0.001, 0.3, 0.5, 0.99, 1.0)
+            s.add(values)
+            for x, lo, hi in zip(q, *s.brackets(q), strict=True):
+                assert lo < np.sort(values)[max(1, int(np.ceil(x * n - 1e-9))) - 1] <= hi
+
+
+def test_daily_percentiles_are_those_of_sql_over_large_days(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(5)
+    rows = [(i, "s", "c" if i % 5 else "e", True, rng.randint(1, 10**6), rng.random(), DAY + datetime.timedelta(days=i % 5 % 2) if i % 7 else None, DAY) for i in range(60_000)]
+    rows += [(0, "s", "late", True, 5, 0.5, DAY, DAY + datetime.timedelta(days=1))]
+    spark.createDataFrame(rows, "result_id long, sample_id string, config_id string, is_correct boolean, latency_ms long, total_cost_usd double, observed_at timestamp, ingested_at timestamp").repartition(4).write.parquet(f"{tmp_path}/eval_results.parquet")
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW eval_results AS SELECT * FROM '{tmp_path}/eval_results.parquet/*.parquet'")
+    assert rows_of(llm_queries.p2_daily_percentiles(spark, str(tmp_path))) == rows_of_sql(con, llm_sql.SQL["p2_daily_percentiles"])
+
+
 # 3. Splits
 
 
